@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, line_dedup, mixing, quality, simhash
+from loomspark.llm import bpe, compaction, imatch, langid, line_dedup, mixing, quality, simhash, sstable, url_filter
+from loomspark.llm.common import fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +43,22 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", *(F.col(f"__{n}").alias(n) for n in names))
 
 
+#: The rules that the URL query applies.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    made = url_filter.judge_urls(pages, url_filter.rule_table(spark, URL_RULES))
+    return made.select("page_id", *(F.col(f"__{n}").alias(n) for n in ("host", "path", "rule", "verdict")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -48,14 +69,61 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    plan = imatch.IMatchPlan()
+    held = spark.sparkContext.broadcast(imatch.lexicon(docs, "text", plan))
+
+    def use(doc_id: int | None, text: str, following: str) -> tuple:
+        other = imatch.edited(text, following)
+        own, changed, coming = (imatch.fingerprint(t, held.value, plan) for t in (text, other, following))
+        return doc_id, len(text), sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, imatch.likeness(own, changed), imatch.likeness(own, coming)
+
+    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return imatch.with_next(docs, use, columns)
+
+
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    sstable.write_tokens(_read(spark, sf_dir, "documents"), path, vocabulary())
+
+    def use(doc_id: int | None, start: int, ids: np.ndarray) -> tuple:
+        return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
+
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
+    return sstable.read_tokens(spark, path, use, schema, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard after all documents arrived as they are split and the tiers were compacted."""
+    made = compaction.ShardSet(spark, fresh_path(spark, "shards"))
+    made.append(_read(spark, sf_dir, "documents"))
+    made.compact()
+    made.expire()
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return made.read().select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"), F.col("__shard").alias("shard"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    mark = langid.held_out(F.col("doc_id")).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", mark, "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_url_filter": op3_url_filter,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_imatch": op6_imatch,
+    "op7_sstable": op7_sstable,
+    "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
