@@ -17,12 +17,17 @@ _TOKENS = r"(\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters of the rules; the table of ratios has `buckets` numbers whatever the corpus's size."""
+    """Parameters of the rules; the table of ratios has `buckets` numbers whatever the corpus's size.
+
+    trusted_rows bounds the labelled documents that the target model is fitted on: where more are trusted, those
+    with the smallest hashes of their ids are taken. The raw model counts every document.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     buckets: int = 1 << 14
     smoothing: float = 1.0
+    trusted_rows: int = 20_000
     #: Least mean log ratio a token; a text that is as likely under either model has 0.
     threshold: float = -0.3
 
@@ -100,11 +105,17 @@ def _bucket(rules: QualityRules, *parts: Column) -> Column:
 def ratio_table(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket int, ratio double): log of trusted over raw probability of each bucket of hashed unigrams and bigrams.
 
-    trusted(id) names the trusted documents; every document counts for the raw model, every trusted one for the
-    target model. Buckets are counted in map tasks first, so at most `buckets` rows a task are shuffled.
+    trusted(id) names the trusted documents; every document counts for the raw model, up to rules.trusted_rows of the
+    trusted ones for the target model, whose ids are small enough to be sent to the scan: texts are never shuffled.
+    Buckets are counted in map tasks first, so at most `buckets` rows a task are shuffled.
     """
 
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__trusted")).distinct()
+    ids = trusted.select(F.col(trusted.columns[0]).alias("__trusted")).where("__trusted is not null").distinct()
+    share = 0.95 * rules.trusted_rows / max(1, ids.count())
+    if share < 1:
+        unit = F.shiftrightunsigned(F.xxhash64("__trusted"), 11).cast("double") / float(1 << 53)
+        ids = ids.where(unit < share)
+    ids = F.broadcast(ids.limit(rules.trusted_rows))
     flagged = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__trusted"), "left")
     t = F.col("t")
     pairs = F.arrays_zip(t.alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("b"))
