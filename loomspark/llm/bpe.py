@@ -31,7 +31,7 @@ _NONE = 1 << 62
 class WordBpe:
     """A BPE model from a tokenizer file: lower-casing, white space dropped, byte alphabet, word-end suffix."""
 
-    def __init__(self, path: str, memo: int = 200_000) -> None:
+    def __init__(self, path: str, memo: int = 400_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
