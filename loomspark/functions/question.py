@@ -44,7 +44,7 @@ def spotted(question: Column, patterns=tuple(V.QUERY_ENTITIES)) -> Column:
 
 def keywords(question: Column) -> Column:
     """Words of three or more ASCII letters without stop words; repeats stay."""
-    found = F.regexp_extract_all(F.lower(question), F.lit(r"\b([a-zA-Z]{3,})\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(question), F.lit(r"(?U)\b([a-zA-Z]{3,})\b"), F.lit(1))
     return F.filter(found, lambda w: ~w.isin(V.KEYWORD_STOPWORDS))
 
 

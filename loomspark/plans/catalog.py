@@ -10,13 +10,19 @@ from loomspark.plans.retrieval import read
 from loomspark.sources import connectors as C
 from loomspark.sources import files
 
-_LINE = F.substring_index("text", "\n", 1)
-_DOI = F.concat(F.lit("10.1000/"), F.substring(F.md5("text"), 1, 10))
+
+
+def _line():
+    return F.substring_index("text", "\n", 1)
+
+
+def _doi():
+    return F.concat(F.lit("10.1000/"), F.substring(F.md5("text"), 1, 10))
 
 
 def title_normalize(spark, d):
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", X.normalize_title(_LINE).alias("title_normalized"), X.search_title(_LINE).alias("search_title"))
+    return docs.select("doc_id", X.normalize_title(_line()).alias("title_normalized"), X.search_title(_line()).alias("search_title"))
 
 
 def doi_normalize(spark, d):
@@ -62,9 +68,9 @@ def _papers(spark, d):
     return docs.select(
         F.col("doc_id").alias("arrival"),
         F.element_at(F.array(F.lit("crossref"), F.lit("semantic_scholar"), F.lit("arxiv")), (F.col("doc_id") % 3 + 1).cast("int")).alias("source"),
-        _LINE.alias("title"),
-        F.when(F.col("doc_id") % 7 > 0, F.lit(2000) + F.length("lang") + F.length(_LINE) % 5).cast("int").alias("year"),
-        F.when(has == 0, F.upper(_DOI)).when(has == 3, F.lit("")).alias("doi"),
+        _line().alias("title"),
+        F.when(F.col("doc_id") % 7 > 0, F.lit(2000) + F.length("lang") + F.length(_line()) % 5).cast("int").alias("year"),
+        F.when(has == 0, F.upper(_doi())).when(has == 3, F.lit("")).alias("doi"),
         F.when(has < 2, F.concat(F.lit("2301."), F.substring(F.md5("text"), 1, 8))).alias("arxiv_id"),
         F.when(F.col("doc_id") % 5 > 2, F.col("source")).alias("abstract"),
         F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("journal"),
@@ -87,7 +93,7 @@ def federated_search(spark, d):
 
 def _requests(spark, d):
     docs = read(spark, d, "documents")
-    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, _DOI).alias("doi"), X.content_hash(F.col("text")).alias("content_hash"), X.normalize_title(_LINE).alias("title"), F.ascii("lang").alias("year"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, _doi()).alias("doi"), X.content_hash(F.col("text")).alias("content_hash"), X.normalize_title(_line()).alias("title"), F.ascii("lang").alias("year"))
     return rows.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "request_id"), rows.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "document_id")
 
 
@@ -102,7 +108,7 @@ def register_batch(spark, d):
 
 
 def fuzzy_titles(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", X.normalize_title(_LINE).alias("title"), F.ascii("lang").alias("year"))
+    docs = read(spark, d, "documents").select("doc_id", X.normalize_title(_line()).alias("title"), F.ascii("lang").alias("year"))
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("request_id"), "title", "year")
     made = R.fuzzy_matches(asked, docs.withColumnRenamed("doc_id", "document_id"))
     return made.select("request_id", "document_id", F.round("ratio", 6).alias("ratio"))
@@ -218,7 +224,7 @@ def source_lookup(spark, d):
 def _crossref_payload():
     return F.to_json(
         F.struct(
-            _DOI.alias("DOI"), F.array(_LINE).alias("title"),
+            _doi().alias("DOI"), F.array(_line()).alias("title"),
             F.array(F.struct(F.col("lang").alias("given"), F.col("source").alias("family"))).alias("author"),
             F.struct(F.array(F.array((F.lit(1990) + F.col("doc_id") % 30).cast("int"), F.lit(1))).alias("date-parts")).alias("published-online"),
             F.array(F.struct(F.lit("http://h").alias("URL"), F.lit("text/html").alias("content-type")), F.struct(F.concat(F.lit("http://p/"), F.col("doc_id").cast("string")).alias("URL"), F.lit("application/pdf").alias("content-type"))).alias("link"),
@@ -235,7 +241,7 @@ def connector_crossref(spark, d):
 def connector_scholar(spark, d):
     payload = F.to_json(
         F.struct(
-            F.md5("text").alias("paperId"), F.struct(F.when(F.col("doc_id") % 2 == 0, _DOI).alias("DOI"), F.lit("2301.1").alias("ArXiv")).alias("externalIds"), _LINE.alias("title"), F.lit(2020).alias("year"),
+            F.md5("text").alias("paperId"), F.struct(F.when(F.col("doc_id") % 2 == 0, _doi()).alias("DOI"), F.lit("2301.1").alias("ArXiv")).alias("externalIds"), _line().alias("title"), F.lit(2020).alias("year"),
             F.array(F.struct(F.concat(F.lit("Ann Mary "), F.col("source")).alias("name"))).alias("authors"), F.col("lang").alias("venue"), (F.col("doc_id") % 3 == 0).alias("isOpenAccess"), F.struct(F.lit("http://o").alias("url")).alias("openAccessPdf"),
         )
     )
@@ -247,7 +253,7 @@ def connector_scholar(spark, d):
 def connector_arxiv(spark, d):
     payload = F.to_json(
         F.struct(
-            F.concat(F.lit("http://arxiv.org/abs/2301."), F.col("doc_id").cast("string"), F.lit("v2")).alias("id"), F.concat(F.lit(" "), _LINE, F.lit("\n")).alias("title"), F.col("source").alias("summary"),
+            F.concat(F.lit("http://arxiv.org/abs/2301."), F.col("doc_id").cast("string"), F.lit("v2")).alias("id"), F.concat(F.lit(" "), _line(), F.lit("\n")).alias("title"), F.col("source").alias("summary"),
             F.when(F.col("doc_id") % 4 > 0, F.lit("2019-05-01T00:00:00Z")).alias("published"), F.array(F.struct(F.concat(F.lit("Ann Mary "), F.col("source")).alias("name"))).alias("authors"),
         )
     )
@@ -259,7 +265,7 @@ def connector_arxiv(spark, d):
 def connector_ads(spark, d):
     payload = F.to_json(
         F.struct(
-            F.concat(F.lit("2020ApJ"), F.col("doc_id").cast("string")).alias("bibcode"), F.array(_LINE).alias("title"), F.array(F.concat("source", F.lit(", Ann M."))).alias("author"), F.lit("2020").alias("year"), F.array(_DOI).alias("doi"),
+            F.concat(F.lit("2020ApJ"), F.col("doc_id").cast("string")).alias("bibcode"), F.array(_line()).alias("title"), F.array(F.concat("source", F.lit(", Ann M."))).alias("author"), F.lit("2020").alias("year"), F.array(_doi()).alias("doi"),
             F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("EPRINT_PDF"))).alias("esources"), F.array(F.lit("x:1"), F.concat(F.lit("arXiv:2001."), F.col("doc_id").cast("string"))).alias("identifier"),
         )
     )

@@ -207,7 +207,7 @@ _SEQ = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, eve
 ORACLES = {
     "query_understanding": rf"""WITH {_QS}, y AS (SELECT *, try_cast(nullif(regexp_extract(q, '{_YEAR}', 1), '') AS INT) AS a, try_cast(nullif(regexp_extract(q, '{_YEAR}', 2), '') AS INT) AS b, try_cast(nullif(regexp_extract(q, '{_YEAR}', 3), '') AS INT) AS c, try_cast(nullif(regexp_extract(q, '{_YEAR}', 4), '') AS INT) AS e FROM qs)
 SELECT conv_id, turn, CASE {_INTENT} ELSE 'factual' END AS intent, coalesce(a, e) AS year_from, coalesce(b, c, e) AS year_to, nullif(regexp_extract(q, '{Q._AUTHOR}', 1), '') AS author,
-array_to_string(list_filter(regexp_extract_all(lower(q), '\b([a-zA-Z]{{3,}})\b', 1), lambda w: NOT list_contains({_list(V.KEYWORD_STOPWORDS)}, w)), ' ') AS keywords FROM y""",
+array_to_string(list_filter(regexp_extract_all(lower(q), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_list(V.KEYWORD_STOPWORDS)}, w)), ' ') AS keywords FROM y""",
     "query_entities": f"WITH {_QS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten([{', '.join(f'''regexp_extract_all(q, '(?i){p}')''' for p in V.QUERY_ENTITIES)}]))), '|') AS entities FROM qs",
     "query_rewrite": rf"""WITH {_QS}, x AS (SELECT *, {_EXPAND} AS r, lower(q) AS low FROM qs), y AS (SELECT *, {_chain("lower(r)", V.QUESTION_PREFIXES, "")} AS bare, trim(regexp_replace(low, '(?i){V.QUESTION_STRIP}', '')) AS s, string_split(low, ' and ') AS h FROM x),
 z AS (SELECT conv_id, turn, CASE WHEN bare <> lower(r) THEN r || ' ' || bare ELSE r END AS rewritten, list_concat([q, low], list_concat(CASE WHEN length(s) > 10 AND s <> low THEN [s] ELSE [] END, CASE WHEN len(h) = 2 AND length(h[1]) > 5 AND length(h[2]) > 5 THEN h ELSE [] END)) AS v FROM y)
