@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -220,3 +220,26 @@ def edited(text: str, following: str) -> str:
     """text with its last third (rounded down) replaced by the start of the following text, as long as it is there."""
     n = len(text) // 3
     return text[: len(text) - n] + following[:n]
+
+
+class EditLikeness:
+    """(id, characters, SHA-256 of the edited text, both fingerprints, likeness to the edited and to the next text).
+
+    Texts come in a row, each the next one's predecessor, so the last fingerprint is kept for reuse.
+    """
+
+    COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def __init__(self, held, plan: IMatchPlan) -> None:
+        self.held, self.plan, self.last = held, plan, (None, "")
+
+    def _print(self, text: str) -> str:
+        return self.last[1] if text is self.last[0] else fingerprint(text, self.held.value, self.plan)
+
+    def __call__(self, doc_id: int | None, text: str, following: str) -> tuple:
+        other = edited(text, following)
+        own, changed = self._print(text), fingerprint(other, self.held.value, self.plan)
+        coming = own if following is text else fingerprint(following, self.held.value, self.plan)
+        self.last = (following, coming)
+        digest = sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc_id, len(text), digest, own, changed, likeness(own, changed), likeness(own, coming)

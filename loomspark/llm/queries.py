@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +73,7 @@ def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = imatch.IMatchPlan()
     held = spark.sparkContext.broadcast(imatch.lexicon(docs, "text", plan))
 
-    def use(doc_id: int | None, text: str, following: str) -> tuple:
-        other = imatch.edited(text, following)
-        own, changed, coming = (imatch.fingerprint(t, held.value, plan) for t in (text, other, following))
-        return doc_id, len(text), sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, imatch.likeness(own, changed), imatch.likeness(own, coming)
-
-    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return imatch.with_next(docs, use, columns)
+    return imatch.with_next(docs, imatch.EditLikeness(held, plan), imatch.EditLikeness.COLUMNS)
 
 
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +92,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = compaction.ShardSet(spark, fresh_path(spark, "shards"))
     made.append(_read(spark, sf_dir, "documents"))
     made.compact()
-    made.expire()
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     return made.read().select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"), F.col("__shard").alias("shard"))
 
