@@ -5,153 +5,260 @@ Words are independent once white space is dropped, so each worker keeps a bounde
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import PIECE
 
 #: The white space that the tokenizer's patterns know; fixed by Unicode.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"[{SPACE}]")
-#: Separators that str.split() takes for white space and the tokenizer does not.
-_ODD = regex.compile("[\x1c-\x1f]")
 _NONE = 1 << 62
 
 
-class WordBpe:
+class PairRanks:
+    """Ranks of symbol pairs in an open-addressed table, looked up for whole arrays."""
+
+    def __init__(self, ranks: dict[int, int]) -> None:
+        self.bits = max(8, (4 * len(ranks)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        homes = self._home(np.fromiter(ranks, np.int64, len(ranks)))
+        for key, rank, at in zip(ranks, ranks.values(), homes.tolist(), strict=True):
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where it doesn't merge."""
+        keys = first.astype(np.int64) << 32 | second.astype(np.int64)
+        at = self._home(keys)
+        out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        while len(todo):
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
+class ChunkMemo:
+    """Encodes texts chunk by chunk between white space, with a memo of two generations: what is used stays, what isn't
+    goes when the younger one is full. Ids are held as little-endian bytes, which keeps the memo small.
+
+    Texts are split and their chunks made distinct by Arrow, so Python only sees each distinct chunk of a stretch of
+    texts once, and NumPy puts the texts' ids together.
+    """
+
+    #: Separators that Arrow and str.split() take for white space and such tokenizers do not.
+    ODD = "\x1c\x1d\x1e\x1f"
+
+    def __init__(self, memo: int, ids: int) -> None:
+        self.memo, self.chunks, self.old_chunks = memo, {}, {}
+        self.kind = np.dtype("<u2" if ids <= 1 << 16 else "<u4")
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks that neither generation holds."""
+        raise NotImplementedError
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that holds special tokens or odd separators."""
+        raise NotImplementedError
+
+    def encode_batch(self, texts: Iterable[str], chars: int = 1 << 22) -> Iterator[np.ndarray]:
+        """Ids of each whole text, in order. The distinct chunks of about `chars` characters are looked up together."""
+        held: list[str] = []
+        size, collecting = 0, gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the collector would walk the memo again and again
+        try:
+            for text in texts:
+                held.append(text)
+                size += len(text)
+                if size >= chars:
+                    yield from self._encoded(held)
+                    held, size = [], 0
+            yield from self._encoded(held)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        apart = {n: self._whole(t) for n, t in enumerate(texts) if "<|" in t or any(c in t for c in self.ODD)}
+        lists = pc.utf8_split_whitespace(pa.array(["" if n in apart else t for n, t in enumerate(texts)], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        known = list(self.known(coded.dictionary.to_pylist()).values())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        pool, starts = np.frombuffer(b"".join(known), self.kind), np.cumsum(lengths) - lengths
+        chunks = coded.indices.to_numpy()
+        each = lengths[chunks]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[chunks] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            yield np.frombuffer(apart[n], self.kind) if n in apart else ids[a:b]
+
+    def known(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks, in their order."""
+        new, old = self.chunks.get, self.old_chunks.get
+        found = {c: new(c) or old(c) for c in chunks}
+        found[""] = b""
+        if missing := [c for c, ids in found.items() if ids is None]:
+            found.update(self._learn(missing))
+        if len(self.chunks) >= self.memo:
+            self.old_chunks, self.chunks = self.chunks, {}
+        self.chunks.update(found if max(map(len, found)) <= 64 else {c: ids for c, ids in found.items() if len(c) <= 64})
+        return found
+
+
+class WordBpe(ChunkMemo):
     """A BPE model from a tokenizer file: lower-casing, white space dropped, byte alphabet, word-end suffix."""
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, path: str, memo: int = 250_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        self.decimals = [str(i) for i in range(len(self.names))]
+        super().__init__(memo, len(self.names))
         pairs = [pair if isinstance(pair, list) else pair.split(" ") for pair in model["merges"]]
-        self.made = [vocab[a + b] for a, b in pairs]
-        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.ranks = PairRanks({vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in reversed(list(enumerate(pairs)))})
         alphabet = byte_alphabet()
-        self.inner, self.last = ([vocab.get(c + e) for c in alphabet] for e in ("", end))
+        self.inner, self.last = (np.array([vocab[c + e] for c in alphabet], np.int64) for e in ("", end))
         inside = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(inside.replace(r"\s", SPACE))
         self.stop = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # two generations of each memo: what is used stays, what isn't goes when the younger one is full
-        self.memo, self.words, self.old_words, self.tokens, self.old_tokens = memo, {}, {}, {}, {}
+        self.tokens, self.old_tokens = {}, {}
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Apply the lowest-ranked leftmost merge until none is left.
+    def merge(self, symbols: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+        """Ids of many words of symbols, each merged until no mergeable pair is left.
 
-        A segment tree holds rank and place of every adjacent pair; its root is the next merge, and each merge
-        rewrites three leaves at most, so a word of n symbols takes n log n steps however long it is.
+        Every word has a segment tree whose leaves hold rank and place of its adjacent pairs, so its root is the
+        leftmost merge of the lowest rank; a merge rewrites three leaves and the paths above them. Words of about
+        the same length are worked on side by side, a row of an array each: a word of n symbols takes n log n steps.
         """
-        n = len(symbols)
-        if n < 2:
-            return symbols
-        rank, made = self.ranks.get, self.made
-        size = 1 << (n - 2).bit_length()
-        tree = [_NONE] * (2 * size)
-        for i in range(n - 1):
-            if (r := rank(symbols[i] << 32 | symbols[i + 1])) is not None:
-                tree[size + i] = r << 32 | i
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        symbols, after, before = symbols[:], list(range(1, n + 1)), list(range(-1, n - 1))
-        while (root := tree[1]) != _NONE:
+        ends = np.cumsum(lengths)
+        out: list[bytes] = [b""] * len(lengths)
+        sizes = 1 << np.ceil(np.log2(np.maximum(2, lengths))).astype(np.int64)
+        for size in np.unique(sizes).tolist():
+            group = np.flatnonzero(sizes == size)
+            step = max(1, (1 << 20) // size)
+            for i in range(0, len(group), step):
+                some = group[i : i + step]
+                for j, ids in zip(some.tolist(), self._merge_rows(symbols, ends[some] - lengths[some], lengths[some], size), strict=True):
+                    out[j] = ids
+        return out
+
+    def _merge_rows(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> list[bytes]:
+        n = len(lengths)
+        row, place = np.repeat(np.arange(n), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        symbols = np.full((n, size + 1), -1, np.int64)
+        symbols[row, place] = flat[np.repeat(starts, lengths) + place]
+        after, before = np.tile(np.arange(1, size + 2), (n, 1)), np.tile(np.arange(-1, size), (n, 1))
+        tree = np.full((n, 2 * size), _NONE, np.int64)
+        inner = place + 1 < lengths[row]
+        r, p = row[inner], place[inner]
+        rank = self.ranks.get(symbols[r, p], symbols[r, p + 1])
+        tree[r, size + p] = np.where(rank < 0, _NONE, rank << 32 | p)
+        k = size
+        while k > 1:
+            k //= 2
+            tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+        live = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(live):
+            root = tree[live, 1]
             i = root & 0xFFFFFFFF
-            j = after[i]
-            symbols[i] = new = made[root >> 32]
-            symbols[j] = -1
-            after[i] = k = after[j]
-            changed = [(i, _NONE)]
-            if k < n:
-                before[k] = i
-                if (r := rank(new << 32 | symbols[k])) is not None:
-                    changed = [(i, r << 32 | i)]
-            if j < n - 1:
-                changed.append((j, _NONE))
-            if (p := before[i]) >= 0:
-                changed.append((p, _NONE if (r := rank(symbols[p] << 32 | new)) is None else r << 32 | p))
-            for slot, value in changed:
-                at = slot + size
-                tree[at] = value
-                while at > 1:
-                    a, b = tree[at], tree[at ^ 1]
-                    at >>= 1
-                    if b < a:
-                        a = b
-                    if tree[at] == a:
-                        break
-                    tree[at] = a
-        return [s for s in symbols if s >= 0]
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token, lower-cased already; remembered unless it is long."""
-        if (found := self.tokens.get(word) or self.old_tokens.get(word)) is None:
-            data = word.encode("utf-8", "surrogatepass")
-            symbols = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-            found = tuple(self.merge([s for s in symbols if s is not None]))
-        if len(word) <= 64:
-            if len(self.tokens) >= self.memo:
-                self.old_tokens, self.tokens = self.tokens, {}
-            self.tokens[word] = found
-        return found
-
-    def entry(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids, their decimals and their names of a chunk between white space; remembered unless it is long."""
-        if (made := self.old_words.get(chunk)) is None:
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            pieces = self.pattern.findall(low)
-            ids = self.encode_word(pieces[0]) if len(pieces) == 1 else tuple(i for w in pieces for i in self.encode_word(w))
-            names = self.names
-            made = (ids, " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
-        if len(chunk) <= 64:
-            if len(self.words) >= self.memo:
-                self.old_words, self.words = self.words, {}
-            self.words[chunk] = made
-        return made
-
-    def entries(self, text: str) -> Iterator[tuple[tuple[int, ...], str, str]]:
-        """Entries of a whole text in order, empty ones left out."""
-        parts = [(0, len(text), None)]
-        if self.stop is not None and "<|" in text:
-            parts, at = [], 0
+            j = after[live, i]
+            k, p, made = after[live, j], before[live, i], self.made[root >> 32]
+            symbols[live, i], symbols[live, j], after[live, i], before[live, k] = made, -1, k, i
+            tree[live, size + j] = _NONE  # the last symbol's leaf is empty anyway
+            right = k < lengths[live]
+            value = np.full(len(live), _NONE, np.int64)
+            rank = self.ranks.get(made[right], symbols[live[right], k[right]])
+            value[right] = np.where(rank < 0, _NONE, rank << 32 | i[right])
+            tree[live, size + i] = value
+            left = p >= 0
+            rank = self.ranks.get(symbols[live[left], p[left]], made[left])
+            tree[live[left], size + p[left]] = np.where(rank < 0, _NONE, rank << 32 | p[left])
+            for rows, at in ((live, size + i), (live, size + j), (live[left], size + p[left])):
+                for _ in range(size.bit_length() - 1):
+                    at = at >> 1
+                    tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+            live = live[tree[live, 1] != _NONE]
+        keep = symbols >= 0
+        data, width = symbols[keep].astype(self.kind).tobytes(), self.kind.itemsize
+        cuts = (np.cumsum(keep.sum(axis=1)) * width).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _learn_tokens(self, tokens: list[str]) -> None:
+        """Put distinct pre-tokens into the memo."""
+        data = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        symbols, ends = self.inner[raw], np.cumsum(lengths) - 1
+        symbols[ends] = self.last[raw[ends]]
+        self.tokens.update(zip(tokens, self.merge(symbols, lengths), strict=True))
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        split = {c: self.pattern.findall(normalize("NFC", c).replace("Σ", "σ").lower()) for c in chunks}
+        if len(self.tokens) >= self.memo:
+            self.old_tokens, self.tokens = self.tokens, {}
+        tokens, unknown = self.tokens, {}
+        for pieces in split.values():
+            for w in pieces:
+                if w not in tokens:
+                    if (ids := self.old_tokens.get(w)) is not None:
+                        tokens[w] = ids
+                    else:
+                        unknown[w] = None
+        if unknown:
+            self._learn_tokens(list(unknown))
+        get = tokens.__getitem__
+        out = {c: get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for c, pieces in split.items()}
+        for w in unknown:
+            if len(w) > 64:
+                del tokens[w]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        spans = [(text, None)]
+        if self.stop is not None:
+            spans, at = [], 0
             for m in self.stop.finditer(text):
-                parts += [(at, m.start(), None), (m.start(), m.end(), m[0])]
+                spans += [(text[at : m.start()], None), ("", m[0])]
                 at = m.end()
-            parts.append((at, len(text), None))
-        for start, end, token in parts:
-            if token is not None:
-                i = self.special[token]
-                yield (i,), str(i), token
-                continue
-            while start < end:
-                cut = _SPLIT.search(text, start + PIECE, end) if end - start > PIECE else None
-                stop = cut.start() if cut else end
-                part = text[start:stop]
-                start = stop
-                for chunk in _SPLIT.split(part) if _ODD.search(part) else part.split():
-                    made = self.words.get(chunk) or self.entry(chunk)
-                    if made[0]:
-                        yield made
+            spans.append((text[at:], None))
+        out = []
+        for part, token in spans:
+            chunks = [c for c in _SPLIT.split(part) if c]
+            known = self.known(list(dict.fromkeys(chunks)))
+            out += [known[c] for c in chunks] if token is None else [np.array([self.special[token]], self.kind).tobytes()]
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [i for e in self.entries(text) for i in e[0]]
+        return next(self.encode_batch([text])).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """Token names joined by a space, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        """Token names joined by a space, as a tokenizer without a decoder does."""
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def byte_alphabet() -> list[str]:
@@ -172,25 +279,13 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _digests(model: WordBpe, text: str) -> tuple[int, str, str]:
-    n, ids, names = 0, hashlib.sha256(), hashlib.sha256()
-    held: list[tuple[tuple[int, ...], str, str]] = []
-
-    def flush() -> None:
-        lead = " " if n else ""
-        ids.update((lead + " ".join([e[1] for e in held])).encode())
-        names.update((lead + " ".join([e[2] for e in held])).encode())
-
-    for e in model.entries(text):
-        held.append(e)
-        if len(held) >= 1 << 16:
-            flush()
-            n += sum(len(x[0]) for x in held)
-            held = []
-    if held:
-        flush()
-        n += sum(len(x[0]) for x in held)
-    return n, ids.hexdigest(), names.hexdigest()
+def _digests(model: WordBpe, ids: np.ndarray) -> tuple[int, str, str]:
+    numbers, decoded = hashlib.sha256(), hashlib.sha256()
+    for i in range(0, len(ids), 1 << 18):
+        some, lead = ids[i : i + (1 << 18)].tolist(), " " if i else ""
+        numbers.update((lead + " ".join(map(model.decimals.__getitem__, some))).encode())
+        decoded.update((lead + model.decode(some)).encode())
+    return len(ids), numbers.hexdigest(), decoded.hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +297,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            made = [_digests(model, x.as_py() or "") for x in batch.column(1)]
+            made = [_digests(model, ids) for ids in model.encode_batch(x.as_py() or "" for x in batch.column(1))]
             cols = list(zip(*made, strict=True)) if made else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -214,7 +309,6 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pd.Series) -> pd.Series:
-        model = load(path)
-        return text.map(lambda t: model.encode(t or ""))
+        return pd.Series(list(load(path).encode_batch(t or "" for t in text)), dtype=object)
 
     return docs.withColumn(out, ids(F.col(text_col)))

@@ -2,7 +2,7 @@
 
 A shard is a file of blocks, a block index, a Bloom filter and a footer. A block holds records in key order; each key
 is stored as the length it shares with the key before it and the rest (every 16th whole, so a search can start there);
-a record's value is the document's ids as 16- or 32-bit little-endian numbers. Blocks are deflated one by one. The
+a record's value is the document's ids as 16- or 32-bit little-endian numbers. Blocks are compressed one by one. The
 sparse index names every block's first key; together with the filter a lookup reads at most one run of blocks.
 """
 
@@ -12,10 +12,11 @@ import json
 import os
 import struct
 import uuid
-import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 from urllib.parse import urlparse
 
 import numpy as np
@@ -26,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import PIECE
+from loomspark.llm.bpe import ChunkMemo, byte_alphabet
 
 MAGIC = b"LOOMSST1"
 _FOOTER = struct.Struct("<QQQQQQB8s")  # index at and size, filter at and size, records, ids, width of an id, magic
 _RESTART = 16
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -117,16 +119,16 @@ class ShardWriter:
             self._flush()
 
     def _flush(self) -> None:
-        data = zlib.compress(bytes(self.block), 1)
+        data = _CODEC.compress(bytes(self.block), asbytes=True)
         self.out.write(data)
-        self.index.append((self.first, self.at, len(data)))
+        self.index.append((self.first, self.at, len(data), len(self.block)))
         self.at += len(data)
         self.block, self.count = bytearray(), 0
 
     def close(self) -> None:
         if self.block:
             self._flush()
-        index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self.index)
+        index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) + _varint(raw) for k, at, n, raw in self.index)
         bloom = np.packbits(Bloom.of(self.keys).bits).tobytes()
         self.out.write(index + bloom)
         self.out.write(_FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), self.records, self.ids, self.width, MAGIC))
@@ -148,11 +150,12 @@ class Shard:
             key = raw[at : at + n]
             start, at = _read_varint(raw, at + n)
             length, at = _read_varint(raw, at)
-            self.index.append((key, start, length))
+            whole, at = _read_varint(raw, at)
+            self.index.append((key, start, length, whole))
         self.bloom = Bloom(np.unpackbits(np.frombuffer(self.file.read_at(bloom_size, bloom_at), np.uint8)))
 
-    def _block(self, start: int, length: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        data, at, key = zlib.decompress(self.file.read_at(length, start)), 0, b""
+    def _block(self, start: int, length: int, whole: int) -> Iterator[tuple[bytes, np.ndarray]]:
+        data, at, key = _CODEC.decompress(self.file.read_at(length, start), whole, asbytes=True), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             n, at = _read_varint(data, at)
@@ -162,8 +165,8 @@ class Shard:
             at += size
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
-        for _, start, length in self.index:
-            yield from self._block(start, length)
+        for _, *place in self.index:
+            yield from self._block(*place)
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every record with this key; none if it isn't there."""
@@ -171,10 +174,10 @@ class Shard:
         if key not in self.bloom:
             return found
         at = max(0, bisect_left(self.index, (key,)) - 1)
-        for first, start, length in self.index[at:]:
+        for first, *place in self.index[at:]:
             if first > key:
                 break
-            found += [ids for k, ids in self._block(start, length) if k == key]
+            found += [ids for k, ids in self._block(*place) if k == key]
         return found
 
 
@@ -188,45 +191,56 @@ def _tokenizer(path: str):
     return made
 
 
-class WordEncoder:
-    """The tokenizers library over chunks between white space, with a memo of two generations.
+class WordEncoder(ChunkMemo):
+    """The tokenizers library over chunks between white space.
 
-    For tokenizers that drop white space before they split words, so that chunks don't touch each other's tokens.
+    For byte-level tokenizers that drop white space before they split words and lower-case them, so that chunks don't
+    touch each other's tokens. The library gets every distinct word once while the memo holds it: a word's ids don't
+    depend on its case or on points and commas after it, which are looked up on their own. Other chunks go through
+    the library's whole chain, and texts with special tokens or separators that only str.split() knows as they are.
     """
 
-    #: Separators of str.split() that such tokenizers may not take for white space.
-    ODD = "\x1c\x1d\x1e\x1f"
-
-    def __init__(self, path: str, memo: int = 200_000) -> None:
-        self.lib, self.memo, self.new, self.old = _tokenizer(path), memo, {}, {}
-        self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, as the library's own encode() gives them."""
-        if any(c in text for c in self.ODD) or "<|" in text:
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts, at = [], 0
-        while at < len(text):
-            end = min(at + PIECE, len(text))
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            parts.append(self._words(text[at:end].split()))
-            at = end
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-    def _words(self, words: list[str]) -> np.ndarray:
-        new, old = self.new, self.old
-        missing = [w for w in dict.fromkeys(words) if w not in new]
-        fresh = [w for w in missing if w not in old]
-        known = {w: old[w] for w in missing if w in old}
-        for w, e in zip(fresh, self.lib.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        if len(new) + len(known) > self.memo:
-            self.old, self.new = new, {}
-            known |= {w: new[w] for w in words if w in new}
-        self.new.update((w, v) for w, v in known.items() if len(w) <= 64)
-        get = self.new.get
-        return np.array([i for w in words for i in (known[w] if w in known else get(w))], np.uint32)
+    def __init__(self, path: str, memo: int = 500_000) -> None:
+        self.lib = _tokenizer(path)
+        super().__init__(memo, self.lib.get_vocab_size())
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.words, self.old_words = {}, {}
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _word(self, low: str) -> bytes:
+        """Ids of lower-cased letters in composed form, from the library's model."""
+        data = low if low.isascii() else low.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet)
+        return self._ids([t.id for t in self.lib.model.tokenize(data)])
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        if len(self.words) >= self.memo:
+            self.old_words, self.words = self.words, {}
+        words, old_words, out, whole = self.words, self.old_words.get, {}, []
+        for c in chunks:
+            base = c.rstrip(".,")
+            low = base.lower()
+            if not low.isalpha() or not low.isascii() and ("\u03a3" in base or not is_normalized("NFC", low)):
+                whole.append(c)
+                continue
+            if (ids := words.get(low)) is None:
+                if (ids := old_words(low)) is None:
+                    ids = self._word(low)
+                if len(low) <= 64:
+                    words[low] = ids
+            if len(base) < len(c):
+                signs = c[len(base) :]
+                if (more := words.get(signs)) is None:
+                    more = words[signs] = self._ids(self.lib.encode(signs, add_special_tokens=False).ids)
+                ids += more
+            out[c] = ids
+        for c, e in zip(whole, self.lib.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            out[c] = self._ids(e.ids)
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        return self._ids(self.lib.encode(text, add_special_tokens=False).ids)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -246,15 +260,16 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
         store, base = file_system(out)
         part = TaskContext.get().partitionId()
         encoder = WordEncoder(tokenizer)
-        end = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+        end = np.array([] if end_id is None else [end_id], encoder.kind)
         name, writer, stream = f"{base}/shard-{part:06d}.sst", None, None
         for batch in batches:
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            encoded = encoder.encode_batch(t.as_py() for t in batch.column(1))
+            for i, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if writer is None:
                     attempt = f"{base}/.writing-{part:06d}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(attempt)
-                    writer = ShardWriter(stream, encoder.width)
-                writer.add(key_of(i.as_py()), np.concatenate([encoder.encode(text.as_py()), end]))
+                    writer = ShardWriter(stream, encoder.kind.itemsize)
+                writer.add(key_of(i), np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             stream.close()
