@@ -95,7 +95,8 @@ class ShardSet:
     def groups(self, shards: list[ShardFile]) -> list[list[ShardFile]]:
         """Merges that are due: shards below the target, by tier and size, filled up to the target size.
 
-        A tier waits until it has `fan` shards.
+        A tier waits until it has `fan` shards. No merge exceeds the target, so each makes one shard of several and
+        rounds come to an end.
         """
         tiers: dict[int, list[ShardFile]] = {}
         for s in sorted(shards, key=lambda s: (s.size, s.name)):
@@ -107,19 +108,19 @@ class ShardSet:
                 continue
             group: list[ShardFile] = []
             for s in members:
-                if group and sum(x.size for x in group) + s.size > self.plan.target and len(group) > 1:
+                if sum(x.size for x in group) + s.size > self.plan.target:
                     due.append(group)
                     group = []
                 group.append(s)
-            if len(group) > 1:
-                due.append(group)
-        return due
+            due.append(group)
+        return [g for g in due if len(g) > 1]
 
-    def compact(self) -> int:
+    def compact(self, keep: int = 1) -> int:
         """Merge until no tier is due; every round is one commit. The last version.
 
         A merge is one narrow job over its own files, without a shuffle; merges of a round run side by side. Rows
-        keep their order within a shard and none is added or lost.
+        keep their order within a shard and none is added or lost. After each round versions before the last `keep`
+        expire, so no more than two copies of what is merged are on disk.
         """
         while due := self.groups(self.shards(seen := self.version())):
             with ThreadPoolExecutor(self.plan.parallel) as pool:
@@ -127,12 +128,13 @@ class ShardSet:
             gone = {s.name for group in due for s in group}
             kept = [s for s in self.shards(seen) if s.name not in gone]
             self.commit(kept + [s for m in made for s in m], seen)
+            self.expire(keep)
         return self.version()
 
     def _merge(self, group: list[ShardFile]) -> list[ShardFile]:
         folder = f"run-{uuid.uuid4().hex[:12]}"
         rows = self.spark.read.parquet(*[f"{self.path}/{s.name}" for s in group])
-        rows.coalesce(max(1, math.ceil(sum(s.size for s in group) / self.plan.target))).write.parquet(f"{self.path}/{folder}")
+        rows.coalesce(1).write.parquet(f"{self.path}/{folder}")
         return self._written(folder)
 
     def expire(self, keep: int = 1) -> int:
