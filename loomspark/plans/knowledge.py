@@ -133,7 +133,7 @@ def node_search(spark, d):
 
 def edge_evidence(spark, d):
     item = F.to_json(F.struct(F.when(F.col("l_linenumber") < 6, _s("k", "l_orderkey")).alias("chunk_id"), _s("d", "l_partkey").alias("document_id"), F.col("l_linenumber").alias("char_start"), (F.col("l_linenumber") + 5).alias("char_end"), F.col("l_returnflag").alias("snippet")))
-    rows = read(spark, d, "lineitem").where("l_suppkey % 10 = 1").groupBy(F.col("l_suppkey").alias("target_id")).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target_id")).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
     edges = rows.select(F.lit("all").alias("source_id"), "target_id", F.lit("cites").alias("relationship_type"), F.concat("evidence", F.array(F.lit("{broken"))).alias("evidence"))
     return G.edge_evidence(edges, F.lit("all"), F.lit(1), F.lit("CITES")).select("chunk_id", "document_id", "char_start", "char_end", "snippet")
 
@@ -172,7 +172,7 @@ def citing_docs(spark, d):
     o = read(spark, d, "orders")
     edges = o.select(_s("o", "o_orderkey").alias("source_id"), _s("c", "o_custkey").alias("target_id"), F.lit("CITES").alias("relationship_type"))
     papers = o.select(_s("o", "o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("title"), F.year("o_orderdate").alias("year"))
-    return G.citing(edges, papers, read(spark, d, "customer").where("c_custkey % 10 = 0").select(_s("c", "c_custkey").alias("cited")))
+    return G.citing(edges, papers, read(spark, d, "customer").select(_s("c", "c_custkey").alias("cited")))
 
 
 def _sections(spark, d):
@@ -338,7 +338,7 @@ SELECT * FROM o1 UNION ALL SELECT * FROM o2 UNION ALL SELECT * FROM o3""",
 f AS (SELECT a AS asked, p, s, coalesce(c, 1.0) AS c, row_number() OVER (PARTITION BY a ORDER BY p, s) AS r FROM e, (VALUES ('p77'), ('p19')) t(a) WHERE contains(p, a) AND (c IS NULL OR c > 0.5))
 SELECT asked, p || '>' || s AS path, 'supplied_by' AS edge, round(c, 6) AS confidence FROM f WHERE r <= 10""",
     "citing_docs": """SELECT cited, document_id, title, year FROM (SELECT 'c' || o_custkey AS cited, 'o' || o_orderkey AS document_id, o_orderpriority AS title, year(o_orderdate)::INT AS year, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC, 'o' || o_orderkey) AS r
-FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 = 0) WHERE r <= 20""",
+FROM orders JOIN customer ON c_custkey = o_custkey) WHERE r <= 20""",
     "section_segment": f"WITH {_SEG} SELECT doc_id, section_no, section_type, title, md5(text) AS text_md5, char_offset_start, char_offset_end FROM sec",
     "structure_map": f"""WITH {_SEG} SELECT doc_id, count(*) AS n, '["' || array_to_string(list_sort(list(DISTINCT section_type)), '","') || '"]' AS kinds FROM sec GROUP BY doc_id""",
     "section_lookup": f"WITH {_SEG} SELECT d.doc_id, (n_chars // 2)::INT AS \"offset\", arg_min(section_type, section_no) AS section_type FROM documents d LEFT JOIN sec s ON s.doc_id = d.doc_id AND n_chars // 2 >= char_offset_start AND n_chars // 2 < char_offset_end GROUP BY d.doc_id, n_chars",
