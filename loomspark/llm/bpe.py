@@ -13,7 +13,6 @@ from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -80,7 +79,7 @@ class ChunkMemo:
         """Ids of a text that holds special tokens or odd separators."""
         raise NotImplementedError
 
-    def encode_batch(self, texts: Iterable[str], chars: int = 1 << 22) -> Iterator[np.ndarray]:
+    def encode_batch(self, texts: Iterable[str], chars: int = 1 << 21) -> Iterator[np.ndarray]:
         """Ids of each whole text, in order. The distinct chunks of about `chars` characters are looked up together."""
         held: list[str] = []
         size, collecting = 0, gc.isenabled()
@@ -114,21 +113,28 @@ class ChunkMemo:
 
     def known(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks, in their order."""
-        new, old = self.chunks.get, self.old_chunks.get
-        found = {c: new(c) or old(c) for c in chunks}
-        found[""] = b""
-        if missing := [c for c, ids in found.items() if ids is None]:
-            found.update(self._learn(missing))
+        found = dict(zip(chunks, map(self.chunks.get, chunks), strict=True))
+        old, fresh, missing = self.old_chunks.get, {}, []
+        for c in [c for c, ids in found.items() if ids is None]:
+            if not c:
+                fresh[c] = b""
+            elif (ids := old(c)) is None:
+                missing.append(c)
+            else:
+                fresh[c] = ids
+        if missing:
+            fresh.update(self._learn(missing))
+        found.update(fresh)
         if len(self.chunks) >= self.memo:
             self.old_chunks, self.chunks = self.chunks, {}
-        self.chunks.update(found if max(map(len, found)) <= 64 else {c: ids for c, ids in found.items() if len(c) <= 64})
+        self.chunks.update((c, ids) for c, ids in fresh.items() if len(c) <= 64)
         return found
 
 
 class WordBpe(ChunkMemo):
     """A BPE model from a tokenizer file: lower-casing, white space dropped, byte alphabet, word-end suffix."""
 
-    def __init__(self, path: str, memo: int = 250_000) -> None:
+    def __init__(self, path: str, memo: int = 100_000) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -299,6 +305,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             made = [_digests(model, ids) for ids in model.encode_batch(x.as_py() or "" for x in batch.column(1))]
             cols = list(zip(*made, strict=True)) if made else [[], [], []]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -307,8 +314,13 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with an array<int> column of token ids (a null text gives an empty array); a column of that name is replaced."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(text: pd.Series) -> pd.Series:
-        return pd.Series(list(load(path).encode_batch(t or "" for t in text)), dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(text: pa.Array) -> pa.Array:
+        made = list(load(path).encode_batch(t.as_py() or "" for t in text))
+        ends = np.cumsum([0, *map(len, made)])
+        flat = np.concatenate([np.zeros(0, np.int32), *made]).astype(np.int32)
+        del made
+        pa.default_memory_pool().release_unused()
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return docs.withColumn(out, ids(F.col(text_col)))
