@@ -263,7 +263,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
         end = np.array([] if end_id is None else [end_id], encoder.kind)
         name, writer, stream = f"{base}/shard-{part:06d}.sst", None, None
         for batch in batches:
-            encoded = encoder.encode_batch(t.as_py() for t in batch.column(1))
+            encoded = encoder.encode_batch((t.as_py() for t in batch.column(1)), 1 << 24)
             for i, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if writer is None:
                     attempt = f"{base}/.writing-{part:06d}-{uuid.uuid4().hex}"
