@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.llm.common import tidy
 
 #: The white space that the tokenizer's patterns know; fixed by Unicode.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(rf"[{SPACE}]")
 _NONE = 1 << 62
 
@@ -305,7 +306,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             made = [_digests(model, ids) for ids in model.encode_batch(x.as_py() or "" for x in batch.column(1))]
             cols = list(zip(*made, strict=True)) if made else [[], [], []]
-            pa.default_memory_pool().release_unused()
+            tidy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -320,7 +321,7 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str =
         ends = np.cumsum([0, *map(len, made)])
         flat = np.concatenate([np.zeros(0, np.int32), *made]).astype(np.int32)
         del made
-        pa.default_memory_pool().release_unused()
+        tidy()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     return docs.withColumn(out, ids(F.col(text_col)))

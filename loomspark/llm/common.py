@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts longer than this are walked in pieces cut at white space, so that no list of words outgrows memory.
@@ -73,3 +75,11 @@ def word_lists(data: bytes) -> Iterator[list[bytes]]:
         end = cut.start() if cut else len(data)
         yield data[at:end].split()
         at = end
+
+
+def tidy() -> None:
+    """Give memory that a batch no longer needs back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

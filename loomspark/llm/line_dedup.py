@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import materialize, tidy
 
 #: What a sorted partition says of a line: it goes; it waits for earlier partitions; first document of an edge run.
 DROP, WAIT, EDGE = 0, 1, 2
@@ -43,6 +43,7 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
                 if len(hashes) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((hashes, ids, marks, places), _ROW, strict=True)], schema=_ROW)
                     hashes, ids, marks, places = [], [], [], []
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((hashes, ids, marks, places), _ROW, strict=True)], schema=_ROW)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(
