@@ -126,9 +126,11 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col
     every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("bucket"))
     table = every.join(counts, "bucket", "left").select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("raw", "good")))
     table = materialize(table, "quality")
-    total = table.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    p = lambda n, s: (F.col(n) + rules.smoothing) / (F.col(s) + rules.smoothing * rules.buckets)
-    return table.join(F.broadcast(total)).select("bucket", F.when(F.col("all_good") > 0, F.log(p("good", "all_good") / p("raw", "all_raw"))).otherwise(F.lit(0.0)).alias("ratio"))
+    sums = table.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()  # two numbers
+    if not sums["good"]:
+        return table.select("bucket", F.lit(0.0).alias("ratio"))
+    share = lambda n: (F.col(n) + rules.smoothing) / (sums[n] + rules.smoothing * rules.buckets)
+    return table.select("bucket", F.log(share("good") / share("raw")).alias("ratio"))
 
 
 def _score(text: Column, ratios: list[float], rules: QualityRules) -> Column:
