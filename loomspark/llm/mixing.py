@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 from fractions import Fraction
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,6 +156,35 @@ def _unit(h: Column) -> Column:
 
 
 def mixed_order(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs, all columns and rows, laid out in the order of the mix: partitions in range order, sorted within."""
+    """docs, all columns and rows, laid out in the order of the mix: partitions in range order, sorted within.
+
+    positions() finds the order again once the rows have been written and read.
+    """
     timed = mix(docs, plan, id_col, source_col)
     return timed.orderBy("__slot", "__rank").select(*docs.columns)
+
+
+def positions(docs: DataFrame, name: str = "mix_position") -> DataFrame:
+    """docs with each row's place in the order its files were written in: those before it in its file and earlier files.
+
+    Readers sort and pack files by size, so the order of mixed_order() is that of file names and of rows within a file,
+    not that of the rows as read. Rows that are not read from files are numbered as they come, with gaps.
+    """
+    try:
+        at = docs.select(F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    sizes = {r["__file"]: r["n"] for r in at.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}  # a row a file
+    before, rows = 0, []
+    for file in sorted(sizes, key=_natural):
+        rows.append((file, before))
+        before += sizes[file]
+    starts = docs.sparkSession.createDataFrame(rows, "__file string, __before long")
+    marked = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    placed = marked.join(F.broadcast(starts), "__file")
+    return placed.select(*docs.columns, (F.col("__before") + F.col("__row")).alias(name))
+
+
+def _natural(file: str) -> list[tuple[int, str]]:
+    """Sorts part-100000 behind part-99999."""
+    return [(int(x), "") if x.isdecimal() else (-1, x) for x in re.split(r"([0-9]+)", file)]

@@ -1,6 +1,7 @@
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from loomspark.llm import mixing
 from loomspark.llm.queries import vocabulary
 from tests.llm import brute
 
@@ -37,3 +38,28 @@ def test_one_row_of_each_group_stays(spark, odd_docs, sf_dir):
     got = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, odd_docs, sf_dir).collect()]
     assert sorted(x for x in got if x is not None) == [1, 2, 3, 5, 7, 8, 10, 12] or len(got) == len(set(got))
     assert got.count(5) == 1 and 4 not in got and 9 not in got
+
+
+def test_order_of_the_mix_over_several_files(spark, sf_dir, tmp_path):
+    rows = [(i, "word " * (i * 37 % 90 + 1), "en", f"s{i * i % 5}", i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    want = [x["doc_id"] for x in mixing.mix(docs).orderBy("__slot", "__rank").collect()]
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12", "spark.sql.files.maxPartitionBytes": "6k", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.mixed_sources(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mixed")
+        again = spark.read.parquet(f"{tmp_path}/mixed")
+        assert len(again.inputFiles()) > 5 and [x["doc_id"] for x in again.select("doc_id").collect()] != want
+        got = corpus_pipeline.token_ids(spark, again, sf_dir).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(x["mix_position"] for x in got) == list(range(1500))
+    assert [x["doc_id"] for x in sorted(got, key=lambda x: x["mix_position"])] == want
+
+
+def test_order_of_files_beyond_five_digits():
+    names = [f"part-{n:05d}-0a1b2c-c000.parquet" for n in (2, 10, 99999, 100000)]
+    assert sorted(reversed(names), key=mixing._natural) == names
