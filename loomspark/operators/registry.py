@@ -78,7 +78,7 @@ def find_duplicates(requests: DataFrame, registry: DataFrame, fuzzy: bool = True
     return out.withColumn("document_id", F.coalesce("by_doi", "by_hash", "by_title")).withColumn("match_type", kind).drop("by_doi", "by_hash", "by_title")
 
 
-def register(requests: DataFrame, registry: DataFrame, fuzzy: bool = False) -> DataFrame:
+def register(requests: DataFrame, registry: DataFrame, fuzzy: bool = True) -> DataFrame:
     """One outcome a request: created or duplicate, with the document it belongs to and how it matched.
 
     Requests are taken in the order of request_id. Among new ones the first of each content hash (else DOI) creates

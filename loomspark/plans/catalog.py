@@ -98,11 +98,23 @@ def _requests(spark, d):
 
 
 def dedup_cascade(spark, d):
+    # its SQL holds the exact steps only; dedup_cascade_fuzzy has them all
     requests, registry = _requests(spark, d)
     return R.find_duplicates(requests, registry, fuzzy=False).select("request_id", "document_id", "match_type")
 
 
 def register_batch(spark, d):
+    # its SQL holds the exact steps only; register_batch_fuzzy has them all
+    requests, registry = _requests(spark, d)
+    return R.register(requests, registry, fuzzy=False).select("request_id", "document_id", "status", "match_type")
+
+
+def dedup_cascade_fuzzy(spark, d):
+    requests, registry = _requests(spark, d)
+    return R.find_duplicates(requests, registry).select("request_id", "document_id", "match_type")
+
+
+def register_batch_fuzzy(spark, d):
     requests, registry = _requests(spark, d)
     return R.register(requests, registry).select("request_id", "document_id", "status", "match_type")
 
@@ -277,7 +289,7 @@ def connector_ads(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        title_normalize, doi_normalize, author_names, reference_parse, file_types, content_dedup, search_merge, federated_search, dedup_cascade, register_batch, fuzzy_titles, status_counts, job_avg_duration,
+        title_normalize, doi_normalize, author_names, reference_parse, file_types, content_dedup, search_merge, federated_search, dedup_cascade, register_batch, dedup_cascade_fuzzy, register_batch_fuzzy, fuzzy_titles, status_counts, job_avg_duration,
         pending_queue, pending_capped, stale_reset, job_claims, offset_page, keyset_page, lifecycle_validate, soft_delete, vector_upsert, insert_or_get, latency_histogram, metadata_merge, import_outcomes, source_lookup,
         connector_crossref, connector_scholar, connector_arxiv, connector_ads,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
 from loomspark.operators import dense, registry, segment
+from loomspark.plans import catalog
 from loomspark.sources import connectors, files
 from loomspark.streaming import stateful
 
@@ -64,6 +65,33 @@ def test_fuzzy_matches_lose_nothing(spark):
     assert got == want
 
 
+def test_whole_cascade_against_brute_force(spark, sf_dir):
+    rows = {k: [x.asDict() for x in t.collect()] for k, t in zip(("new", "old"), catalog._requests(spark, sf_dir), strict=True)}
+    want = {}
+    for q in rows["new"]:
+        probes = [(kind, min((o["document_id"] for o in rows["old"] if q[kind] is not None and o[kind] == q[kind]), default=None)) for kind in ("doi", "content_hash")]
+        alike = [(registry._ratio(q["title"], o["title"]), -o["document_id"]) for o in rows["old"] if q["title"] is not None and o["title"] is not None and q["year"] is not None and o["year"] == q["year"]]
+        best = max(alike, default=(0, 0))
+        probes.append(("fuzzy_title", -best[1] if best[0] >= 0.9 else None))
+        want[q["request_id"]] = next(((i, kind) for kind, i in probes if i is not None), (None, None))
+    assert "fuzzy_title" in {k for _, k in want.values()}
+    assert {x["request_id"]: (x["document_id"], x["match_type"]) for x in catalog.dedup_cascade_fuzzy(spark, sf_dir).collect()} == want
+    made = {x["request_id"]: x for x in catalog.register_batch_fuzzy(spark, sf_dir).collect()}
+    for i, (doc, kind) in want.items():
+        if kind:
+            assert (made[i]["document_id"], made[i]["status"], made[i]["match_type"]) == (doc, "duplicate", kind)
+        else:
+            assert made[i]["status"] == "created" or made[i]["match_type"] == "race_condition"
+
+
+def test_register_runs_the_fuzzy_step(spark):
+    schema = "long, doi string, content_hash string, title string, year int"
+    asked = spark.createDataFrame([(1, "d9", "h9", "a study of dwarf galaxies", 2001), (2, None, "h8", "a study of dwarf galaxies", 2002)], f"request_id {schema}")
+    held = spark.createDataFrame([(50, "d1", "h1", "a study of dwarf galaxy", 2001)], f"document_id {schema}")
+    got = {x["request_id"]: tuple(x)[1:] for x in registry.register(asked, held).collect()}
+    assert got == {1: (50, "duplicate", "fuzzy_title"), 2: (2, "created", None)}
+
+
 def _plain_chunks(text, most, overlap, least):
     """Sentence by sentence, the straightforward way."""
     words = lambda t: re.findall(r"\S+", t)
