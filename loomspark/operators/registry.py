@@ -289,13 +289,19 @@ def first_found(keys: DataFrame, sources: list[DataFrame], key: str) -> DataFram
 
 
 def import_outcomes(requests: DataFrame, found: DataFrame, registry: DataFrame) -> DataFrame:
-    """requests(request_id, arxiv_id, doi, bibcode, url) -> source chosen and NOT_FOUND, DUPLICATE or IMPORTED."""
+    """requests(request_id, arxiv_id, doi, bibcode, url) -> source chosen and NOT_FOUND, DUPLICATE or IMPORTED.
+
+    found(request_id, external_id, source) are the papers that the sources returned, registry(doi, external_id, source)
+    the imports so far. DUPLICATE by the lower-cased DOI, else by external id and source; null and empty match nothing.
+    """
     source = F.when(F.length("arxiv_id") > 0, "arxiv").when(F.length("doi") > 0, "crossref").when(F.length("bibcode") > 0, "scixplorer").when(F.length("url") > 0, "upload").otherwise("unknown")
     there = found.select("request_id", F.lit(True).alias("__found")).distinct()
-    known = registry.where("doi is not null").select(F.lower("doi").alias("__doi")).distinct()
-    out = requests.withColumn("import_source", source).join(there, "request_id", "left").join(known.withColumn("__known", F.lit(True)), F.lower("doi") == F.col("__doi"), "left")
-    status = F.when(F.col("__found").isNull(), "NOT_FOUND").when(F.col("__known"), "DUPLICATE").otherwise("IMPORTED")
-    return out.withColumn("import_status", status).drop("__found", "__doi", "__known")
+    known = registry.where("length(doi) > 0").select(F.lower("doi").alias("__doi"), F.lit(True).alias("__by_doi")).distinct()
+    pairs = registry.where("length(external_id) > 0 and source is not null").select("external_id", "source").distinct()
+    same = found.join(pairs, ["external_id", "source"]).select("request_id", F.lit(True).alias("__by_id")).distinct()
+    out = requests.withColumn("import_source", source).join(there, "request_id", "left").join(known, F.lower("doi") == F.col("__doi"), "left").join(same, "request_id", "left")
+    status = F.when(F.col("__found").isNull(), "NOT_FOUND").when(F.coalesce("__by_doi", "__by_id"), "DUPLICATE").otherwise("IMPORTED")
+    return out.withColumn("import_status", status).drop("__found", "__doi", "__by_doi", "__by_id")
 
 
 def latency_buckets(rows: DataFrame, value: str, labels: list[str]) -> DataFrame:

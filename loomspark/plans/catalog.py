@@ -218,14 +218,24 @@ def metadata_merge(spark, d):
     return o.select("o_orderkey", *(made[k].alias(k) for k in ("status", "priority", "customer")))
 
 
-def import_outcomes(spark, d):
-    rows = _papers(spark, d)
+def _imports(spark, d, external_id, source):
+    rows = _papers(spark, d).select("*", external_id.alias("external_id"), source.alias("from_source")).drop("source").withColumnRenamed("from_source", "source")
     asked = rows.select(F.col("arrival").alias("request_id"), "arxiv_id", "doi", F.lit(None).cast("string").alias("bibcode"), F.when(F.col("arrival") % 2 == 0, F.lit("http://x")).alias("url"))
-    found = rows.where("arrival % 6 < 5").select(F.col("arrival").alias("request_id"))
-    known = rows.where("arrival % 8 = 0").select("doi")
+    found = rows.where("arrival % 6 < 5").select(F.col("arrival").alias("request_id"), "external_id", "source")
+    known = rows.where("arrival % 8 = 0").select("doi", "external_id", "source")
     return R.import_outcomes(asked, found, known).select("request_id", "import_source", "import_status")
 
 
+def import_outcomes(spark, d):
+    none = F.lit(None).cast("string")  # its papers have no external ids; those of import_existing do
+    return _imports(spark, d, none, none)
+
+
+def import_existing(spark, d):
+    key = F.when((F.col("arrival") % 24).isin(0, 3), F.lit("")).otherwise(F.floor(F.col("arrival") / 4).cast("string"))
+    return _imports(spark, d, key, F.col("source"))
+
+
 def source_lookup(spark, d):
     rows = _papers(spark, d).where("length(doi) > 0").select(F.lower("doi").alias("doi"), "title", "source", "arrival")
     one = rows.where("source = 'crossref'").groupBy("doi").agg(F.min_by("title", "arrival").alias("title"), F.first("source").alias("source"))
@@ -290,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_normalize, doi_normalize, author_names, reference_parse, file_types, content_dedup, search_merge, federated_search, dedup_cascade, register_batch, dedup_cascade_fuzzy, register_batch_fuzzy, fuzzy_titles, status_counts, job_avg_duration,
-        pending_queue, pending_capped, stale_reset, job_claims, offset_page, keyset_page, lifecycle_validate, soft_delete, vector_upsert, insert_or_get, latency_histogram, metadata_merge, import_outcomes, source_lookup,
+        pending_queue, pending_capped, stale_reset, job_claims, offset_page, keyset_page, lifecycle_validate, soft_delete, vector_upsert, insert_or_get, latency_histogram, metadata_merge, import_outcomes, import_existing, source_lookup,
         connector_crossref, connector_scholar, connector_arxiv, connector_ads,
     )
 }
@@ -376,6 +386,9 @@ h NOT IN (SELECT h FROM r WHERE doc_id % 2 = 0) AND doc_id = min(doc_id) OVER (P
     "metadata_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE o_orderstatus END AS status, o_orderpriority AS priority, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR END AS customer FROM orders",
     "import_outcomes": f"""WITH {_PAPERS} SELECT arrival AS request_id, CASE WHEN length(arxiv_id) > 0 THEN 'arxiv' WHEN length(doi) > 0 THEN 'crossref' WHEN arrival % 2 = 0 THEN 'upload' ELSE 'unknown' END AS import_source,
 CASE WHEN arrival % 6 >= 5 THEN 'NOT_FOUND' WHEN lower(doi) IN (SELECT lower(doi) FROM papers WHERE arrival % 8 = 0 AND doi IS NOT NULL) THEN 'DUPLICATE' ELSE 'IMPORTED' END AS import_status FROM papers""",
+    "import_existing": f"""WITH {_PAPERS}, e AS (SELECT *, CASE WHEN arrival % 24 IN (0, 3) THEN '' ELSE (arrival // 4)::VARCHAR END AS ext FROM papers), k AS (SELECT * FROM e WHERE arrival % 8 = 0)
+SELECT arrival AS request_id, CASE WHEN length(arxiv_id) > 0 THEN 'arxiv' WHEN length(doi) > 0 THEN 'crossref' WHEN arrival % 2 = 0 THEN 'upload' ELSE 'unknown' END AS import_source,
+CASE WHEN arrival % 6 >= 5 THEN 'NOT_FOUND' WHEN lower(doi) IN (SELECT lower(doi) FROM k WHERE length(doi) > 0) OR (length(ext) > 0 AND (ext, source) IN (SELECT (ext, source) FROM k)) THEN 'DUPLICATE' ELSE 'IMPORTED' END AS import_status FROM e""",
     "source_lookup": f"""WITH {_PAPERS}, p AS (SELECT lower(doi) AS doi, title, source, arrival FROM papers WHERE length(doi) > 0)
 SELECT k.doi, coalesce(a.title, b.title) AS title, coalesce(a.source, b.source) AS source FROM (SELECT DISTINCT doi FROM p) k
 LEFT JOIN (SELECT doi, arg_min(title, arrival) AS title, any_value(source) AS source FROM p WHERE source = 'crossref' GROUP BY doi) a ON a.doi = k.doi

@@ -92,6 +92,15 @@ def test_register_runs_the_fuzzy_step(spark):
     assert got == {1: (50, "duplicate", "fuzzy_title"), 2: (2, "created", None)}
 
 
+def test_imports_known_by_external_id(spark):
+    asked = spark.createDataFrame([(1, None), (2, "10.1/New"), (3, "10.1/OLD"), (4, None), (5, ""), (6, None), (7, None)], "request_id long, doi string").selectExpr("*", "null as arxiv_id", "null as bibcode", "'http://x' as url")
+    found = [(1, "a1", "arxiv"), (2, "a1", "arxiv"), (3, "b9", "crossref"), (4, "a1", "crossref"), (5, "", "arxiv"), (6, None, "arxiv")]
+    held = [(None, "a1", "arxiv"), (None, "a1", "arxiv"), ("10.1/old", "c3", "crossref"), ("", "", "arxiv"), (None, None, "arxiv")]
+    got = registry.import_outcomes(asked, spark.createDataFrame(found, "request_id long, external_id string, source string"), spark.createDataFrame(held, "doi string, external_id string, source string"))
+    want = {1: "DUPLICATE", 2: "DUPLICATE", 3: "DUPLICATE", 4: "IMPORTED", 5: "IMPORTED", 6: "IMPORTED", 7: "NOT_FOUND"}
+    assert sorted((x["request_id"], x["import_status"]) for x in got.collect()) == sorted(want.items())
+
+
 def _plain_chunks(text, most, overlap, least):
     """Sentence by sentence, the straightforward way."""
     words = lambda t: re.findall(r"\S+", t)
