@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from loomspark import values as V
 
-_YEARS = r"(?:from|after|since|between)\s+(\d{4})(?:\s+(?:to|and|until)\s+(\d{4}))?|(?:before|until|up to)\s+(\d{4})|in\s+(\d{4})"
-_AUTHOR = r"(?:by|author(?:ed by)?)\s+([A-Z][a-z]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][a-z]+))?)"
-
 
 def intent(question: Column) -> Column:
     """The first intent with a pattern that occurs anywhere in the lower-cased question."""
@@ -21,7 +18,7 @@ def intent(question: Column) -> Column:
 
 
 def _year(question: Column, group: int) -> Column:
-    found = F.regexp_extract(question, _YEARS, group)
+    found = F.regexp_extract(question, V.YEARS, group)
     return F.when(F.length(found) > 0, found.cast("int"))
 
 
@@ -32,13 +29,13 @@ def year_range(question: Column) -> tuple[Column, Column]:
 
 
 def author(question: Column) -> Column:
-    found = F.regexp_extract(question, _AUTHOR, 1)
+    found = F.regexp_extract(question, V.AUTHOR, 1)
     return F.when(F.length(found) > 0, found)
 
 
-def spotted(question: Column, patterns=tuple(V.QUERY_ENTITIES)) -> Column:
-    """Sorted distinct mentions, as written, of the patterns in any case."""
-    hits = [F.regexp_extract_all(question, F.lit(f"(?i)({p})"), F.lit(1)) for p in patterns]
+def spotted(question: Column, patterns: tuple[str, ...] = V.QUERY_ENTITIES) -> Column:
+    """Sorted distinct mentions, as written, of the patterns in any case; white space is that of Unicode."""
+    hits = [F.regexp_extract_all(question, F.lit(f"(?iU)({p})"), F.lit(1)) for p in patterns]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*hits))))
 
 

@@ -81,7 +81,7 @@ def overlap_tail(text: Column, tokens: int) -> Column:
     return F.when(F.size(words) <= tokens, text).otherwise(F.concat(F.array_join(F.slice(words, -tokens, tokens), " "), F.lit(" ")))
 
 
-_NUMBERED, _ROMAN, _CAPITALS = r"(?i)^(\d+\.?\d*\.?)\s+(.+)$", r"(?i)^([IVX]+\.?)\s+(.+)$", r"(?i)^([A-Z][A-Z\s]{3,})$"
+_NUMBERED, _ROMAN = f"(?i){V.NUMBERED_HEADER}", f"(?i){V.ROMAN_HEADER}"
 
 
 def header_title(line: Column, strict_caps: bool = False) -> Column:
@@ -89,7 +89,7 @@ def header_title(line: Column, strict_caps: bool = False) -> Column:
 
     Letter-only lines count as headers in any case unless strict_caps asks for capitals.
     """
-    capitals = _CAPITALS.replace("(?i)", "") if strict_caps else _CAPITALS
+    capitals = V.CAPITALS_HEADER if strict_caps else f"(?i){V.CAPITALS_HEADER}"
     upper = (F.upper(line) == line) & (F.lower(line) != line) & (F.length(line) > 3)
     title = (
         F.when(line.rlike(_NUMBERED), F.regexp_extract(line, _NUMBERED, 2))
@@ -134,17 +134,17 @@ def safe_filename(name: Column) -> Column:
 
 
 def reference_doi(raw: Column) -> Column:
-    found = F.rtrim(F.regexp_extract(raw, r"(10\.\d{4,}/[^\s]+)", 1), F.lit("."))
+    found = F.rtrim(F.regexp_extract(raw, V.REFERENCE_DOI, 1), F.lit("."))
     return F.when(F.length(found) > 0, found)
 
 
 def reference_year(raw: Column) -> Column:
-    found = F.regexp_extract(raw, r"\b((?:19|20)\d{2})\b", 1)
+    found = F.regexp_extract(raw, V.REFERENCE_YEAR, 1)
     return F.when(F.length(found) > 0, found.cast("int"))
 
 
 def reference_arxiv(raw: Column) -> Column:
-    found = F.regexp_extract(raw, r"(?i)arXiv:(\d{4}\.\d{4,5})", 1)
+    found = F.regexp_extract(raw, f"(?i){V.REFERENCE_ARXIV}", 1)
     return F.when(F.length(found) > 0, found)
 
 

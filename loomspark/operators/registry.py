@@ -108,13 +108,15 @@ def merge_maps(old: Column, new: Column) -> Column:
 
 
 def insert_or_get(rows: DataFrame, table: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """(table with the first new row of each key, rows with __created). Null keys always insert."""
-    w = Window.partitionBy(key).orderBy(order)
-    ranked = rows.withColumn("__first", F.col(key).isNull() | (F.row_number().over(w) == 1))
-    fresh = ranked.where("__first").join(table.select(key).where(F.col(key).isNotNull()), key, "left_anti").drop("__first")
-    ids = fresh.select(F.col(order).alias("__o"), F.lit(True).alias("__made"))
+    """(table with the first new row of each key, rows with __created). Null keys always insert.
+
+    `order` tells rows apart. Only the least order of each key travels, so neither null nor frequent keys meet in a task.
+    """
+    held = table.select(key).where(F.col(key).isNotNull())
+    firsts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__o")).join(held, key, "left_anti").select("__o")
+    ids = firsts.union(rows.where(F.col(key).isNull()).select(order)).withColumn("__made", F.lit(True))
     marked = rows.join(ids, F.col(order) == F.col("__o"), "left").withColumn("__created", F.coalesce("__made", F.lit(False))).drop("__o", "__made")
-    return table.unionByName(fresh, allowMissingColumns=True), marked
+    return table.unionByName(marked.where("__created").drop("__created"), allowMissingColumns=True), marked
 
 
 # --- lifecycle ---
@@ -181,6 +183,17 @@ def keyset_page(rows: DataFrame, created: str, key: str, limit: int, after: tupl
     return rows.orderBy(F.col(created).desc(), F.col(key).desc()).limit(limit + 1)
 
 
+def page_after(rows: DataFrame, created: str, key: str, limit: int, page: DataFrame) -> DataFrame:
+    """The page that follows one made by keyset_page(): rows beyond the last of its first `limit` rows, none if it was short.
+
+    The cursor is found within the plan and is one row, so it is broadcast.
+    """
+    shown = page.orderBy(F.col(created).desc(), F.col(key).desc()).limit(limit)
+    last = F.broadcast(shown.agg(F.min(F.struct(F.col(created).alias("at"), F.col(key).alias("key"))).alias("__last")))
+    beyond = rows.crossJoin(last).where(F.struct(F.col(created).alias("at"), F.col(key).alias("key")) < F.col("__last")).drop("__last")
+    return beyond.orderBy(F.col(created).desc(), F.col(key).desc()).limit(limit + 1)
+
+
 def cursor_of(key: Column) -> Column:
     """The opaque form of a row's key."""
     return F.translate(F.base64(F.encode(key.cast("string"), "utf-8")), "+/", "-_")

@@ -173,8 +173,7 @@ def offset_page(spark, d):
 def keyset_page(spark, d):
     orders = read(spark, d, "orders")
     page = R.keyset_page(orders, "o_orderdate", "o_orderkey", 20)
-    at = page.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).collect()[19]
-    after = R.keyset_page(orders, "o_orderdate", "o_orderkey", 20, (at["o_orderdate"], at["o_orderkey"]))
+    after = R.page_after(orders, "o_orderdate", "o_orderkey", 20, page)
     return after.select("o_orderkey", "o_orderdate", R.cursor_of(F.col("o_orderkey")).alias("cursor"))
 
 

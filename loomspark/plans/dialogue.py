@@ -37,6 +37,23 @@ def query_entities(spark, d):
     return _questions(spark, d).select("conv_id", "turn", F.array_join(Q.spotted(F.col("q")), "|").alias("entities"))
 
 
+#: Every name that questions are searched for, and spaces that part its words.
+PHRASES = (
+    "solar wind", "coronal mass ejection", "CME", "magnetic reconnection", "geomagnetic storm", "solar flare", "magnetosphere", "ionosphere", "heliosphere", "Parker Solar Probe", "Solar Orbiter", "SDO",
+    "STEREO", "Van Allen belts", "van allen probe", "radiation belt", "bow shock", "magnetopause", "plasmasphere", "auroral", "Aurora", "substorm", "ring current", "plasma sheet", "Van Allen",
+)
+GAPS = (" ", "  ", "\n", "\t\n ")
+
+
+def query_entity_forms(spark, d):
+    """Questions that hold every known name, its words parted by each of GAPS."""
+    words = F.concat_ws(" and ", *(_pick(k, PHRASES) for k in ("k", "conv_id")), F.upper(_pick("turn", PHRASES)))
+    gap = F.element_at(F.array(*[F.lit(x) for x in GAPS]), (F.col("conv_id") % len(GAPS) + 1).cast("int"))
+    rows = read(spark, d, "conversations").withColumn("k", F.col("conv_id") + 7 * F.col("turn"))
+    text = F.concat(F.replace(words, F.lit(" "), gap), F.lit(" "), "text")
+    return rows.select("conv_id", "turn", F.array_join(Q.spotted(text), "|").alias("entities"))
+
+
 def query_rewrite(spark, d):
     q = F.col("q")
     return _questions(spark, d).select("conv_id", "turn", Q.rewrite(q).alias("rewritten"), F.array_join(Q.variations(q), "||").alias("variations"))
@@ -173,7 +190,7 @@ def token_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        query_understanding, query_entities, query_rewrite, query_synonyms, citations_extract, answer_confidence, sanitize_prompt, prompt_sources, prompt_truncation, batch_summaries, idempotent_events, session_gaps, session_windows,
+        query_understanding, query_entities, query_entity_forms, query_rewrite, query_synonyms, citations_extract, answer_confidence, sanitize_prompt, prompt_sources, prompt_truncation, batch_summaries, idempotent_events, session_gaps, session_windows,
         token_bucket, circuit_breaker, lifecycle_apply, retry_schedule, dead_letters, last_job_update, late_split, rate_limit_keys, token_stream,
     )
 }
@@ -185,8 +202,26 @@ def _list(items) -> str:
 
 _QS = f"""qs AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % {len(OPENINGS)} = 8 THEN '{OPENINGS[8]}' ELSE {_list(OPENINGS)}[(conv_id + turn) % {len(OPENINGS)} + 1] || replace(text, chr(10), ' ') END AS q FROM conversations WHERE role = 'user')"""
 _AS = f"""ans AS (SELECT conv_id, turn, text || {_list(_TAILS)}[(conv_id + turn) % {len(_TAILS)} + 1] AS a FROM conversations WHERE role = 'assistant')"""
-_INTENT = " ".join(f"WHEN regexp_matches(lower(q), '{'|'.join(p)}') THEN '{n}'" for n, p in V.INTENTS)
-_YEAR = Q._YEARS
+# The patterns below are written out again, apart from those that the queries use.
+_INTENT = r"""WHEN regexp_matches(lower(q), 'summarize|summary of|overview of|what is known about|tell me about') THEN 'summary'
+WHEN regexp_matches(lower(q), 'compare|difference between|how does .+ differ from|vs\.?|versus|similarities between') THEN 'compare'
+WHEN regexp_matches(lower(q), 'evidence for|evidence that|support for|prove|show that|demonstrate') THEN 'find_evidence'
+WHEN regexp_matches(lower(q), 'related to|connections? between|explore|what else|associated with') THEN 'explore'
+WHEN regexp_matches(lower(q), 'explain|how does|why does|what causes|mechanism of|how is .+ related') THEN 'explain'
+WHEN regexp_matches(lower(q), 'list|what are the|which .+ are|enumerate|name the') THEN 'list'
+WHEN regexp_matches(lower(q), 'what is|when did|who|where|how many|how much') THEN 'factual'"""
+_YEAR = r"(?:from|after|since|between)\s+(\d{4})(?:\s+(?:to|and|until)\s+(\d{4}))?|(?:before|until|up to)\s+(\d{4})|in\s+(\d{4})"
+_BY = r"(?:by|author(?:ed by)?)\s+([A-Z][a-z]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][a-z]+))?)"
+_NAMED = (
+    r"solar\s+wind", r"coronal\s+mass\s+ejection", "CME", r"magnetic\s+reconnection", r"geomagnetic\s+storm", r"solar\s+flare", "magnetosphere", "ionosphere", "heliosphere", r"Parker\s+Solar\s+Probe", r"Solar\s+Orbiter",
+    "SDO", "STEREO", r"Van\s+Allen\s+(?:belt|probe)s?", r"radiation\s+belt", r"bow\s+shock", "magnetopause", "plasmasphere", "auroral?", "substorm", r"ring\s+current",
+)
+_FOUND = "array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(q, '(?i){p}')" for p in _NAMED) + "]))), '|')"
+_OTHER_WORDS = (
+    ("solar wind", "SW"), ("solar wind", "interplanetary medium"), ("solar wind", "solar plasma"), ("coronal mass ejection", "CME"), ("coronal mass ejection", "solar eruption"), ("coronal mass ejection", "plasma ejection"),
+    ("geomagnetic storm", "magnetic storm"), ("geomagnetic storm", "space weather event"), ("magnetic reconnection", "reconnection event"), ("magnetic reconnection", "field line merging"),
+    ("magnetosphere", "Earth''s magnetic field"), ("magnetosphere", "geospace"), ("aurora", "northern lights"), ("aurora", "southern lights"), ("aurora", "auroral emission"),
+)
 _EXPAND = " || ".join(["q", *(f"CASE WHEN regexp_matches(q, '(?i)\\b{a}\\b') THEN ' {b}' ELSE '' END" for a, b in V.ACRONYM_EXPANSIONS)])
 
 
@@ -206,13 +241,16 @@ _SEQ = "e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, eve
 
 ORACLES = {
     "query_understanding": rf"""WITH {_QS}, y AS (SELECT *, try_cast(nullif(regexp_extract(q, '{_YEAR}', 1), '') AS INT) AS a, try_cast(nullif(regexp_extract(q, '{_YEAR}', 2), '') AS INT) AS b, try_cast(nullif(regexp_extract(q, '{_YEAR}', 3), '') AS INT) AS c, try_cast(nullif(regexp_extract(q, '{_YEAR}', 4), '') AS INT) AS e FROM qs)
-SELECT conv_id, turn, CASE {_INTENT} ELSE 'factual' END AS intent, coalesce(a, e) AS year_from, coalesce(b, c, e) AS year_to, nullif(regexp_extract(q, '{Q._AUTHOR}', 1), '') AS author,
+SELECT conv_id, turn, CASE {_INTENT} ELSE 'factual' END AS intent, coalesce(a, e) AS year_from, coalesce(b, c, e) AS year_to, nullif(regexp_extract(q, '{_BY}', 1), '') AS author,
 array_to_string(list_filter(regexp_extract_all(lower(q), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND NOT list_contains({_list(V.KEYWORD_STOPWORDS)}, w)), ' ') AS keywords FROM y""",
-    "query_entities": f"WITH {_QS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(flatten([{', '.join(f'''regexp_extract_all(q, '(?i){p}')''' for p in V.QUERY_ENTITIES)}]))), '|') AS entities FROM qs",
+    "query_entities": f"WITH {_QS} SELECT conv_id, turn, {_FOUND} AS entities FROM qs",
+    "query_entity_forms": f"""WITH p AS (SELECT conv_id, turn, text, {_list(PHRASES)} AS p, [' ', '  ', chr(10), chr(9) || chr(10) || ' '][conv_id % 4 + 1] AS gap FROM conversations),
+x AS (SELECT conv_id, turn, replace(p[(conv_id + 7 * turn) % {len(PHRASES)} + 1] || ' and ' || p[conv_id % {len(PHRASES)} + 1] || ' and ' || upper(p[turn % {len(PHRASES)} + 1]), ' ', gap) || ' ' || text AS q FROM p)
+SELECT conv_id, turn, {_FOUND} AS entities FROM x""",
     "query_rewrite": rf"""WITH {_QS}, x AS (SELECT *, {_EXPAND} AS r, lower(q) AS low FROM qs), y AS (SELECT *, {_chain("lower(r)", V.QUESTION_PREFIXES, "")} AS bare, trim(regexp_replace(low, '(?i){V.QUESTION_STRIP}', '')) AS s, string_split(low, ' and ') AS h FROM x),
 z AS (SELECT conv_id, turn, CASE WHEN bare <> lower(r) THEN r || ' ' || bare ELSE r END AS rewritten, list_concat([q, low], list_concat(CASE WHEN length(s) > 10 AND s <> low THEN [s] ELSE [] END, CASE WHEN len(h) = 2 AND length(h[1]) > 5 AND length(h[2]) > 5 THEN h ELSE [] END)) AS v FROM y)
 SELECT conv_id, turn, rewritten, array_to_string(list_filter(v, lambda x, i: list_position(v, x) = i), '||') AS variations FROM z""",
-    "query_synonyms": f"""WITH {_QS}, v AS (SELECT conv_id, turn, q AS variation FROM qs UNION {" UNION ".join(f'''SELECT conv_id, turn, regexp_replace(q, '(?i)\\b{t}\\b', '{s.replace("'", "''")}', 'g') FROM qs WHERE contains(lower(q), '{t}')''' for t, o in V.SYNONYMS for s in o)}) SELECT * FROM v""",
+    "query_synonyms": f"""WITH {_QS}, v AS (SELECT conv_id, turn, q AS variation FROM qs UNION {" UNION ".join(f"SELECT conv_id, turn, regexp_replace(q, '(?i){chr(92)}b{t}{chr(92)}b', '{o}', 'g') FROM qs WHERE contains(lower(q), '{t}')" for t, o in _OTHER_WORDS)}) SELECT * FROM v""",
     "citations_extract": rf"""WITH {_AS}, c AS (SELECT *, {_CITES} AS f FROM ans) SELECT conv_id, turn, {_JOIN.format("f")} AS found, {_JOIN.format("list_filter(f, lambda x: x IN (1, 2, 3))")} AS valid, {_JOIN.format("list_filter(f, lambda x: x NOT IN (1, 2, 3))")} AS invalid,
 md5(regexp_replace(a, '\[(\d+)\]', '**[\1]**', 'g')) AS markdown_md5, md5(regexp_replace(a, '\[(\d+)\]', '<span class="citation">[\1]</span>', 'g')) AS html_md5 FROM c""",
     "answer_confidence": f"""WITH {_AS}, c AS (SELECT *, len({_CITES}) AS n FROM ans) SELECT conv_id, turn, round(greatest(0.1, least(0.95, 0.5 + least(0.3, n * 0.1) - CASE WHEN {_hedge(V.HEDGES)} THEN 0.2 ELSE 0 END))::DOUBLE, 4) AS confidence,

@@ -25,6 +25,23 @@ def entity_mentions(spark, d):
     return E.mentions(_chunks(spark, d), LEXICON, min_chars=50)
 
 
+#: Every name of the default lexicon, and spaces that part its words.
+NAMES = (
+    "solar wind", "magnetic reconnection", "coronal mass ejection", "geomagnetic storm", "Solar Flare", "magnetosphere", "ionosphere", "heliosphere", "plasma sheet", "bow shock",
+    "Parker Solar Probe", "Solar Orbiter", "SDO", "STEREO", "ace", "Wind spacecraft", "Voyager 2", "mms", "Van Allen Probes", "radiation belt",
+)
+GAPS = (" ", "  ", "\n", "\t\n ")
+
+
+def default_mentions(spark, d):
+    """Matches of the default lexicon in turns that hold every name of it, its words parted by each of GAPS."""
+    pick = lambda k, items: F.element_at(F.array(*[F.lit(x) for x in items]), (k % len(items) + 1).cast("int"))
+    k = F.col("conv_id") + 7 * F.col("turn")
+    told = F.concat(pick(k, NAMES), F.lit(" and "), pick(F.col("conv_id"), NAMES), F.lit(" and "))
+    rows = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.concat(F.replace(told, F.lit(" "), pick(F.col("conv_id"), GAPS)), "text").alias("text"))
+    return E.mentions(rows)
+
+
 def _records(spark, d):
     return E.entity_records(E.mentions(_chunks(spark, d), LEXICON, min_chars=50))
 
@@ -240,7 +257,7 @@ def tei_parse(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        entity_mentions, entity_merge, entity_types, cooccurrence_relations, relation_normalize, relation_endpoints, evidence_snippets, mention_merge, edge_merge, entity_upsert, khop_nodes, khop_edges, graph_stats, graph_projection,
+        entity_mentions, default_mentions, entity_merge, entity_types, cooccurrence_relations, relation_normalize, relation_endpoints, evidence_snippets, mention_merge, edge_merge, entity_upsert, khop_nodes, khop_edges, graph_stats, graph_projection,
         node_projection, node_search, edge_evidence, shared_entities, similar_docs, document_expansion, entity_paths, citing_docs, section_segment, structure_map, section_lookup, chunk_estimate, chunk_documents, merged_sections,
         sentence_split, html_extract, html_sections, layout_sections, tei_parse,
     )
@@ -267,7 +284,26 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY center ORDER B
 _M = "m AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS e FROM lineitem), s AS (SELECT o_orderkey AS seed FROM orders WHERE o_orderkey % 100 = 0)"
 _PAIRS = f"{_M}, own AS (SELECT seed, e FROM m JOIN s ON d = seed), f AS (SELECT seed, m.d AS document_id, count(*) AS n_shared, string_agg(e::VARCHAR, ',' ORDER BY e) AS entities, list_sort(list(e::VARCHAR)) AS l FROM own JOIN m USING (e) WHERE m.d <> seed GROUP BY seed, m.d)"
 _BODY = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
-_CASES = " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{k}'" for k, words in V.SECTION_KEYWORDS)
+# The patterns and words below are written out again, apart from those that the queries use.
+_TERMS = (
+    (r"solar\s+wind", "scientific_concept", 0.85), (r"magnetic\s+reconnection", "scientific_concept", 0.85), (r"coronal\s+mass\s+ejection", "scientific_concept", 0.85), (r"geomagnetic\s+storm", "scientific_concept", 0.85),
+    (r"solar\s+flare", "scientific_concept", 0.85), ("magnetosphere", "scientific_concept", 0.85), ("ionosphere", "scientific_concept", 0.85), ("heliosphere", "scientific_concept", 0.85), (r"plasma\s+sheet", "scientific_concept", 0.85),
+    (r"bow\s+shock", "scientific_concept", 0.85), (r"Parker\s+Solar\s+Probe", "mission", 0.9), (r"Solar\s+Orbiter", "mission", 0.9), ("SDO", "mission", 0.9), ("STEREO", "mission", 0.9), ("ACE", "mission", 0.9),
+    (r"Wind\s+spacecraft", "mission", 0.9), (r"Voyager\s+[0-9]", "mission", 0.9), ("MMS", "mission", 0.9), (r"Van\s+Allen\s+Probes", "mission", 0.9),
+)
+_EACH = " UNION ALL ".join(f"SELECT chunk_id, {i} AS pattern_idx, string_split_regex(text, '(?i){p}') AS p, regexp_extract_all(text, '(?i){p}') AS m, '{t}' AS entity_type, {c}::DOUBLE AS confidence FROM c" for i, (p, t, c) in enumerate(_TERMS))
+_KINDS = (
+    ("abstract", "abstract|summary|synopsis"),
+    ("introduction", "introduction|background|motivation|overview"),
+    ("methods", "method|methodology|approach|procedure|material|data|observation|instrument|experimental|technique|implementation"),
+    ("results", "result|finding|outcome|analysis|measurement|observation"),
+    ("discussion", "discussion|interpretation|implication"),
+    ("conclusion", "conclusion|concluding|summary|future work"),
+    ("references", "reference|bibliography|citation"),
+    ("acknowledgments", "acknowledgment|acknowledgement|thank"),
+    ("appendix", "appendix|supplement|supporting information"),
+)
+_CASES = " ".join(f"WHEN regexp_matches(t, '{words}') THEN '{k}'" for k, words in _KINDS)
 _SEG = rf"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 l1 AS (SELECT *, {_BODY} AS body FROM l0),
 l2 AS (SELECT *, CASE WHEN length(body) BETWEEN 1 AND 100 THEN CASE WHEN regexp_matches(body, '(?i)^(\d+\.?\d*\.?)\s+(.+)$') THEN regexp_extract(body, '(?i)^(\d+\.?\d*\.?)\s+(.+)$', 2)
@@ -294,6 +330,11 @@ def _plain(html: str) -> str:
 
 ORACLES = {
     "entity_mentions": f"WITH {_FOUND} SELECT * FROM found",
+    "default_mentions": f"""WITH n AS (SELECT *, [{", ".join(f"'{x}'" for x in NAMES)}] AS n, [' ', '  ', chr(10), chr(9) || chr(10) || ' '][conv_id % 4 + 1] AS gap FROM conversations),
+c AS (SELECT conv_id || '-' || turn AS chunk_id, replace(n[(conv_id + 7 * turn) % {len(NAMES)} + 1] || ' and ' || n[conv_id % {len(NAMES)} + 1] || ' and ', ' ', gap) || text AS text FROM n),
+f AS ({_EACH}), o AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT *, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS a FROM o)
+SELECT chunk_id, pattern_idx, m[i] AS name, a AS char_start, a + length(m[i])::INT AS char_end, entity_type, confidence FROM s""",
     "entity_merge": f"WITH {_REC} SELECT canonical_name, entity_type, arg_min(name, chunk_id * 100 + arrival) AS name, count(*) AS n_mentions, array_to_string(list_sort(list(DISTINCT name)), '|') AS aliases, max(confidence) AS confidence FROM rec GROUP BY canonical_name, entity_type",
     "entity_types": """SELECT p_partkey, ['scientific_concept', 'method', 'dataset', 'spacecraft', 'celestial_body', NULL, 'author'][p_partkey % 7 + 1] AS entity_type, ['celestial_body', 'instrument', 'celestial_body', NULL][p_partkey % 4 + 1] AS node_type,
 ['causes', 'related_to', 'uses_instrument', NULL][p_partkey % 4 + 1] AS edge_type, ['coronal mass ejection', 'parker solar probe', 'kp index', 'solar wind'][p_partkey % 4 + 1] AS canonical FROM part""",

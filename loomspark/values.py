@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 # --- fixed values: sparse retrieval ---
-STOPWORDS = (
-    "the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would "
-    "could should may might must shall can need this that these those it its they them their we us our you your he she "
-    "his her i me my who which what where when why how all each every both few more most other some such no not only "
-    "same so than too very just also now here there then if because about into through during before after above below "
-    "between under again further once et al fig figure table section eq equation ref"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "been",
+    "be", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need",
+    "this", "that", "these", "those", "it", "its", "they", "them", "their", "we", "us", "our", "you", "your", "he", "she", "his", "her", "i",
+    "me", "my", "who", "which", "what", "where", "when", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some",
+    "such", "no", "not", "only", "same", "so", "than", "too", "very", "just", "also", "now", "here", "there", "then", "if", "because",
+    "about", "into", "through", "during", "before", "after", "above", "below", "between", "under", "again", "further", "once", "et", "al",
+    "fig", "figure", "table", "section", "eq", "equation", "ref",
+]
 BM25_K1, BM25_B, DEFAULT_IDF, DEFAULT_AVGDL = 1.5, 0.75, 1.0, 200.0
 
 # --- fixed values: query understanding ---
-KEYWORD_STOPWORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might must can about "
-    "above after again against all am and any as at because before below between both but by for from further here how "
-    "if in into it its itself just more most no nor not of off on once only or other our out over own same so some such "
-    "than that their them then there these they this those through to too under until up very what when where which "
-    "while who why with you your compare explain list find show tell me please summarize describe"
-).split()
+KEYWORD_STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "can", "about", "above", "after", "again", "against", "all", "am", "and", "any", "as", "at", "because",
+    "before", "below", "between", "both", "but", "by", "for", "from", "further", "here", "how", "if", "in", "into", "it", "its", "itself",
+    "just", "more", "most", "no", "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "so",
+    "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under",
+    "until", "up", "very", "what", "when", "where", "which", "while", "who", "why", "with", "you", "your", "compare", "explain", "list",
+    "find", "show", "tell", "me", "please", "summarize", "describe",
+]
+YEARS = r"(?:from|after|since|between)\s+(\d{4})(?:\s+(?:to|and|until)\s+(\d{4}))?|(?:before|until|up to)\s+(\d{4})|in\s+(\d{4})"
+AUTHOR = r"(?:by|author(?:ed by)?)\s+([A-Z][a-z]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][a-z]+))?)"
 INTENTS = (
     ("summary", ("summarize", "summary of", "overview of", "what is known about", "tell me about")),
     ("compare", ("compare", "difference between", "how does .+ differ from", r"vs\.?", "versus", "similarities between")),
@@ -56,15 +62,54 @@ SYNONYMS = (
     ("aurora", ("northern lights", "southern lights", "auroral emission")),
 )
 QUERY_ENTITIES = (
-    "solar wind", "magnetic reconnection", "coronal mass ejection", "CME", "geomagnetic storm", "solar flare", "magnetosphere",
-    "ionosphere", "heliosphere", "Parker Solar Probe", "Solar Orbiter", r"Van\s+Allen\s+(?:belt|probe)s?", "radiation belt",
-    "plasma sheet", "bow shock", "magnetopause", "plasmasphere", "aurora(?:l)?", "substorm", "ring current", "SDO",
-)
+    r"solar\s+wind",
+    r"coronal\s+mass\s+ejection",
+    r"CME",
+    r"magnetic\s+reconnection",
+    r"geomagnetic\s+storm",
+    r"solar\s+flare",
+    r"magnetosphere",
+    r"ionosphere",
+    r"heliosphere",
+    r"Parker\s+Solar\s+Probe",
+    r"Solar\s+Orbiter",
+    r"SDO",
+    r"STEREO",
+    r"Van\s+Allen\s+(?:belt|probe)s?",
+    r"radiation\s+belt",
+    r"bow\s+shock",
+    r"magnetopause",
+    r"plasmasphere",
+    r"aurora(?:l)?",
+    r"substorm",
+    r"ring\s+current",
+)
 
 # --- fixed values: extraction ---
-CONCEPT_PATTERNS = ("solar wind", "magnetic reconnection", "coronal mass ejection", "geomagnetic storm", "solar flare", "magnetosphere", "ionosphere", "heliosphere", "plasma sheet", "bow shock")
+CONCEPT_PATTERNS = (
+    r"solar\s+wind",
+    r"magnetic\s+reconnection",
+    r"coronal\s+mass\s+ejection",
+    r"geomagnetic\s+storm",
+    r"solar\s+flare",
+    r"magnetosphere",
+    r"ionosphere",
+    r"heliosphere",
+    r"plasma\s+sheet",
+    r"bow\s+shock",
+)
 CONCEPT_CONFIDENCE = 0.85
-MISSION_PATTERNS = ("Parker Solar Probe", "Solar Orbiter", "SDO", "STEREO", "ACE", "Wind spacecraft", r"Voyager\s+\d", "MMS", "Van Allen Probes")
+MISSION_PATTERNS = (
+    r"Parker\s+Solar\s+Probe",
+    r"Solar\s+Orbiter",
+    r"SDO",
+    r"STEREO",
+    r"ACE",
+    r"Wind\s+spacecraft",
+    r"Voyager\s+\d",
+    r"MMS",
+    r"Van\s+Allen\s+Probes",
+)
 MISSION_CONFIDENCE = 0.9
 CANONICAL_FORMS = {
     "cme": "coronal mass ejection",
@@ -129,6 +174,8 @@ ENTITY_MIN_CONFIDENCE, RELATION_MIN_CONFIDENCE, COOCCURRENCE_CONFIDENCE = 0.7, 0
 ENTITIES_PER_CHUNK, RELATIONS_PER_CHUNK, COOCCURRENCE_CHARS, SNIPPET_MARGIN = 20, 30, 200, 20
 
 # --- fixed values: sections ---
+NUMBERED_HEADER, ROMAN_HEADER, CAPITALS_HEADER = r"^(\d+\.?\d*\.?)\s+(.+)$", r"^([IVX]+\.?)\s+(.+)$", r"^([A-Z][A-Z\s]{3,})$"
+REFERENCE_DOI, REFERENCE_YEAR, REFERENCE_ARXIV = r"(10\.\d{4,}/[^\s]+)", r"\b((?:19|20)\d{2})\b", r"arXiv:(\d{4}\.\d{4,5})"
 SECTION_KEYWORDS = (
     ("abstract", ("abstract", "summary", "synopsis")),
     ("introduction", ("introduction", "background", "motivation", "overview")),
@@ -199,5 +246,5 @@ LAYOUT_SECTION_KEYWORDS = (
     ("appendix", ("appendix",)),
 )
 PDF_MAX_BYTES, PDF_MAX_PAGES = 100 << 20, 1000
-SUPPORTED_FORMATS = "pdf docx doc pptx ppt xlsx xls html htm png jpg jpeg tiff tif md markdown".split()
+SUPPORTED_FORMATS = ("pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "html", "htm", "png", "jpg", "jpeg", "tiff", "tif", "md", "markdown")
 SEARCH_SOURCES = ("crossref", "semantic_scholar", "arxiv", "scixplorer")
