@@ -7,10 +7,11 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts longer than this are walked in pieces cut at white space, so that no list of words outgrows memory.
 PIECE = 1 << 22
@@ -18,6 +19,7 @@ PIECE = 1 << 22
 _WS = re.compile(rb"[\x20\x09-\x0D]")
 _made: dict[str, list[str]] = {}
 _local: dict[str, str] = {}
+_cleaned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +39,10 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new path under the shared folder, removed when this process ends."""
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/loomspark-{app}/{tag}-{uuid.uuid4().hex[:12]}"
-    if app not in _made:
-        _made[app] = []
+    if app not in _cleaned:
+        _cleaned.add(app)
         atexit.register(lambda: [release(spark, p) for p in _made.pop(app, [])])
-    _made[app].append(path)
+    _made.setdefault(app, []).append(path)
     return path
 
 
@@ -64,6 +66,43 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, make: Callable[[], DataFrame], tag: str, spent: list[str]) -> DataFrame:
+    """Like materialize(make(), tag), and drops what is no longer needed: the tables that make() wrote for itself and,
+    before them, those named in spent. The path of the new table is put into spent for the next call."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    out = materialize(make(), tag)
+    for path in [*made[before:-1], *spent]:
+        drop_table(spark, path)
+    spent[:] = made[-1:]
+    return out
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of fresh_path() before the process ends."""
+    release(spark, path)
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns of these very names, whatever signs they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def packed(docs: DataFrame, **own: Column) -> DataFrame:
+    """docs' rows as one struct, row, beside columns of one's own, so that the two kinds of names can't meet."""
+    return docs.select(F.struct(*named(docs.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *made: str) -> DataFrame:
+    """The fields of row and `__x` for each x of made; an input column that has such a name is replaced."""
+    taken = {f"__{m}".lower() for m in made}
+    kept = [F.col("row").getField(c).alias(c) for c in columns if c.lower() not in taken]
+    return rows.select(*kept, *(F.col(m).alias(f"__{m}") for m in made))
+
+
 def word_lists(data: bytes) -> Iterator[list[bytes]]:
     """Words `[^\\x20\\x09-\\x0D]+` of data, in lists of bounded size."""
     if len(data) <= PIECE:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: ISO 639-1 codes of language families that share scripts and vocabulary.
 FAMILIES = {
@@ -27,22 +28,28 @@ _FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lan
 
 @dataclass(frozen=True)
 class LangIdPlan:
-    """Parameters. per_lang bounds the labelled rows that a language's training takes, in expectation."""
+    """Parameters. per_lang bounds the distinct texts that a language's training takes; piece is code points a step."""
 
     per_lang: int = 400
     features: int = 1 << 13
     orders: tuple[int, ...] = (1, 2, 3)
     epochs: int = 12
     penalty: float = 1e-4
+    piece: int = 1 << 20
     families: dict[str, str] = field(default_factory=lambda: dict(_FAMILY_OF))
 
 
 def features(text: str, plan: LangIdPlan) -> np.ndarray:
-    """Unit vector of hashed character n-gram counts of a whole text, letters only, words edged by a space."""
+    """Unit vector of hashed character n-gram counts of a whole text, letters only, words edged by a space.
+
+    Long texts are walked in pieces; each carries over the codes that its first n-grams begin with, so the vector does
+    not depend on where a text is cut.
+    """
     total = np.zeros(plan.features, np.float64)
-    for start in range(0, len(text), 1 << 20):
-        codes = _codes(text[start : start + (1 << 20)])
+    carried = np.zeros(0, np.uint64)
+    for new in _codes(text, plan.piece):
         for n in plan.orders:
+            codes = np.concatenate([carried[max(0, len(carried) - n + 1) :], new])
             if len(codes) < n:
                 continue
             mixed = np.full(len(codes) - n + 1, n, np.uint64)
@@ -50,6 +57,7 @@ def features(text: str, plan: LangIdPlan) -> np.ndarray:
                 mixed = (mixed ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
             total += np.bincount((mixed % np.uint64(plan.features)).astype(np.int64), minlength=plan.features)
+        carried = np.concatenate([carried, new])[-(max(plan.orders) - 1) :] if max(plan.orders) > 1 else carried
     total = np.sqrt(total)
     norm = np.linalg.norm(total)
     return total / norm if norm else total
@@ -61,15 +69,19 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
+def _codes(text: str, piece: int) -> Iterator[np.ndarray]:
     """Lower-cased code points with every run of other characters than letters made one space, edges included."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter()[codes]
-    codes = np.where(letter, codes, 32)
-    keep = letter.copy()
-    keep[0] = True
-    keep[1:] |= letter[:-1]
-    return codes[keep].astype(np.uint64)
+    low = f"{text.lower()} "
+    before = True  # a space stands in front of the first word
+    for start in range(0, len(low), piece):
+        codes = np.frombuffer(low[start : start + piece].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _is_letter()[codes]
+        keep = letter.copy()
+        keep[0] |= not before
+        keep[1:] |= letter[:-1]
+        made = np.where(letter, codes, 32)[keep].astype(np.uint64)
+        yield made if start else np.concatenate([np.array([32], np.uint64), made])
+        before = not letter[-1]
 
 
 def has_letter(text: str | None) -> bool:
@@ -127,34 +139,53 @@ class LangIdModel:
         return lang, sure * surer
 
 
+def _chosen(known: DataFrame, plan: LangIdPlan) -> DataFrame:
+    """known(lang, text) -> (lang, h): hashes of plan.per_lang distinct texts of each language, all where there are no more.
+
+    An estimate of the distinct texts leaves about twice the texts wanted, well above its error; the least hashes of
+    those are taken, so no more than the small surplus is ever ranked, however often a text is repeated.
+    """
+    hashes = known.select("lang", F.xxhash64("text").alias("h"))
+    counts = hashes.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))  # a row a language
+    unit = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    some = hashes.join(F.broadcast(counts), "lang").where(unit * F.col("n") < 2 * plan.per_lang + 50).select("lang", "h").distinct()
+    # in the order of unit, so that the surplus cut off and the rows left out above lie on the same side
+    least = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h")
+    return some.withColumn("n", F.row_number().over(least)).where(F.col("n") <= plan.per_lang).select("lang", "h")
+
+
 def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangIdModel:
-    """Train on about plan.per_lang labelled rows a language, chosen by a hash of id and text.
+    """Train on at most plan.per_lang distinct labelled texts a language, chosen by a hash of the text.
 
-    Rows without language, text or letters teach nothing. Features are made on the executors; the driver gets the
-    sampled rows' sparse vectors only. A language without listed family is a family of its own.
+    Rows without language, text or letters teach nothing, repeated texts count once, whole texts are used. Features are
+    made on the executors; what reaches the driver is one sparse vector for each chosen text, per_lang a language. A
+    language without listed family is a family of its own. Names of other columns can't clash: none is read.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LangIdModel(plan, [], {}, {})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, plan.per_lang / n))) for k, n in sorted(counts.items())])
-    unit = F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.col("text")), 11).cast("double") / float(1 << 53)
-    chosen = known.where(unit < share).select("lang", "text")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    taken = F.broadcast(_chosen(known, plan))  # per_lang rows a language
+    chosen = known.withColumn("h", F.xxhash64("text")).join(taken, ["lang", "h"]).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            langs, at, of = [], [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if has_letter(text):
-                    x = features(text, plan)
+            keys, langs, at, of = [], [], [], []
+            for lang, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (lang, key) not in seen and has_letter(text.as_py()):
+                    x = features(text.as_py(), plan)
                     nz = np.flatnonzero(x)
+                    keys.append(key)
                     langs.append(lang)
                     at.append(nz.astype(np.int32))
                     of.append(x[nz].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(of, pa.list_(pa.float32()))], ["lang", "at", "of"])
+                seen.add((lang, key))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((langs, keys, at, of), kinds, strict=True)], ["lang", "h", "at", "of"])
 
-    rows = chosen.mapInArrow(run, "lang string, at array<int>, of array<float>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["at"], r["of"]))
+    made = chosen.mapInArrow(run, "lang string, h long, at array<int>, of array<float>").groupBy("lang", "h").agg(F.first("at").alias("at"), F.first("of").alias("of"))
+    rows = made.toArrow().to_pylist()
+    if not rows:
+        return LangIdModel(plan, [], {}, {})
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
     x = np.zeros((len(rows), plan.features), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = r["of"]
@@ -171,7 +202,10 @@ def fit(docs: DataFrame, plan: LangIdPlan = LangIdPlan(), id_col: str = "doc_id"
 
 
 def identify(docs: DataFrame, model: LangIdModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score), one row for each input row, from its text alone; und and 0 without letters."""
+    """(doc_id, lang_pred, score), one row for each input row, from its whole text alone; und and 0 without letters.
+
+    Repeated rows and null ids each give their own row; an empty table gives none; other columns are not read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights a pair of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,33 +4,63 @@ from __future__ import annotations
 
 import heapq
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import fresh_path, materialize, named, packed, unpacked
 
 
 @dataclass(frozen=True)
 class MixPlan:
     """Parameters. Either weights names a whole number for each source, or the weights follow counts ** temperature.
 
-    quanta bounds the sum of derived weights, and so the length of a schedule's period; block is documents a block.
+    quanta bounds the sum of derived weights, and so the length of a schedule's period; block is documents a block,
+    bucket_rows what one task numbers at a time, range_rows what a file of mixed_order() holds.
     """
 
     weights: tuple[tuple[str | None, int], ...] | None = None
     temperature: float = 0.5
     quanta: int = 1000
     block: int = 64
-    bucket_rows: int = 20_000
+    bucket_rows: int = 5_000
+    range_rows: int = 20_000
 
 
-def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
-    """Slots of one period: (task, its block's number in the period), each task having as many blocks as its weight.
+@dataclass
+class Phase:
+    """A stretch of the schedule between two sources running out.
+
+    had are the blocks that each active task had before it, slots the (task, its block within the period) of a period's
+    first slots: all of them, or `length` if the phase is shorter than a period.
+    """
+
+    start: int
+    length: int
+    period: int
+    had: dict[int, int]
+    weights: dict[int, int]
+    slots: list[tuple[int, int]] = field(repr=False)
+
+    def taken(self) -> dict[int, int]:
+        """Blocks of each task that run in this phase."""
+        whole, rest = divmod(self.length, self.period)
+        out = {i: whole * w for i, w in self.weights.items()}
+        for i, _ in self.slots[:rest]:
+            out[i] += 1
+        return out
+
+
+def pfair_slots(weights: list[int]) -> Iterator[tuple[int, int]]:
+    """Slots of one period, in order: (task, its block's number), each task having as many blocks as its weight.
 
     Block k of a task of weight w in a period of H slots may run from floor(k*H/w) and has to end by
     ceil((k+1)*H/w). Earliest deadline first over the released blocks meets every deadline as long as the weights
@@ -40,7 +70,6 @@ def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
     coming = [(0, -(-period // w), i, 0) for i, w in enumerate(weights) if w]
     heapq.heapify(coming)
     ready: list[tuple[int, int, int]] = []
-    slots = []
     for now in range(period):
         while coming and coming[0][0] <= now:
             _, due, i, k = heapq.heappop(coming)
@@ -48,10 +77,14 @@ def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
         due, i, k = heapq.heappop(ready)
         if due <= now:
             raise AssertionError("a deadline was missed")
-        slots.append((i, k))
+        yield i, k
         if (k := k + 1) < weights[i]:
             heapq.heappush(coming, (k * period // weights[i], -(-(k + 1) * period // weights[i]), i, k))
-    return slots
+
+
+def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
+    """All slots of one period."""
+    return list(pfair_slots(weights))
 
 
 def derived_weights(counts: dict[str | None, int], plan: MixPlan) -> dict[str | None, int]:
@@ -63,36 +96,35 @@ def derived_weights(counts: dict[str | None, int], plan: MixPlan) -> dict[str |
     return {s: max(1, round(p * plan.quanta / total)) for s, p in power.items()}
 
 
-def phases(blocks: list[int], weights: list[int]) -> list[dict]:
-    """Stretches of the schedule between two sources running out.
+def phases(blocks: list[int], weights: list[int]) -> Iterator[Phase]:
+    """The schedule of `blocks` blocks a task, as phases in order.
 
-    Each has its first slot, its period and the blocks that each task had had before it. A task that has run out
-    leaves, and the others share its slots by their own weights. Tasks without weight follow at the end, in order.
+    A task that has run out leaves, and the others share its slots by their own weights. Tasks without weight follow at
+    the end, in order. No phase lists more slots than it has, so all of them together list at most sum(blocks).
     """
-    at, had, out = 0, [0] * len(blocks), []
+    at, had = 0, [0] * len(blocks)
     active = [i for i, (b, w) in enumerate(zip(blocks, weights, strict=True)) if b and w]
     while active:
-        slots = pfair_period([weights[i] for i in active])
-        place = {}
-        for slot, (j, k) in enumerate(slots):
-            place.setdefault(active[j], {})[k] = slot
-        ends = {}
-        for i in active:
-            whole, rest = divmod(blocks[i] - had[i] - 1, weights[i])
-            ends[i] = whole * len(slots) + place[i][rest] + 1
-        length = min(ends.values())
-        out.append({"start": at, "length": length, "period": len(slots), "had": had[:], "weights": {i: weights[i] for i in active}, "place": place})
-        whole, rest = divmod(length, len(slots))
-        had = had[:]
-        for i in active:
-            had[i] += whole * weights[i] + sum(s < rest for s in place[i].values())
-        at += length
+        own = [weights[i] for i in active]
+        whole = min((blocks[i] - had[i] - 1) // weights[i] for i in active)  # periods that all of them get through
+        slots, tail = [], 0
+        for j, k in pfair_slots(own):
+            i = active[j]
+            slots.append((i, k))
+            if not tail and blocks[i] - had[i] - whole * weights[i] == k + 1:
+                tail = len(slots)
+                if not whole:
+                    break
+        phase = Phase(at, whole * sum(own) + tail, sum(own), {i: had[i] for i in active}, dict(zip(active, own, strict=True)), slots)
+        yield phase
+        for i, n in phase.taken().items():
+            had[i] += n
+        at += phase.length
         active = [i for i in active if had[i] < blocks[i]]
     for i, (b, w) in enumerate(zip(blocks, weights, strict=True)):
         if b and not w:
-            out.append({"start": at, "length": b, "period": 1, "had": [0] * len(blocks), "weights": {i: 1}, "place": {i: {0: 0}}})
+            yield Phase(at, b, 1, {i: 0}, {i: 1}, [(i, 0)])
             at += b
-    return out
 
 
 def deviation(order: list[int], weights: list[int]) -> Fraction:
@@ -104,85 +136,179 @@ def deviation(order: list[int], weights: list[int]) -> Fraction:
     return worst
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with __block (its number within the source), __slot (its place in the schedule) and __rank (in the block).
+def _keys(docs: DataFrame, id_col: str) -> tuple[Column, Column]:
+    """Two hashes that order the rows of a source; the first has 63 bits.
+
+    Rows read from files are hashed by id and by their file and place in it, others by all their columns, so rows
+    that share an id, or have none, are spread like any others; the second hash holds all columns as well.
+    """
+    own = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(named(docs.columns), docs.schema, strict=True)]
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*place)
+    except AnalysisException:
+        place = []
+    first = [F.col(id_col), *place] if place else own
+    return F.shiftrightunsigned(F.xxhash64(*first), 1), F.xxhash64(F.lit(1), *own, *place)
+
+
+def _source_counts(docs: DataFrame, source_col: str) -> list[tuple[str | None, int]]:
+    """Rows of each source, in the order of tasks: one row a source reaches the driver."""
+    counts = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).collect()
+    return sorted(((r["s"], r["n"]) for r in counts), key=lambda x: (x[0] is None, x[0]))
 
-    Every row gets exactly one place and none is dropped; (__slot, __rank) is the order of the mix. Within a source
-    rows are taken by a hash of the id. Ties and repeated rows take places next to each other in any order; null
-    sources are one source of their own; a null id hashes like any value; an empty table gives an empty result.
 
-    A source's rows are numbered through hash buckets of about plan.bucket_rows rows, so a source that holds a third
-    of all rows is spread over many tasks. What reaches the driver is one row a source; the schedule's table has one
-    row for each source, phase and slot of a period.
+def _slot_table(spark: SparkSession, counts: list[tuple[str | None, int]], plan: MixPlan, held: int = 500_000) -> DataFrame:
+    """(task, block, slot) of every block, at most one row for plan.block documents and each source's last ones.
+
+    The driver schedules phase by phase and writes what it has as soon as it holds `held` numbers.
     """
-    spark = docs.sparkSession
-    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).collect()}
-    sources = sorted(counts, key=lambda s: (s is None, s))
-    weights = derived_weights(counts, plan)
-    blocks = [-(-counts[s] // plan.block) for s in sources]
-    share = [weights.get(s, 0) for s in sources]
-
-    table = spark.createDataFrame([(s, i, max(1, -(-counts[s] // plan.bucket_rows))) for i, s in enumerate(sources)], "__s string, __task int, __buckets int")
-    own = docs.join(F.broadcast(table), F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s")  # a row a source
-    own = own.withColumn("__h", F.xxhash64(F.col(id_col)))
-    own = own.withColumn("__bucket", F.floor(_unit(F.col("__h")) * F.col("__buckets")).cast("int"))
-    sizes = own.groupBy("__task", "__bucket").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__task").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(sizes.select("__task", "__bucket", before.alias("__before")), "mix")
-
-    placed = own.withColumn("__row", F.row_number().over(Window.partitionBy("__task", "__bucket").orderBy("__h", F.col(id_col))) - 1)
-    placed = placed.join(offsets, ["__task", "__bucket"]).withColumn("__at", F.col("__row") + F.col("__before"))
-    placed = placed.withColumn("__block", F.floor(F.col("__at") / plan.block).cast("long")).withColumn("__rank", F.pmod(F.col("__at"), F.lit(plan.block)).cast("int"))
-
-    rows, lookups = [], []
+    weights = derived_weights(dict(counts), plan)
+    blocks, share = [-(-n // plan.block) for _, n in counts], [weights.get(s, 0) for s, _ in counts]
+    paths = [fresh_path(spark, tag) for tag in ("mix-spans", "mix-slots")]
+    kinds = ("task int, phase int, first long, n long, skip long, start long, period long, w long", "task int, phase int, k long, at long")
+    rows: list[list[tuple]] = [[], []]
+
+    def write(mode: str = "append") -> None:
+        for part, kind, path in zip(rows, kinds, paths, strict=True):
+            columns = list(zip(*part, strict=True)) or [[] for _ in kind.split(",")]
+            types = [pa.int32() if c.endswith(" int") else pa.int64() for c in kind.split(", ")]
+            table = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in kind.split(", ")])
+            spark.createDataFrame(table).write.mode(mode).parquet(path)
+            part.clear()
+
     for n, p in enumerate(phases(blocks, share)):
-        after = [h + sum(s < p["length"] % p["period"] for s in p["place"].get(i, {}).values()) + (p["length"] // p["period"]) * p["weights"].get(i, 0) for i, h in enumerate(p["had"])]
-        for i, w in p["weights"].items():
-            rows.append((i, n, p["had"][i], after[i], p["start"], p["period"], w))
-            lookups += [(i, n, k, s) for k, s in p["place"][i].items()]
-    spans = spark.createDataFrame(rows, "__task int, __phase int, __first long, __end long, __start long, __period long, __w long")
-    slots = spark.createDataFrame(lookups, "__task int, __phase int, __k long, __in int")
-    # both tables are bounded by the number of sources and the period, not by the rows
-    timed = placed.join(F.broadcast(spans), "__task").where((F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
-    timed = timed.withColumn("__j", F.col("__block") - F.col("__first")).withColumn("__k", F.pmod("__j", "__w"))
-    timed = timed.join(F.broadcast(slots), ["__task", "__phase", "__k"])
-    slot = F.col("__start") + F.floor(F.col("__j") / F.col("__w")) * F.col("__period") + F.col("__in")
-    return timed.withColumn("__slot", slot.cast("long")).select(*docs.columns, "__block", "__slot", "__rank")
+        for i, blocks_here in p.taken().items():
+            for skip in range(0, blocks_here, 1_000_000):  # pieces that one task can list
+                rows[0].append((i, n, p.had[i], min(1_000_000, blocks_here - skip), skip, p.start, p.period, p.weights[i]))
+        rows[1] += [(i, n, k, at) for at, (i, k) in enumerate(p.slots)]
+        if len(rows[0]) + len(rows[1]) > held:
+            write()
+    write()
+    spans, slots = (spark.read.schema(kind).parquet(path) for kind, path in zip(kinds, paths, strict=True))
+    listed = spans.withColumn("j", F.explode(F.sequence(F.col("skip"), F.col("skip") + F.col("n") - 1))).withColumn("k", F.pmod("j", "w"))
+    timed = listed.join(slots, ["task", "phase", "k"])
+    slot = F.col("start") + F.floor(F.col("j") / F.col("w")).cast("long") * F.col("period") + F.col("at")
+    return materialize(timed.select("task", (F.col("first") + F.col("j")).alias("block"), slot.alias("slot")), "mix-blocks")
+
+
+def _placed(rows: DataFrame, counts: list[tuple[str | None, int]], plan: MixPlan) -> DataFrame:
+    """rows(s, t, u, ...) with task, at (the row's number within its source), block, rank and slot.
+
+    Rows are numbered through buckets of about plan.bucket_rows rows, ranges of t, so a source that holds a third of
+    all rows spreads over many tasks.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(s, i, max(1, -(-n // plan.bucket_rows))) for i, (s, n) in enumerate(counts)], "name string, task int, buckets int")
+    own = rows.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("name"))).drop("name")  # a row a source
+    own = own.withColumn("bucket", F.least(F.floor(F.col("t") / float(1 << 63) * F.col("buckets")).cast("int"), F.col("buckets") - 1)).drop("buckets")
+    before = F.sum("n").over(Window.partitionBy("task").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = own.groupBy("task", "bucket").agg(F.count("*").alias("n"))
+    offsets = materialize(sizes.select("task", "bucket", F.coalesce(before, F.lit(0)).alias("before")), "mix-buckets")
+    number = F.row_number().over(Window.partitionBy("task", "bucket").orderBy("t", "u")) - 1
+    numbered = own.withColumn("number", number).join(offsets, ["task", "bucket"]).withColumn("at", F.col("number") + F.col("before"))
+    blocked = numbered.withColumn("block", F.floor(F.col("at") / plan.block).cast("long")).withColumn("rank", F.pmod("at", F.lit(plan.block)).cast("int"))
+    return blocked.drop("number", "before", "bucket").join(_slot_table(spark, counts, plan), ["task", "block"])
 
 
-def _unit(h: Column) -> Column:
-    """A signed 64-bit hash as a number in [0, 1)."""
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs with __block (its number within the source), __slot (its place in the schedule) and __rank (in the block).
+
+    Every row gets exactly one place and none is dropped; (__slot, __rank) is the order of the mix. Within a source
+    rows are taken by a hash, see _keys(); only rows that are equal in all columns can change places when a lost task
+    runs again. Null sources are one source of their own; null and repeated ids are spread like others; an empty table
+    gives an empty result. Input columns named like the added ones are replaced; no other name can clash.
+
+    What reaches the driver is one row a source; the schedule's table has one row a block and is joined by its size.
+    """
+    t, u = _keys(docs, id_col)
+    rows = packed(docs, s=F.col(source_col).cast("string"), t=t, u=u)
+    return unpacked(_placed(rows, _source_counts(docs, source_col), plan), docs.columns, "block", "slot", "rank")
+
+
+class _Ranges:
+    """Which range of slots a row belongs to, by its source and hashes; holds at most MOST entries."""
+
+    MOST = 1 << 20
+
+    def __init__(self, starts: pa.Table) -> None:
+        """starts(s, t, u, range): the first row of each source in each range."""
+        self.of: dict[str | None, tuple[np.ndarray, ...]] = {}
+        columns = [starts.column(c).to_numpy() for c in ("t", "u", "range")]
+        names = np.array(starts.column("s").to_pylist(), object)
+        order = np.lexsort((columns[1], columns[0]))
+        for name in set(names.tolist()):
+            at = order[[n == name for n in names[order]]]
+            self.of[name] = tuple(c[at] for c in columns)
+
+    def find(self, s: list[str | None], t: np.ndarray, u: np.ndarray) -> np.ndarray:
+        found, names = np.zeros(len(t), np.int32), np.array([*s, ""], object)[:-1]
+        for name in set(s):
+            mine = np.flatnonzero([n == name for n in names])
+            first_t, first_u, ranges = self.of[name]
+            at = np.searchsorted(first_t, t[mine], "right") - 1
+            for n in np.flatnonzero(first_t[at] == t[mine]):  # equal first hashes: the second ones decide
+                while at[n] and first_t[at[n]] == t[mine[n]] and first_u[at[n]] > u[mine[n]]:
+                    at[n] -= 1
+            found[mine] = ranges[at]
+        return found
 
 
 def mixed_order(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs, all columns and rows, laid out in the order of the mix: partitions in range order, sorted within.
+    """docs, all columns and rows, laid out in the order of mix(): partitions in the order of slots, sorted within.
 
-    positions() finds the order again once the rows have been written and read.
+    The rows' hashes are placed first, without their texts. The first row of each source in each range of slots, at most
+    2^20 rows whatever the input's size, tells texts which range they belong to; the first row of each block, sorted
+    in among the texts of its range, tells them their slot. So texts are shuffled once. Rows not read from files that are equal in
+    all columns stand next to each other. positions() finds the order again once the rows have been written.
     """
-    timed = mix(docs, plan, id_col, source_col)
-    return timed.orderBy("__slot", "__rank").select(*docs.columns)
+    spark = docs.sparkSession
+    counts = _source_counts(docs, source_col)
+    if not counts:
+        return docs
+    t, u = _keys(docs, id_col)
+    s = F.col(source_col).cast("string")
+    slim = materialize(_placed(docs.select(s.alias("s"), t.alias("t"), u.alias("u")), counts, plan).groupBy("s", "slot").agg(F.min(F.struct("t", "u")).alias("f")), "mix-places")
+    slots, rows = sum(-(-n // plan.block) for _, n in counts), sum(n for _, n in counts)
+    wanted = max(-(-rows // plan.range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), slots))
+    width = -(-slots // max(1, min(wanted, _Ranges.MOST // len(counts))))
+    marks = slim.select(F.floor(F.col("slot") / width).cast("int").alias("range"), "s", "f.t", "f.u", "slot")
+    starts = marks.groupBy("s", "range").agg(F.min(F.struct("t", "u")).alias("f")).select("s", "range", "f.*")
+    held = spark.sparkContext.broadcast(_Ranges(starts.toArrow()))
+
+    @F.arrow_udf(T.IntegerType())
+    def home(s: pa.Array, t: pa.Array, u: pa.Array) -> pa.Array:
+        return pa.array(held.value.find(s.to_pylist(), t.to_numpy(zero_copy_only=False), u.to_numpy(zero_copy_only=False)))
+
+    texts = packed(docs, s=s, t=t, u=u).select(home("s", "t", "u").alias("range"), "s", "t", "u", F.lit(None).cast("long").alias("slot"), "row")
+    both = texts.union(marks.withColumn("row", F.lit(None).cast(texts.schema["row"].dataType)))
+    dealt = both.repartitionById(-(-slots // width), F.col("range"))
+    before = Window.partitionBy("range", "s").orderBy("t", "u", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    timed = dealt.withColumn("slot", F.last("slot", True).over(before)).where(F.col("row").isNotNull())
+    return timed.sortWithinPartitions("range", "slot", "t", "u").select("row.*")
 
 
 def positions(docs: DataFrame, name: str = "mix_position") -> DataFrame:
     """docs with each row's place in the order its files were written in: those before it in its file and earlier files.
 
     Readers sort and pack files by size, so the order of mixed_order() is that of file names and of rows within a file,
-    not that of the rows as read. Rows that are not read from files are numbered as they come, with gaps.
+    not that of the rows as read. Rows that are not read from files are numbered as they come, with gaps. A column
+    that has the new one's name is replaced. What reaches the driver, and is sent out, is one row a file.
     """
+    own = [c for c in docs.columns if c.lower() != name.lower()]
+    place = {"file": F.col("_metadata.file_name"), "number": F.col("_metadata.row_index")}
     try:
-        at = docs.select(F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        marked = packed(docs, **place)
     except AnalysisException:
-        return docs.withColumn(name, F.monotonically_increasing_id())
-    sizes = {r["__file"]: r["n"] for r in at.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}  # a row a file
+        return docs.select(*named(own), F.monotonically_increasing_id().alias(name))
+    sizes = {r["file"]: r["n"] for r in marked.groupBy("file").agg((F.max("number") + 1).alias("n")).collect()}
     before, rows = 0, []
     for file in sorted(sizes, key=_natural):
         rows.append((file, before))
         before += sizes[file]
-    starts = docs.sparkSession.createDataFrame(rows, "__file string, __before long")
-    marked = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    placed = marked.join(F.broadcast(starts), "__file")
-    return placed.select(*docs.columns, (F.col("__before") + F.col("__row")).alias(name))
+    starts = docs.sparkSession.createDataFrame(rows, "file string, before long")
+    placed = marked.join(F.broadcast(starts), "file")
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in own), (F.col("before") + F.col("number")).alias(name))
 
 
 def _natural(file: str) -> list[tuple[int, str]]:

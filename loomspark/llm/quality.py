@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import packed, unpacked
 
 #: Words end at these bytes.
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -19,8 +20,8 @@ _TOKENS = r"(\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)"
 class QualityRules:
     """Parameters of the rules; the table of ratios has `buckets` numbers whatever the corpus's size.
 
-    trusted_rows bounds the labelled documents that the target model is fitted on: where more are trusted, those
-    with the smallest hashes of their ids are taken. The raw model counts every document.
+    trusted_rows bounds the ids that the target model is fitted on: all trusted ones where there are no more, else
+    those with the smallest hashes, ties by id. The raw model counts every document.
     """
 
     min_words: int = 50
@@ -39,14 +40,14 @@ def _bind(value: Column, use) -> Column:
 
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
 def _repeated_words(w: Column) -> Column:
     """Words inside 3-word windows that occur at least twice.
 
-    Window hashes are sorted to find the repeated ones; texts with none stop there. The rest sort (hash, place) and
-    add up, over repeated places in order, the words that each window adds to the one before: n log n throughout.
+    Window hashes are made distinct to find texts with repeated ones; the others stop there. The rest sort (hash, place)
+    and add up, over repeated places in order, the words that each window adds to the one before: n log n throughout.
     """
 
     def count(h: Column) -> Column:
@@ -67,30 +68,28 @@ def _repeated_words(w: Column) -> Column:
             lambda a: a["n"],
         )
 
-    def windows(v: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(v) - 2), lambda i: F.xxhash64(F.element_at(v, i), F.element_at(v, i + 1), F.element_at(v, i + 2)))
-
+    windows = F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     none = F.lit(0).cast("long")
-    hashed = _bind(w, lambda v: F.when(F.size(v) >= 4, windows(v)))
-    return _bind(hashed, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), count(h)).otherwise(none))
+    return _bind(F.when(F.size(w) >= 4, windows), lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), count(h)).otherwise(none))
 
 
 def _duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\n\x0b\x0c\r", "     "))) > 0)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return _bind(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long"))
 
 
-def base_metrics(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text; all zero for null."""
+def base_metrics(text: Column, w: Column) -> dict[str, Column]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text, all zero for null; w, its words(),
+    has to be bound: it is read once a word."""
     whole = F.coalesce(text, F.lit(""))
-    signs = F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))
+    signs = F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]", ""))
     return {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": signs.cast("long"),
         "n_dup_lines": _duplicate_lines(text),
-        "n_repeat_words": _repeated_words(words(text)),
+        "n_repeat_words": _repeated_words(w),
     }
 
 
@@ -102,35 +101,35 @@ def _bucket(rules: QualityRules, *parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(rules.buckets)).cast("int")
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket int, ratio double): log of trusted over raw probability of each bucket of hashed unigrams and bigrams.
+def log_ratios(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    """Log of trusted over raw probability of each bucket of hashed unigrams and bigrams, in bucket order.
 
-    trusted(id) names the trusted documents; every document counts for the raw model, up to rules.trusted_rows of the
-    trusted ones for the target model, whose ids are small enough to be sent to the scan: texts are never shuffled.
-    Buckets are counted in map tasks first, so at most `buckets` rows a task are shuffled.
+    trusted(id) names the trusted documents; every document counts for the raw model, those of up to rules.trusted_rows
+    trusted ids (all rows of an id) for the target model. These ids are few enough to be sent to the scan, so texts are
+    never shuffled. Buckets are counted in map tasks first: at most `buckets` rows a task are shuffled, and `buckets`
+    numbers reach the driver, whatever the corpus's size.
     """
-
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__trusted")).where("__trusted is not null").distinct()
-    share = 0.95 * rules.trusted_rows / max(1, ids.count())
-    if share < 1:
-        unit = F.shiftrightunsigned(F.xxhash64("__trusted"), 11).cast("double") / float(1 << 53)
-        ids = ids.where(unit < share)
-    ids = F.broadcast(ids.limit(rules.trusted_rows))
-    flagged = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__trusted"), "left")
+    ids = trusted.select(F.col(trusted.columns[0]).alias("trusted")).where("trusted is not null").distinct()
+    ids = F.broadcast(ids.orderBy(F.xxhash64("trusted"), "trusted").limit(rules.trusted_rows))
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("trusted"), "left")
     t = F.col("t")
     pairs = F.arrays_zip(t.alias("a"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("b"))
-    tokens = flagged.select(_tokens(F.col("__text")).alias("t"), F.when(F.col("__trusted").isNotNull(), 1).alias("good"))
+    tokens = flagged.select(_tokens(F.col("text")).alias("t"), F.when(F.col("trusted").isNotNull(), 1).alias("good"))
     grams = tokens.select("good", F.inline(pairs).alias("a", "b"))
     both = grams.select("good", F.explode(F.array(_bucket(rules, F.col("a")), F.when(F.col("b").isNotNull(), _bucket(rules, F.col("a"), F.col("b"))))).alias("bucket"))
     counts = both.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good"))
-    every = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("bucket"))
-    table = every.join(counts, "bucket", "left").select("bucket", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("raw", "good")))
-    table = materialize(table, "quality")
-    sums = table.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()  # two numbers
-    if not sums["good"]:
-        return table.select("bucket", F.lit(0.0).alias("ratio"))
-    share = lambda n: (F.col(n) + rules.smoothing) / (sums[n] + rules.smoothing * rules.buckets)
-    return table.select("bucket", F.log(share("good") / share("raw")).alias("ratio"))
+    found = {x["bucket"]: (x["raw"], x["good"]) for x in counts.collect()}  # rules.buckets rows at most
+    raw, good = (sum(v[k] for v in found.values()) for k in (0, 1))
+    if not good:
+        return [0.0] * rules.buckets
+    share = lambda n, total: (n + rules.smoothing) / (total + rules.smoothing * rules.buckets)
+    counted = (found.get(b, (0, 0)) for b in range(rules.buckets))
+    return [math.log(share(g, good) / share(r, raw)) for r, g in counted]
+
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket int, ratio double): the numbers of log_ratios() as a table."""
+    return docs.sparkSession.createDataFrame(list(enumerate(log_ratios(docs, trusted, rules, id_col, text_col))), "bucket int, ratio double")
 
 
 def _score(text: Column, ratios: list[float], rules: QualityRules) -> Column:
@@ -146,16 +145,38 @@ def _score(text: Column, ratios: list[float], rules: QualityRules) -> Column:
     return _bind(_tokens(text), mean)
 
 
+#: What a judgement says of a document.
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
+def judgement(text: Column, ratios: list[float], rules: QualityRules) -> Column:
+    """A struct of NAMES, one expression whose parts are each computed once a row, wherever the optimizer moves it."""
+
+    def told(m: Column) -> Column:
+        failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+        values = {"base_failed": failed, "score": m["score"], "kept": ~failed & (m["score"] >= rules.threshold)}
+        return F.struct(*(m[n].alias(n) for n in NAMES[:5]), *(c.alias(n) for n, c in values.items()))
+
+    score = F.round(_score(text, ratios, rules), 6).alias("score")
+    return _bind(_bind(words(text), lambda w: F.struct(*(c.alias(n) for n, c in base_metrics(text, w).items()), score)), told)
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str, text_col: str) -> DataFrame:
+    """(row, j): each row as a struct beside its judgement."""
+    ratios = log_ratios(docs, trusted, rules, id_col, text_col)
+    return packed(docs, j=judgement(F.col(text_col), ratios, rules))
+
+
 def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __base_failed, __score, __kept.
 
-    Every row is judged on its own text, repeated rows and null ids included. A null or empty text has no words and
-    fails the base rules. Without trusted documents every score is 0 and the base rules decide alone.
+    Every row is judged on its own whole text, however long, repeated rows and null ids included. A null or empty text
+    has no words and fails the base rules. Without trusted documents every score is 0 and the base rules decide alone.
+    An empty table gives an empty result. Input columns named like the added ones are replaced; no other name can clash.
     """
-    table = ratio_table(docs, trusted, rules, id_col, text_col)
-    ratios = [x["ratio"] for x in sorted(table.collect(), key=lambda x: x["bucket"])]  # rules.buckets numbers, no more
-    text = F.col(text_col)
-    out = docs.withColumns({f"__{k}": v for k, v in base_metrics(text).items()})
-    failed = (F.col("__n_words") < rules.min_words) | (100 * F.col("__n_repeat_words") > rules.max_repeat_percent * F.col("__n_words"))
-    out = out.withColumns({"__base_failed": failed, "__score": F.round(_score(text, ratios, rules), 6)})
-    return out.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= rules.threshold))
+    return unpacked(_judged(docs, trusted, rules, id_col, text_col).select("row", "j.*"), docs.columns, *NAMES)
+
+
+def good_documents(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that judge() keeps, with exactly the columns and values they came with."""
+    return _judged(docs, trusted, rules, id_col, text_col).where("j.kept").select("row.*")

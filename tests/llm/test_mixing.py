@@ -16,20 +16,27 @@ def test_period_deviates_by_less_than_a_block(seed):
     assert all(k == sum(x == i for x, _ in slots[:n]) for n, (i, k) in enumerate(slots))
 
 
-def test_phases_place_every_block_once():
-    blocks, weights = [7, 30, 0, 3, 2], [5, 3, 4, 2, 0]
-    order = {}
+@pytest.mark.parametrize("blocks,weights", [([7, 30, 0, 3, 2], [5, 3, 4, 2, 0]), ([1, 1, 1], [9, 1, 5]), ([400, 3], [1, 2]), ([], [])])
+def test_phases_place_every_block_once(blocks, weights):
+    order, listed = {}, 0
     for p in mixing.phases(blocks, weights):
-        for i, w in p["weights"].items():
-            for j in range(10_000):
-                slot = j // w * p["period"] + p["place"][i][j % w]
-                if slot >= p["length"]:
-                    break
-                order[p["start"] + slot] = (i, p["had"][i] + j)
-    assert sorted(order) == list(range(sum(blocks)))
+        assert len(p.slots) == min(p.period, p.length) and sum(p.taken().values()) == p.length
+        listed += len(p.slots)
+        at = {s: n for n, s in enumerate(p.slots)}
+        for i, n in p.taken().items():
+            for j in range(n):
+                slot = j // p.weights[i] * p.period + at[i, j % p.weights[i]]
+                assert slot < p.length
+                order[p.start + slot] = (i, p.had[i] + j)
+    assert sorted(order) == list(range(sum(blocks))) and listed <= sum(blocks)
     assert sorted(order.values()) == [(i, k) for i, b in enumerate(blocks) for k in range(b)]
 
 
+def test_many_sources_need_no_quadratic_schedule():
+    blocks = [1 + i % 7 for i in range(3000)]
+    assert sum(len(p.slots) for p in mixing.phases(blocks, [1 + i % 3 for i in range(3000)])) <= sum(blocks)
+
+
 def test_mix_follows_the_schedule(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
