@@ -133,11 +133,10 @@ class ChunkMemo:
 
 
 class WordBpe(ChunkMemo):
-    """A BPE model from a tokenizer file: lower-casing, white space dropped, byte alphabet, word-end suffix."""
+    """A BPE model from a tokenizer file, or its bytes: lower-casing, white space dropped, byte alphabet, word-end suffix."""
 
-    def __init__(self, path: str, memo: int = 100_000) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str | bytes, memo: int = 100_000) -> None:
+        spec = json.loads(source if isinstance(source, bytes) else file_bytes(source))
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -280,10 +279,15 @@ def byte_alphabet() -> list[str]:
     return seen
 
 
+def file_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    """One model a worker process."""
-    return WordBpe(path)
+def load(source: bytes) -> WordBpe:
+    """One model a worker process. The driver's file is sent out as bytes, so executors need no path to it."""
+    return WordBpe(source)
 
 
 def _digests(model: WordBpe, ids: np.ndarray) -> tuple[int, str, str]:
@@ -298,11 +302,12 @@ def _digests(model: WordBpe, ids: np.ndarray) -> tuple[int, str, str]:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, n_tokens long, ids_sha256, decoded_sha256), one row for each input row; a null text is empty.
 
-    Repeated rows and null ids each give their own row; extra columns are not read.
+    Repeated rows and null ids each give their own row; texts of any length are encoded whole; other columns are not read.
     """
+    held = docs.sparkSession.sparkContext.broadcast(file_bytes(path))  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = load(held.value)
         for batch in batches:
             made = [_digests(model, ids) for ids in model.encode_batch(x.as_py() or "" for x in batch.column(1))]
             cols = list(zip(*made, strict=True)) if made else [[], [], []]
@@ -314,10 +319,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with an array<int> column of token ids (a null text gives an empty array); a column of that name is replaced."""
+    held = docs.sparkSession.sparkContext.broadcast(file_bytes(path))  # a vocabulary file
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pa.Array) -> pa.Array:
-        made = list(load(path).encode_batch(t.as_py() or "" for t in text))
+        made = list(load(held.value).encode_batch(t.as_py() or "" for t in text))
         ends = np.cumsum([0, *map(len, made)])
         flat = np.concatenate([np.zeros(0, np.int32), *made]).astype(np.int32)
         del made

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import written
 
 
 def star_components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """edges(u long, v long) -> (node long, root long), one row per node that has an edge, itself as root included.
 
     root is the smallest node reachable. Each round is a bounded number of shuffles on node keys whose groups are
-    only ever reduced by min(), so a hub never has to fit into a task; every round is written to the shared folder.
+    only ever reduced by min(), so a hub never has to fit into a task; every round is written to the shared folder, and
+    the one before it deleted.
     Null endpoints and self-loops are ignored; an empty edge table gives an empty result.
     """
-    links = materialize(
-        edges.where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
-        .distinct(),
-        tag,
-    )
+    spark, spent = edges.sparkSession, []
+    pairs = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    links = written(spark, lambda: pairs, tag, spent)
     mark = _mark(links)
     while mark[0]:
-        links = materialize(_small_star(_large_star(links)), tag)
+        links = written(spark, lambda links=links: _small_star(_large_star(links)), tag, spent)
         seen, mark = mark, _mark(links)
         if seen == mark:
             break

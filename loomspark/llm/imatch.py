@@ -10,7 +10,8 @@ from hashlib import blake2b, sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +125,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the subsets with equal marks among those not empty in both, at the best level that both have."""
+    """Share of the subsets with equal marks among those not empty in both, at the best level that both have.
+
+    Levels follow the terms inside the lexicon, so texts share none only if one has at least twice as many as the other;
+    less than half of all their terms are common then, and they count as unlike.
+    """
     if a == b:
         return 1.0
     if ":" not in a or ":" not in b or (a[0] == "x") != (b[0] == "x"):
@@ -142,7 +147,10 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, plan: IMatchPlan = IMatchPlan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint), one row for each input row; null and empty texts share one fingerprint."""
+    """(doc_id, fingerprint), one row for each input row; null and empty texts share one fingerprint.
+
+    Repeated rows and null ids each give their own row, texts of any length are taken whole, other columns are not read.
+    """
     held = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col, plan))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,39 +161,81 @@ def fingerprints(docs: DataFrame, plan: IMatchPlan = IMatchPlan(), id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@dataclass(frozen=True)
+class _Cuts:
+    """Where the ranges of with_next() begin, in its order: ids falling, then nulls, texts of one id by their hash.
+
+    ids and marks are the ranges' first keys, the ids as ~id, which rises; nulls the first hashes of the null ids' ranges.
+    """
+
+    ids: np.ndarray
+    marks: np.ndarray
+    nulls: np.ndarray
+
+    @classmethod
+    def of(cls, own: DataFrame, ranges: int) -> _Cuts:
+        """Ranges of about equal rows; the rows of an id that would fill several are cut by their texts' hashes."""
+        share = [i / ranges for i in range(1, ranges)]
+        told = own.agg(F.percentile_approx("id", share, 20 * ranges).alias("at"), F.count("*").alias("n"), F.count("id").alias("known")).first()
+        each: dict[int, int] = {}
+        for i in told["at"] or []:
+            each[i] = each.get(i, 0) + 1
+        cuts = sorted((~i, (1 << 63) // n * k) for i, n in each.items() for k in range(n))
+        apart = max(1, round(ranges * (told["n"] - told["known"]) / max(1, told["n"])))
+        return cls(*(np.array([c[k] for c in cuts], np.int64) for k in (0, 1)), np.array([(1 << 63) // apart * k for k in range(apart)], np.int64))
+
+    def place(self, ids: pa.Array, marks: pa.Array) -> pa.Array:
+        """The range of each row."""
+        null, v = ids.is_null().to_numpy(zero_copy_only=False), marks.to_numpy(zero_copy_only=False)
+        a = ~ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(self.ids, a, "left"), np.searchsorted(self.ids, a, "right")
+        out = high.copy()
+        for n in np.unique(low[(low < high) & ~null]):
+            mine = (low == n) & (low < high)
+            out[mine] = n + np.searchsorted(self.marks[n : high[mine][0]], v[mine], "right")
+        out[null] = len(self.ids) + np.searchsorted(self.nulls, v[null], "right")
+        return pa.array(out.astype(np.int32))
+
+
 def with_next(docs: DataFrame, use: Callable[[int | None, str, str], tuple], out_schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of use(id, text, next text) for each row, the next being that of the next smaller id, cyclically.
 
-    Rows of one id stand in the order of their texts; null ids come after all others. Rows are dealt out by ranges of
-    ids and sorted; the head of each range travels to the range before it as well, so every row meets its successor
-    in one shuffle of the texts. What the driver holds is one id a range.
+    Rows of one id stand in the order of their texts' hashes; null ids come after all others. Rows are dealt out by
+    ranges of (id, hash) and sorted; the first row of each range travels to the range before it as well, so every row
+    meets its successor in one shuffle of the texts. Rows of a table read from files are told apart by their place, so
+    just one row is the first; of others all that equal it travel. What the driver holds is one key a range. Null texts
+    are empty, texts of any length are taken whole, an empty table gives an empty result, other columns are not read.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _cuts(own, ranges)
-    edges, none = np.array(cuts, np.int64), len(cuts) + 1
+    place = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    try:
+        docs.select(place)
+    except AnalysisException:
+        place = F.lit(0).cast("long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("mark"), place.alias("place"), text.alias("text"))
+    cuts = _Cuts.of(own, 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     @F.arrow_udf(T.IntegerType())
-    def place(ids: pa.Array) -> pa.Array:
-        """Range 0 has the largest ids, range len(cuts) the smallest, and null ids one of their own after it."""
-        at = len(edges) - np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), none, at).astype(np.int32))
+    def placed(ids: pa.Array, marks: pa.Array) -> pa.Array:
+        return cuts.place(ids, marks)
 
-    ranged = own.withColumn("range", place("id"))
-    heads = {r["range"]: r["head"] for r in ranged.groupBy("range").agg(F.max("id").alias("head")).collect()}
+    ranged = own.withColumn("range", placed("id", "mark"))
+    head = F.min(F.struct(F.bitwise_not("id").alias("a"), F.col("mark"), F.col("place"), F.col("id")))
+    heads = {r["range"]: (r["f"]["id"], r["f"]["mark"], r["f"]["place"]) for r in ranged.groupBy("range").agg(head.alias("f")).collect()}
     order = sorted(heads)
     if not order:
         return ranged.mapInArrow(lambda batches: iter(()), out_schema)
     before = {r: order[i - 1] for i, r in enumerate(order)}
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def homes(ranges: pa.Array, ids: pa.Array) -> pa.Array:
+    def homes(ranges: pa.Array, ids: pa.Array, marks: pa.Array, places: pa.Array) -> pa.Array:
         """A row's range, and for the head of a range the one before it, as a guest."""
-        return pa.array([[r, before[r]] if i == heads[r] else [r] for r, i in zip(ranges.to_pylist(), ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        rows = zip(ranges.to_pylist(), ids.to_pylist(), marks.to_pylist(), places.to_pylist(), strict=True)
+        return pa.array([[r, before[r]] if (i, m, p) == heads[r] else [r] for r, i, m, p in rows], pa.list_(pa.int32()))
 
-    dealt = ranged.select("id", "text", F.posexplode(homes("range", "id")).alias("guest", "range")).select("range", "guest", "id", "text")
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), "text")
+    dealt = ranged.select("id", "mark", "place", "text", F.posexplode(homes("range", "id", "mark", "place")).alias("guest", "range"))
+    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), "mark", "place").select("range", "guest", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(_arrow_schema(out_schema))
@@ -205,12 +255,6 @@ def with_next(docs: DataFrame, use: Callable[[int | None, str, str], tuple], out
     return ordered.mapInArrow(run, out_schema)
 
 
-def _cuts(own: DataFrame, ranges: int) -> list[int]:
-    """At most `ranges` distinct ids that cut the rows into about equal parts, ascending."""
-    found = own.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-    return sorted(set(found or []))
-
-
 def _arrow_schema(ddl: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     return [(n, kinds[k]) for n, k in (part.split() for part in ddl.split(","))]

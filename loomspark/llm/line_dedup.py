@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspark.llm.common import materialize, tidy
+from loomspark.llm.common import materialize, packed, tidy, unpacked
 
 #: What a sorted partition says of a line: it goes; it waits for earlier partitions; first document of an edge run.
 DROP, WAIT, EDGE = 0, 1, 2
@@ -121,11 +121,12 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of min_chars code points or more
     that at least two ids hold lose all lines but those of the smallest id. Null and empty texts are one empty line.
     Rows that share an id are one document; null ids together are one document that sorts after all others.
-    Keys are ranged by (hash, id), so a key held by a third of all lines spreads over many partitions.
+    Keys are ranged by (hash, id, text, place), so a key held by a third of all lines spreads over many partitions, and
+    so do the lines that one id, or none, repeats. The keys are written first: finding the ranges reads them again.
     """
-    dealt = line_keys(docs, id_col, text_col, min_chars).repartitionByRange("h", F.col("id").asc_nulls_last())
-    ordered = dealt.sortWithinPartitions("h", F.col("id").asc_nulls_last(), "mark", "pos")
-    said = materialize(ordered.mapInArrow(_stream, "kind tinyint, h binary, id long, mark long, pos int"), "lines")
+    keys = materialize(line_keys(docs, id_col, text_col, min_chars), "line-keys")
+    order = ["h", F.col("id").asc_nulls_last(), "mark", "pos"]
+    said = materialize(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream, "kind tinyint, h binary, id long, mark long, pos int"), "lines")
     # two edges a partition at most: bounded by the number of partitions
     edges = said.where(F.col("kind") == EDGE).groupBy("h").agg(F.min("id").alias("first"))
     late = said.where(F.col("kind") == WAIT).join(F.broadcast(edges), "h").where(~F.col("id").eqNullSafe(F.col("first")))
@@ -134,20 +135,25 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_doc.select("id", "mark", F.size("drops").cast("long").alias("n_dropped"), _pack("drops").alias("bitmap"))
 
 
+def cut_rows(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, cut, n_lines, n_dropped): each row as a struct, its text's kept lines, its lines before and those dropped."""
+    own = packed(docs, id=F.col(id_col).cast("long"), mark=_mark(text_col), text=F.col(text_col))
+    gone = bitmaps.select(F.col("id").alias("b_id"), F.col("mark").alias("b_mark"), F.col("n_dropped").alias("n"), "bitmap")
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("mark") == F.col("b_mark")), "left")
+    hit, whole = F.col("bitmap").isNotNull(), F.coalesce("text", F.lit(""))
+    kept = joined.withColumn("part", _kept(F.when(hit, F.col("text")), F.col("bitmap")))
+    lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
+    return kept.select("row", F.when(hit, F.col("part")).otherwise(F.col("text")).alias("cut"), lines.cast("long").alias("n_lines"), F.coalesce("n", F.lit(0).cast("long")).alias("n_dropped"))
+
+
 def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cut to its kept lines, and __n_lines (before) and __n_dropped beside all its columns."""
-    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__mark", _mark(text_col))
-    cut = bitmaps.select(F.col("id").alias("__b_id"), F.col("mark").alias("__b_mark"), F.col("n_dropped").alias("__b_n"), F.col("bitmap").alias("__bitmap"))
-    joined = own.join(cut, F.col("__id").eqNullSafe(F.col("__b_id")) & (F.col("__mark") == F.col("__b_mark")), "left")
-    hit = F.col("__bitmap").isNotNull()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return (
-        joined.withColumn("__n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-        .withColumn("__n_dropped", F.coalesce("__b_n", F.lit(0).cast("long")))
-        .withColumn("__cut", _kept(F.when(hit, F.col(text_col)), F.col("__bitmap")))
-        .withColumn(text_col, F.when(hit, F.col("__cut")).otherwise(F.col(text_col)))
-        .drop("__id", "__mark", "__b_id", "__b_mark", "__b_n", "__bitmap", "__cut")
-    )
+    """docs with text_col cut to its kept lines, and __n_lines (before) and __n_dropped beside all its columns.
+
+    Input columns named like the added ones are replaced; no other name can clash.
+    """
+    made = cut_rows(docs, bitmaps, id_col, text_col)
+    fields = [(F.col("cut") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return unpacked(made.select(F.struct(*fields).alias("row"), "n_lines", "n_dropped"), docs.columns, "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries that SQL can express: URL rules and line dedup."""
+"""DuckDB SQL of the queries that SQL can express: URL rules, line dedup and what sharding has to give back."""
 
 from __future__ import annotations
 
@@ -18,4 +18,5 @@ SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s
 k AS (SELECT *, translate(trim(line, {_SPACE}), '{_UP}', '{_LOW}') AS key FROM l),
 d AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
+    "op8_sharding": "SELECT doc_id, source, coalesce(doc_id, 0) % 4 AS arrival, length(text) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }

@@ -87,13 +87,19 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_tokens(spark, path, use, schema, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+#: Batches in which op8_sharding's documents arrive.
+ARRIVALS = 4
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its shard after all documents arrived as they are split and the tiers were compacted."""
+    """Every document as it is read from the last version, after ARRIVALS batches of small shards, each compacted on arrival."""
     made = compaction.ShardSet(spark, fresh_path(spark, "shards"))
-    made.append(_read(spark, sf_dir, "documents"))
-    made.compact()
+    docs = _read(spark, sf_dir, "documents").withColumn("arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)))
+    for n in range(ARRIVALS):
+        made.append(docs.where(F.col("arrival") == n))
+        made.compact()
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return made.read().select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"), F.col("__shard").alias("shard"))
+    return made.read().select("doc_id", "source", "arrival", F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

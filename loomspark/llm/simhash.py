@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.llm.common import materialize, tidy, word_lists
 from loomspark.llm.components import star_components
@@ -22,6 +23,7 @@ from loomspark.llm.components import star_components
 BITS = 64
 #: Buckets with more fingerprints than this are dealt out again by a second covering code over the hidden bits.
 DENSE = 256
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -78,8 +80,10 @@ def linked_pairs(nodes: DataFrame, radius: int = 3) -> DataFrame:
     masks = covering_masks(radius)
     inner = [covering_masks(radius, [p for p in range(BITS) if not m >> p & 1]) for m in masks]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "key"))
-    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    held = keyed.join(counts, ["t", "key"])
+    # buckets are counted, and told their count, in SALTS parts each, so a large one does not meet in a task before it is dealt out
+    keyed = keyed.withColumn("c", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    counts = keyed.groupBy("t", "key", "c").agg(F.count("*").alias("m")).withColumn("n", F.sum("m").over(Window.partitionBy("t", "key"))).where("n > 1")
+    held = keyed.join(counts.select("t", "key", "c", "n"), ["t", "key", "c"])
     sub = F.array(*[F.array(*[F.lit(_signed(m | w)) for w in row]) for m, row in zip(masks, inner, strict=True)])
     light = held.where(F.col("n") <= DENSE).select("t", F.lit(-1).alias("s"), "key", "fp")
     dense = (

@@ -1,9 +1,11 @@
 """Token ids in sorted-string-table shards.
 
 A shard is a file of blocks, a block index, a Bloom filter and a footer. A block holds records in key order; each key
-is stored as the length it shares with the key before it and the rest (every 16th whole, so a search can start there);
-a record's value is the document's ids as 16- or 32-bit little-endian numbers. Blocks are compressed one by one. The
-sparse index names every block's first key; together with the filter a lookup reads at most one run of blocks.
+is stored as the length it shares with the key before it and the rest, every 16th whole; the places of the whole ones
+stand at the block's end, so a search within it starts at the right one. A record's value is the document's ids as 16-
+or 32-bit little-endian numbers. Blocks are compressed one by one. The sparse index names every block's first key, the
+manifest every shard's first and last, so a lookup opens the shards that can hold a key and, if the filter agrees, reads
+one run of blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import struct
 import uuid
 from array import array
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 from urllib.parse import urlparse
@@ -27,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.bpe import ChunkMemo, byte_alphabet
+from loomspark.llm.bpe import ChunkMemo, byte_alphabet, file_bytes
 
-MAGIC = b"LOOMSST1"
+MAGIC = b"LOOMSST2"
 _FOOTER = struct.Struct("<QQQQQQB8s")  # index at and size, filter at and size, records, ids, width of an id, magic
 _RESTART = 16
 _CODEC = pa.Codec("zstd", compression_level=1)
@@ -103,7 +105,7 @@ class ShardWriter:
     def __init__(self, out, width: int, block_bytes: int = 1 << 18) -> None:
         self.out, self.width, self.block_bytes = out, width, block_bytes
         self.at = self.records = self.ids = self.count = 0
-        self.block, self.index, self.keys, self.last, self.first = bytearray(), [], [], b"", b""
+        self.block, self.index, self.keys, self.last, self.first, self.restarts = bytearray(), [], [], b"", b"", []
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if key < self.last and self.records:
@@ -111,6 +113,8 @@ class ShardWriter:
         shared = 0 if self.count % _RESTART == 0 else len(os.path.commonprefix([self.last, key]))
         if not self.count:
             self.first = key
+        if self.count % _RESTART == 0:
+            self.restarts.append(len(self.block))
         value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(value)) + value
         self.last, self.count, self.records, self.ids = key, self.count + 1, self.records + 1, self.ids + len(ids)
@@ -119,11 +123,12 @@ class ShardWriter:
             self._flush()
 
     def _flush(self) -> None:
+        self.block += struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
         data = _CODEC.compress(bytes(self.block), asbytes=True)
         self.out.write(data)
         self.index.append((self.first, self.at, len(data), len(self.block)))
         self.at += len(data)
-        self.block, self.count = bytearray(), 0
+        self.block, self.count, self.restarts = bytearray(), 0, []
 
     def close(self) -> None:
         if self.block:
@@ -154,8 +159,16 @@ class Shard:
             self.index.append((key, start, length, whole))
         self.bloom = Bloom(np.unpackbits(np.frombuffer(self.file.read_at(bloom_size, bloom_at), np.uint8)))
 
-    def _block(self, start: int, length: int, whole: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        data, at, key = _CODEC.decompress(self.file.read_at(length, start), whole, asbytes=True), 0, b""
+    def _read(self, start: int, length: int, whole: int) -> tuple[bytes, list[int]]:
+        """A block's records and the places of its whole keys."""
+        data = _CODEC.decompress(self.file.read_at(length, start), whole, asbytes=True)
+        (n,) = struct.unpack_from("<I", data, len(data) - 4)
+        end = len(data) - 4 * (n + 1)
+        return data[:end], list(struct.unpack_from(f"<{n}I", data, end))
+
+    def _records(self, data: bytes, at: int = 0) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Records from a whole key on."""
+        key = b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             n, at = _read_varint(data, at)
@@ -166,7 +179,7 @@ class Shard:
 
     def __iter__(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for _, *place in self.index:
-            yield from self._block(*place)
+            yield from self._records(self._read(*place)[0])
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of every record with this key; none if it isn't there."""
@@ -177,15 +190,22 @@ class Shard:
         for first, *place in self.index[at:]:
             if first > key:
                 break
-            found += [ids for k, ids in self._block(*place) if k == key]
+            data, restarts = self._read(*place)
+            # the last whole key below the wanted one; equal keys may begin before the first whole one that equals it
+            start = max(0, bisect_left(restarts, key, key=lambda at: next(self._records(data, at))[0]) - 1)
+            for k, ids in self._records(data, restarts[start]):
+                if k > key:
+                    break
+                if k == key:
+                    found.append(ids)
         return found
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(source: str | bytes):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
+    made = Tokenizer.from_buffer(source) if isinstance(source, bytes) else Tokenizer.from_file(source)
     made.no_padding()
     made.no_truncation()
     return made
@@ -200,8 +220,8 @@ class WordEncoder(ChunkMemo):
     the library's whole chain, and texts with special tokens or separators that only str.split() knows as they are.
     """
 
-    def __init__(self, path: str, memo: int = 500_000) -> None:
-        self.lib = _tokenizer(path)
+    def __init__(self, source: str | bytes, memo: int = 500_000) -> None:
+        self.lib = _tokenizer(source)
         super().__init__(memo, self.lib.get_vocab_size())
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.words, self.old_words = {}, {}
@@ -243,23 +263,40 @@ class WordEncoder(ChunkMemo):
         return self._ids(self.lib.encode(text, add_special_tokens=False).ids)
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+class TextEncoder:
+    """The tokenizers library over whole texts, for tokenizers that WordEncoder's conditions exclude; several times slower."""
+
+    def __init__(self, source: str | bytes) -> None:
+        self.lib = _tokenizer(source)
+        self.kind = np.dtype("<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def encode_batch(self, texts: Iterable[str], chars: int = 1 << 21) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind)
+
+
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", whole_texts: bool = False) -> list[dict]:
     """Encode every text, append end_id, and write shards in id order under `out`; returns the manifest's shards.
 
-    Rows are dealt out by ranges of ids, one shard a range; rows of one id stand in the order of their texts, null
-    ids come last, a null text is empty. A task writes under a name of its own and renames the finished file, and
-    manifest.json, written last, names the files that count: a lost or repeated task leaves nothing half done.
+    Rows are dealt out by ranges of (id, hash of the text), one shard a range, so rows that share an id, or have none,
+    spread as well; they stand in the order of these hashes, null ids come last, a null text is empty, a long one is
+    encoded whole, other columns are not read. An empty table gives a manifest without shards. whole_texts sends texts
+    through the library as they are instead of word by word. A task writes under a name of its own and renames the finished
+    file, and manifest.json, written last, names the files that count: a lost or repeated task leaves nothing half done.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = [F.col("id").asc_nulls_last(), F.col("mark")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    held = spark.sparkContext.broadcast(file_bytes(tokenizer))  # a vocabulary file
     system, folder = file_system(out)
     system.create_dir(folder, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = file_system(out)
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(tokenizer)
+        encoder = TextEncoder(held.value) if whole_texts else WordEncoder(held.value)
         end = np.array([] if end_id is None else [end_id], encoder.kind)
         name, writer, stream = f"{base}/shard-{part:06d}.sst", None, None
         for batch in batches:
@@ -274,14 +311,15 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
             writer.close()
             stream.close()
             store.move(attempt, name)
-            columns = [[part], [os.path.basename(name)], [writer.records], [writer.ids]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "name", "records", "ids"])
+            columns = [[part], [os.path.basename(name)], [writer.records], [writer.ids], [writer.keys[0].hex()], [writer.last.hex()]]
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "name", "records", "ids", "first", "last"])
 
     # one row a shard
-    made = sorted(ordered.mapInArrow(run, "part int, name string, records long, ids long").collect(), key=lambda r: r["part"])
+    made = sorted(ordered.mapInArrow(run, "part int, name string, records long, ids long, first string, last string").collect(), key=lambda r: r["part"])
     shards, start = [], 0
     for r in made:
-        shards.append({"name": r["name"], "records": r["records"], "ids": r["ids"], "start": start})
+        shards.append({"name": r["name"], "records": r["records"], "ids": r["ids"], "start": start, "first": r["first"], "last": r["last"]})
         start += r["ids"]
     with system.open_output_stream(f"{folder}/.manifest") as f:
         f.write(json.dumps({"format": MAGIC.decode(), "tokenizer": os.path.basename(tokenizer), "end_id": end_id, "shards": shards}).encode())
@@ -319,8 +357,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def lookup(path: str, doc_id: int | None) -> list[np.ndarray]:
-    """Ids of one document from a folder of shards, by each shard's filter and index."""
+    """Ids of one document from a folder of shards: only shards whose range of keys holds it are opened."""
     system, folder = file_system(path)
     with system.open_input_stream(f"{folder}/manifest.json") as f:
         shards = json.loads(f.read())["shards"]
-    return [ids for s in shards for ids in Shard(f"{path}/{s['name']}").get(doc_id)]
+    key, found = key_of(doc_id).hex(), []
+    for s in shards[bisect_left(shards, key, key=lambda s: s["last"]) :]:
+        if s["first"] > key:
+            break
+        found += Shard(f"{path}/{s['name']}").get(doc_id)
+    return found

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspark.llm.common import materialize, packed, unpacked
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,33 +53,55 @@ def expressions(host: Column, path: Column, labels: Column, lengths: Column) ->
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p))))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", prefix: int = 8) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", prefix: int = 8, salts: int = 16, frequent: int = 1000) -> DataFrame:
     """pages with __host, __path, __rule (host and path, or null) and __verdict (the rule's, else default).
 
     Distinct URLs are expanded once, joined with the rules on the first `prefix` hex digits of SHA-256 digests and
     confirmed on whole digests. The longest rule (host and path together) wins; of equally long ones that with the
     longer host, then the one that blocks, then the smallest text. A null or scheme-less URL has an empty host and
     path; only a rule with an empty host could fit it. Rules with a null part are ignored, repeated rules count once.
-    Every row of pages comes back once, repeated rows included. Without rules the default decides.
+    Every row of pages comes back once, repeated rows included, however long its URL; an empty table gives an empty
+    result. Without rules the default decides. Input columns named like the added ones are replaced; others can't clash.
+
+    A digest that many URLs share is spread over `salts` keys, with a copy of the rules for each. The verdicts of the
+    `frequent` most frequent URLs are sent to the pages, so neither they nor URLs without host meet in a task.
     """
     host, path = split_url(F.col(url_col))
-    own = pages.withColumns({"__host": host, "__path": path})
+    own = packed(pages, host=host, path=path)
     listed = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null").distinct()
-    listed = listed.withColumn("digest", _digest(F.col("host"), F.col("path")))
     bounds = listed.agg(
         F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("labels"),
         F.sort_array(F.collect_set(F.length("path"))).alias("lengths"),  # at most the longest rule's length
+        F.coalesce(F.max(F.col("host") == ""), F.lit(False)).alias("hostless"),
     ).first()
+    names = ("host", "path", "rule", "verdict")
     if not bounds["labels"]:
-        return own.withColumns({"__rule": F.lit(None).cast("string"), "__verdict": F.lit(default)})
-    lengths = F.array(*[F.lit(n) for n in bounds["lengths"]])
-    urls = own.select("__host", "__path").distinct()
-    asked = urls.select("__host", "__path", F.explode(expressions(F.col("__host"), F.col("__path"), F.lit(bounds["labels"]), lengths)).alias("__digest"))
+        return unpacked(own.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}), pages.columns, *names)
     short = lambda c: F.substring(c, 1, prefix)
-    found = asked.withColumn("__short", short("__digest")).join(listed.withColumn("short", short("digest")), F.col("__short") == F.col("short"))
-    found = found.where(F.col("__digest") == F.col("digest"))
-    rank = F.struct(F.length(F.concat("host", "path")), F.length("host"), F.col("verdict") == "block", F.concat("host", "path"))
-    best = found.groupBy("__host", "__path").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), rank).alias("__best"))
-    best = best.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "__best")
-    joined = own.join(best, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")), "left")
-    return joined.withColumns({"__rule": F.col("__best.rule"), "__verdict": F.coalesce("__best.verdict", F.lit(default))}).drop("__h", "__p", "__best")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    held = listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict", _digest(F.col("host"), F.col("path")).alias("d"), salt.alias("salt"))
+    held = held.withColumn("short", short("d"))
+    asked = F.lit(True) if bounds["hostless"] else F.col("host") != ""
+    lengths = F.array(*[F.lit(n) for n in bounds["lengths"]])
+    urls = own.where(asked).groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int"))
+    each = urls.withColumn("digest", F.explode_outer(expressions(F.col("host"), F.col("path"), F.lit(bounds["labels"]), lengths))).withColumn("short", short("digest"))
+    found = each.join(held, ["short", "salt"], "left")
+    rank = F.struct(F.length(F.concat("h", "p")), F.length("h"), F.col("verdict") == "block", F.concat("h", "p"))
+    fits = F.when(F.col("digest") == F.col("d"), rank)
+    judged = found.groupBy("host", "path").agg(F.max("n").alias("n"), F.max_by(F.struct(F.concat("h", "p").alias("rule"), "verdict"), fits).alias("best"))
+    judged = materialize(judged, "urls")
+    most = F.broadcast(judged.orderBy(F.desc("n")).limit(frequent).select(F.col("host").alias("fh"), F.col("path").alias("fp"), F.col("best").alias("known")))
+    marked = own.join(most, (F.col("host") == F.col("fh")) & (F.col("path") == F.col("fp")), "left")
+    # rows that need no join any more get a key of their own, which meets nothing
+    done = F.col("fh").isNotNull() | ~asked
+    keyed = marked.withColumn("kh", F.when(~done, F.col("host"))).withColumn("spread", F.when(done, F.xxhash64("row", "host", "path") if _hashable(own) else F.xxhash64("host", "path")).otherwise(F.lit(0).cast("long")))
+    rest = judged.select(F.col("host").alias("rh"), F.col("path").alias("rp"), F.lit(0).cast("long").alias("rs"), F.col("best").alias("later"))
+    joined = keyed.join(rest, (F.col("kh") == F.col("rh")) & (F.col("path") == F.col("rp")) & (F.col("spread") == F.col("rs")), "left")
+    best = F.coalesce("known", "later")
+    made = joined.select("row", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
+    return unpacked(made, pages.columns, *names)
+
+
+def _hashable(rows: DataFrame) -> bool:
+    """Whether rows' struct holds no map, which can't be hashed."""
+    return "map<" not in rows.schema["row"].dataType.simpleString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import xxhash
@@ -72,3 +73,30 @@ def line_dedup(rows: list[tuple[int, str | None]], min_chars: int = 10) -> dict[
         kept = [x for x in lines if len(key(x)) < min_chars or first[key(x)] == doc]
         out[doc] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
+
+
+def ratio_tokens(text: str | None) -> list[str]:
+    """Runs of letters, of digits and of other signs, for ASCII texts."""
+    return re.findall(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]+", text or "")
+
+
+def grams(tokens: list[str], buckets: int) -> list[int]:
+    """Buckets of unigrams and bigrams; a bigram's hash goes on from its first word's."""
+    one = [xxhash.xxh64_intdigest(t.encode(), 42) for t in tokens]
+    two = [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, tokens[1:], strict=False)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in one + two]
+    return [h % buckets for h in signed]
+
+
+def mean_ratios(docs: list[tuple[int, str | None]], trusted: set[int], buckets: int, smoothing: float = 1.0) -> list[float]:
+    """Mean log ratio of each document, by counting all grams twice."""
+    counts = [[0] * buckets, [0] * buckets]
+    for i, text in docs:
+        for b in grams(ratio_tokens(text), buckets):
+            counts[0][b] += 1
+            counts[1][b] += i in trusted
+    raw, good = map(sum, counts)
+    if not good:
+        return [0.0] * len(docs)
+    ratio = [math.log((g + smoothing) / (good + smoothing * buckets)) - math.log((r + smoothing) / (raw + smoothing * buckets)) for r, g in zip(*counts, strict=True)]
+    return [sum(ratio[b] for b in found) / len(found) if (found := grams(ratio_tokens(t), buckets)) else 0.0 for _, t in docs]

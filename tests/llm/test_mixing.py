@@ -65,3 +65,53 @@ def test_explicit_weights_and_odd_rows(spark, odd_docs, no_docs):
     laid = mixing.mixed_order(odd_docs)
     assert laid.columns == odd_docs.columns and laid.count() == odd_docs.count()
     assert mixing.deviation([0, 1], [1, 1]) == Fraction(1, 2)
+
+
+def test_query_against_plain_schedule(spark, sf_dir):
+    from loomspark.llm.queries import op1_mixing
+
+    got = op1_mixing(spark, sf_dir).collect()
+    rows = [(x["doc_id"], x["source"]) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted((x["doc_id"], x["source"]) for x in got) == sorted(rows)
+    plan = mixing.MixPlan()
+    counts = {s: sum(y == s for _, y in rows) for s in sorted({y for _, y in rows})}
+    weights = mixing.derived_weights(counts, plan)
+    left, done, clock, slots = {s: -(-n // plan.block) for s, n in counts.items()}, dict.fromkeys(counts, 0), 0, []
+    while any(left[s] > done[s] for s in counts):
+        # one phase, slot by slot: of the released blocks the one with the earliest deadline, ties by source
+        active = [s for s in counts if left[s] > done[s]]
+        total, had = sum(weights[s] for s in active), dict(done)
+        clock = 0
+        while all(left[s] > done[s] for s in active):
+            ready = []
+            for s in active:
+                k = done[s] - had[s]
+                if k * total // weights[s] <= clock:
+                    ready.append((-(-(k + 1) * total // weights[s]), active.index(s), s))
+            _, _, s = min(ready)
+            slots.append((s, done[s]))
+            done[s] += 1
+            clock += 1
+    place = {(s, k): n for n, (s, k) in enumerate(slots)}
+    by = {}
+    for x in got:
+        assert x["slot"] == place[x["source"], x["block"]] and 0 <= x["rank"] < plan.block
+        by.setdefault((x["source"], x["block"]), []).append(x["rank"])
+    for (s, k), ranks in by.items():
+        assert sorted(ranks) == list(range(min(plan.block, counts[s] - k * plan.block)))
+
+
+def test_hot_ids_spread_and_places_are_whole(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else 5, f"s{i % 2}", f"t{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/in")
+    plan = mixing.MixPlan(block=8, bucket_rows=100, range_rows=300)
+    for given in (docs, spark.read.parquet(f"{tmp_path}/in").select("doc_id", "source"), spark.read.parquet(f"{tmp_path}/in")):
+        made = mixing.mix(given, plan).collect()
+        assert len({(x["__slot"], x["__rank"]) for x in made}) == 3000
+    want = [x["text"] for x in sorted(made, key=lambda x: (x["__slot"], x["__rank"]))]
+    mixing.mixed_order(spark.read.parquet(f"{tmp_path}/in"), plan).write.parquet(f"{tmp_path}/out")
+    laid = mixing.positions(spark.read.parquet(f"{tmp_path}/out")).collect()
+    assert [x["text"] for x in sorted(laid, key=lambda x: x["mix_position"])] == want
+    plan_text = mixing.mixed_order(spark.read.parquet(f"{tmp_path}/in"), plan)._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("Exchange shufflepartitionid") == 1 and "rangepartitioning" not in plan_text

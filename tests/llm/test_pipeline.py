@@ -36,8 +36,7 @@ def test_stages_return_the_columns(spark, sf_dir, odd_docs):
 
 def test_one_row_of_each_group_stays(spark, odd_docs, sf_dir):
     got = [x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, odd_docs, sf_dir).collect()]
-    assert sorted(x for x in got if x is not None) == [1, 2, 3, 5, 7, 8, 10, 12] or len(got) == len(set(got))
-    assert got.count(5) == 1 and 4 not in got and 9 not in got
+    assert sorted(x for x in got if x is not None) == [1, 2, 3, 5, 7, 8, 10, 12] and got.count(None) == 1
 
 
 def test_order_of_the_mix_over_several_files(spark, sf_dir, tmp_path):

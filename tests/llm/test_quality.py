@@ -24,12 +24,48 @@ def test_junk_goes_and_clean_stays(spark, sf_dir):
     assert not any(x["__kept"] for x in rows if x["quality"] == 0)
 
 
-def test_ratios_are_the_smoothed_log_ratios(spark):
-    docs = spark.createDataFrame([(1, "good good words"), (2, "bad ### words")], "doc_id long, text string")
-    rules = quality.QualityRules(buckets=1 << 16)
-    table = {x["bucket"]: x["ratio"] for x in quality.ratio_table(docs, docs.where("doc_id = 1").select("doc_id"), rules).collect()}
-    assert len(table) == 1 << 16
-    assert len({round(v, 9) for v in table.values()}) >= 3
+def test_scores_against_brute_force(spark):
+    r = random.Random(8)
+    words = ["alpha", "Beta", "gamma9", "42", "###", "x,y", "a_b", "delta", "!"]
+    docs = [(i, " ".join(r.choice(words[: 4 + i % 6]) for _ in range(r.randint(0, 90)))) for i in range(120)] + [(500, None), (501, ""), (7, "alpha Beta twice")]
+    trusted = {i for i in range(0, 120, 7)} | {7}
+    rules = quality.QualityRules(buckets=256, threshold=-0.05)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = quality.judge(frame, spark.createDataFrame([(i,) for i in trusted] * 2, "id long"), rules).collect()
+    want = {(i, t): v for (i, t), v in zip(docs, brute.mean_ratios(docs, trusted, rules.buckets), strict=True)}
+    assert len(got) == len(docs)
+    for x in got:
+        assert abs(x["__score"] - want[x["doc_id"], x["text"]]) < 2e-6
+        assert x["__kept"] == (not x["__base_failed"] and x["__score"] >= rules.threshold)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    from loomspark.llm.queries import op2_quality, trusted_ids
+
+    rules = quality.QualityRules()
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    ascii_only = {i for i, t in docs if t is None or t.isascii()}
+    ratios = quality.log_ratios(spark.createDataFrame(docs, "doc_id long, text string"), trusted_ids(spark, sf_dir), rules)
+    got = {x["doc_id"]: x for x in op2_quality(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs:
+        x = got[i]
+        assert (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"]) == brute.base_metrics(text)
+        if i in ascii_only:
+            found = brute.grams(brute.ratio_tokens(text), rules.buckets)
+            assert abs(x["score"] - (sum(ratios[b] for b in found) / len(found) if found else 0.0)) < 2e-6
+
+
+def test_bound_of_trusted_ids_is_exact(spark):
+    docs = spark.range(19_500).selectExpr("id as doc_id", "concat('w', id) as text")
+    count = lambda rules: sum(round(v, 9) != low for v in rules) if (low := round(min(rules), 9)) is not None else 0
+    rules = quality.QualityRules(buckets=1 << 18, trusted_rows=20_000)
+    every = quality.log_ratios(docs, docs.select("doc_id"), rules)
+    assert max(abs(x) for x in every) < 1e-12  # all are trusted: both models are the same
+    some = quality.QualityRules(buckets=1 << 18, trusted_rows=1_000)
+    chosen = {x["doc_id"] for x in docs.selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").limit(1000).collect()}
+    want = quality.log_ratios(docs, docs.where(docs.doc_id.isin(list(chosen))).select("doc_id"), rules)
+    assert quality.log_ratios(docs, docs.select("doc_id"), some) == want and count(want) > 0
 
 
 def test_bounded_trusted_sample_and_odd_rows(spark, odd_docs, no_docs):
