@@ -27,6 +27,24 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Rows of up to `size` ids and their unit vectors, put together within each partition; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                vectors = unit(matrix(part.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([vectors.tobytes()], pa.binary())], list(names))
+
+    live = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec_col)
+    return live.mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
+
+
+#: Query vectors that are sent to the vectors' tasks; more meet them block by block.
+SENT_QUERIES = 50_000
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -38,34 +56,30 @@ def search(
 ) -> DataFrame:
     """(qid, id, score, rank): the k most similar vectors of each query by cosine, exact.
 
-    The stated query set is sent out in blocks of query_block vectors; every block meets each batch of the vectors
-    once, and each batch answers with its own k best, so the all-pairs product is never made into rows.
-    Null vectors are left out; vectors without length score 0.
+    Both sides are packed into blocks where they stand, and each block of the stated query set meets each block of the
+    vectors once, answered with its own k best; so the product of both sides is never made into rows. A query set of
+    at most SENT_QUERIES, which is checked, is sent to the vectors, so they don't move; the plan is the same size for
+    any number of queries, and none of them reach the driver. Null vectors are left out; vectors without length score 0.
     """
-    asked = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("q")).toArrow()
-    session = vectors.sparkSession
-    best = None
     floor = -np.inf if threshold is None else threshold
-    for start in range(0, max(1, asked.num_rows), query_block):
-        part = asked.slice(start, query_block)
-        held = session.sparkContext.broadcast((part.column(0).to_numpy(), unit(matrix(part.column(1)))))  # query_block vectors
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            qids, q = held.value
-            for batch in batches:
-                if not batch.num_rows or not len(qids):
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                scores = np.round(q @ unit(matrix(batch.column(1))).T, 6)
+    asked = _blocks(queries, id_col, vec_col, query_block, ("qids", "q"))
+    held = _blocks(vectors, id_col, vec_col, 4096, ("ids", "v"))
+    few = queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v, qids, q in zip(*batch.columns, strict=True):
+                ids, qids = np.array(ids.as_py(), np.int64), np.array(qids.as_py(), np.int64)
+                q, v = (np.frombuffer(x.as_buffer(), np.float64).reshape(n, -1) for x, n in ((q, len(qids)), (v, len(ids))))
+                scores = np.round(q @ v.T, 6)
                 order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(qids)), order.shape[1])
                 flat = order.ravel()
                 keep = scores[rows, flat] >= floor
                 yield pa.RecordBatch.from_arrays([pa.array(qids[rows][keep]), pa.array(ids[flat][keep]), pa.array(scores[rows, flat][keep])], ["qid", "id", "score"])
 
-        found = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vec_col).mapInArrow(run, "qid long, id long, score double")
-        best = found if best is None else best.union(found)
-    return top_k(best, k)
+    pairs = held.crossJoin(F.broadcast(asked) if few else asked)  # blocks, not rows
+    return top_k(pairs.mapInArrow(run, "qid long, id long, score double"), k)
 
 
 def payload_filter(points: DataFrame, document_ids=None, year_from=None, year_to=None, sections=None, doc_col="document_id", year_col="year", section_col="section") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark.scratch import materialize
+
 
 # --- merging ---
 
@@ -43,44 +45,83 @@ def subgraph(edges: DataFrame, centers: DataFrame, depth: int = 2, min_confidenc
     without confidence or with enough of it, and of edge_types where given, are returned, between returned nodes. The
     first max_nodes by (hop, node) of a centre stay, the centre among them; node_types keeps other nodes out of the
     result but lets paths run through them.
+
+    As nodes count by hop, a centre that has max_nodes is done, and of a node's neighbours the 2 * max_nodes smallest
+    are enough: at most max_nodes of them were found before. So a hub neither grows a hop nor has to be walked whole,
+    unless node_types is given, where paths may run through any neighbour. Every hop is written to the shared folder.
     """
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("target_id", "source_id")).distinct()
+    typed = node_types and nodes is not None
+    if not typed:
+        nearest = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        both = both.withColumn("r", nearest).where(F.col("r") <= 2 * max_nodes).select("a", "b")
     start = centers.select(F.col("center"), F.col("center").alias("node")).distinct()
     seen, front = start.withColumn("hop", F.lit(0)), start
     for hop in range(1, depth + 1):
         step = front.join(both, F.col("node") == F.col("a")).select("center", F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("center", "node"), ["center", "node"], "left_anti")
-        seen = seen.union(front.withColumn("hop", F.lit(hop)))
-    if node_types and nodes is not None:
-        typed = nodes.where(F.col("node_type").isin(list(node_types))).select(F.col("node_id").alias("node"))
-        seen = seen.where("hop = 0").union(seen.where("hop > 0").join(typed, "node", "left_semi").select("center", "node", "hop"))
-    w = Window.partitionBy("center").orderBy("hop", "node")
-    kept = seen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_nodes).drop("n")
+        fresh = step.join(seen.select("center", "node"), ["center", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        if not typed:
+            held = seen.groupBy("center").agg(F.count("*").alias("n"))
+            place = F.row_number().over(Window.partitionBy("center").orderBy("node"))
+            fresh = fresh.withColumn("r", place).where(F.col("r") < max_nodes).join(held, "center").where(F.col("n") + F.col("r") <= max_nodes).select("center", "node", "hop")
+        fresh = materialize(fresh, "hop")
+        seen, front = seen.union(fresh), fresh.select("center", "node")
+    if typed:
+        listed = nodes.where(F.col("node_type").isin(list(node_types))).select(F.col("node_id").alias("node"))
+        seen = seen.where("hop = 0").union(seen.where("hop > 0").join(listed, "node", "left_semi").select("center", "node", "hop"))
+        w = Window.partitionBy("center").orderBy("hop", "node")
+        seen = seen.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_nodes).drop("n")
     strong = edges.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence))
     if edge_types:
         strong = strong.where(F.col("relationship_type").isin(list(edge_types)))
-    ends = kept.select("center", F.col("node").alias("source_id"))
-    inside = strong.join(ends, "source_id").join(kept.select("center", F.col("node").alias("target_id")), ["center", "target_id"])
-    return kept, inside.select("center", "source_id", "target_id", "relationship_type", "confidence")
+    return seen, _edges_within(strong.select("source_id", "target_id", "relationship_type", "confidence"), seen, max_nodes)
 
 
-def shared_entities(mentions: DataFrame, seeds: DataFrame, min_shared: int = 2, limit: int | None = 20, exclude_seeds: bool = False) -> DataFrame:
+def _edges_within(edges: DataFrame, kept: DataFrame, max_nodes: int) -> DataFrame:
+    """(center, source_id, target_id, relationship_type, confidence) of the edges between kept(center, node) of a centre.
+
+    Edges of nodes with few of them are joined with the nodes; those of hubs with the pairs of a hub and each other
+    node of its centre, at most max_nodes of them, so no hub's edges are joined with all its centres.
+    """
+    hubs = edges.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") > max_nodes).select("source_id")
+    ends, others = kept.select("center", F.col("node").alias("source_id")), kept.select("center", F.col("node").alias("target_id"))
+    columns = ["center", "source_id", "target_id", "relationship_type", "confidence"]
+    few = edges.join(hubs, "source_id", "left_anti").join(ends, "source_id").join(others, ["center", "target_id"]).select(*columns)
+    many = ends.join(hubs, "source_id", "left_semi").join(others, "center").join(edges, ["source_id", "target_id"]).select(*columns)
+    return few.union(many)
+
+
+def shared_entities(mentions: DataFrame, seeds: DataFrame, min_shared: int = 2, limit: int | None = 20, exclude_seeds: bool = False, salts: int = 16) -> DataFrame:
     """mentions(document_id, entity) x seeds(seed) -> (seed, document_id, n_shared, entities): others sharing entities.
 
     Only the stated seeds' entities are joined with all mentions. exclude_seeds leaves out every seed document, else
     just the seed itself. The `limit` with most shared entities stay, ties by document.
+
+    Documents that share min_shared entities share one besides the seed's min_shared - 1 most frequent ones, so these
+    find no candidates; they are only looked up for documents found by the others. A frequent entity's documents are
+    spread over `salts` keys. Names are gathered for the documents that stay.
     """
     pairs = mentions.select("document_id", "entity").distinct()
     asked = seeds.select("seed").distinct()
-    own = pairs.join(asked, F.col("document_id") == F.col("seed")).select("seed", "entity")
-    hits = own.join(pairs, "entity").where(F.col("document_id") != F.col("seed"))
+    own = pairs.join(asked, F.col("document_id") == F.col("seed"), "inner").select("seed", "entity")
+    frequency = pairs.join(own.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("df"))
+    ranked = own.join(frequency, "entity").withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("df"), "entity"))).select("seed", "entity", "r")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("document_id"), F.lit(salts)).cast("int"))
+    rare = ranked.where(F.col("r") >= min_shared).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = rare.join(salted, ["entity", "salt"]).where(F.col("document_id") != F.col("seed"))
     if exclude_seeds:
-        hits = hits.join(asked.select(F.col("seed").alias("document_id")), "document_id", "left_anti")
-    found = hits.groupBy("seed", "document_id").agg(F.count("*").alias("n_shared"), F.array_sort(F.collect_list("entity")).alias("entities")).where(F.col("n_shared") >= min_shared)
-    if limit is None:
-        return found
-    w = Window.partitionBy("seed").orderBy(F.col("n_shared").desc(), "document_id")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+        found = found.join(asked.select(F.col("seed").alias("document_id")), "document_id", "left_anti")
+    counts = found.groupBy("seed", "document_id").agg(F.count("*").alias("n"))
+    if min_shared > 1:
+        usual = counts.join(ranked.where(F.col("r") < min_shared), "seed").join(pairs, ["document_id", "entity"], "left_semi")
+        more = usual.groupBy("seed", "document_id").agg(F.count("*").alias("m"))
+        counts = counts.join(more, ["seed", "document_id"], "left").select("seed", "document_id", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    counts = counts.where(F.col("n") >= min_shared)
+    if limit is not None:
+        w = Window.partitionBy("seed").orderBy(F.desc("n"), "document_id")
+        counts = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit).drop("r")
+    named = counts.join(own, "seed").join(pairs, ["document_id", "entity"], "left_semi")
+    return named.groupBy("seed", "document_id").agg(F.max("n").alias("n_shared"), F.array_sort(F.collect_list("entity")).alias("entities"))
 
 
 def similar_documents(mentions: DataFrame, seeds: DataFrame, limit: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,10 +10,25 @@ from loomspark import values as V
 from loomspark.functions.text import sparse_tokens
 
 
+def run_lengths(ordered: Column) -> Column:
+    """(term, tf) of each distinct value of a sorted array, by the places where a new value begins."""
+
+    def counted(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
+        pairs = lambda at: F.transform(at, lambda p, i: F.struct(F.get(v, p).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(v)) - p).cast("long").alias("tf")))
+        return F.element_at(F.transform(F.array(starts), pairs), 1)
+
+    # bound once a row, so that the lambdas never evaluate `ordered` again
+    return F.element_at(F.transform(F.array(ordered), lambda v: F.when(F.size(v) > 0, counted(v))), 1)
+
+
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): term frequency and document length. Terms are counted inside the row, so no shuffle is needed."""
-    tokens = docs.select(F.col(id_col).alias("id"), sparse_tokens(F.col(text_col)).alias("tokens"))
-    return tokens.select("id", F.explode("tokens").alias("term"), F.size("tokens").alias("dl")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl"))
+    """(id, term, tf, dl): term frequency and document length.
+
+    Terms are counted inside the row, over its sorted tokens, so nothing is shuffled.
+    """
+    tokens = docs.select(F.col(id_col).alias("id"), F.sort_array(sparse_tokens(F.col(text_col))).alias("tokens"))
+    return tokens.select("id", F.size("tokens").cast("long").alias("dl"), F.inline(run_lengths(F.col("tokens")))).select("id", "term", "tf", "dl")
 
 
 def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
@@ -64,15 +79,76 @@ def top_k(scored: DataFrame, k: int, by: str = "qid", score: str = "score", tie:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, questions: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", qid_col: str = "item_id", q_text_col: str = "text") -> DataFrame:
+#: Question terms that are sent to the scan of the documents; more are joined by a shuffle.
+SENT_TERMS = 500_000
+
+
+def search(
+    docs: DataFrame,
+    questions: DataFrame,
+    k: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    qid_col: str = "item_id",
+    q_text_col: str = "text",
+    statistics: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """(qid, id, score, rank): dot product of query and document weights.
 
-    Document terms are cut to the questions' terms by a join before anything is weighed or shuffled by document.
+    A document's terms are cut to the questions' terms right where they are counted: the questions' terms are few, which
+    is checked, and sent to the scan. What is shuffled are the sums of (question, document) pairs that share a term, of which
+    each task hands on its k best a question. Frequencies are counted for the questions' terms only; statistics, as
+    read_statistics() returns them, spare both passes over the documents that they need.
     """
-    table = idf_table(docs, id_col, text_col)
-    wanted = query_weights(questions, table, qid_col, q_text_col)
-    size = F.broadcast(corpus_size(docs, text_col))
-    hits = term_counts(docs, id_col, text_col).join(table.select("term", "idf"), "term").join(wanted, "term").crossJoin(size.select("avgdl"))
+    asked = term_counts(questions, qid_col, q_text_col).select(F.col("id").alias("qid"), "term", F.col("tf").alias("qn"))
+    few = asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    sent = F.broadcast if few else lambda rows: rows
+    postings = term_counts(docs, id_col, text_col)
+    if statistics is None:
+        found = postings.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        size = corpus_size(docs, text_col)
+        known = found.crossJoin(F.broadcast(size)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
+    else:
+        known, size = statistics[0].select("term", "idf"), statistics[1]
+    wanted = known.join(asked, "term").select("qid", "term", "idf", query_weight(F.col("idf"), F.col("qn")).alias("q_weight"))
+    hits = postings.join(sent(wanted), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
     product = F.col("q_weight") * doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(product), 6).alias("score"))
     return top_k(scores, k)
+
+
+# --- stored statistics ---
+
+
+def vocabulary(terms: DataFrame) -> DataFrame:
+    """terms(term, ...) with term_index: 0, 1, ... in the order of the terms, the same in every run.
+
+    Terms are numbered through their first three signs, so no task sees the whole vocabulary.
+    """
+    head = terms.withColumn("__head", F.substring("term", 1, 3))
+    sizes = head.groupBy("__head").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__head", before.alias("__before"))  # a row for each three signs
+    number = F.row_number().over(Window.partitionBy("__head").orderBy("term")) - 1
+    return head.withColumn("__number", number).join(starts, "__head").withColumn("term_index", (F.col("__before") + F.col("__number")).cast("long")).drop("__head", "__before", "__number")
+
+
+def write_statistics(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Fit on docs and store (term, df, idf, term_index) and the corpus row under path, a folder that must be new."""
+    vocabulary(idf_table(docs, id_col, text_col)).write.parquet(f"{path}/terms")
+    corpus_size(docs, text_col).write.parquet(f"{path}/corpus")
+
+
+def read_statistics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, corpus) as write_statistics() stored them."""
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
+
+
+def encode(docs: DataFrame, statistics: tuple[DataFrame, DataFrame], id_col: str = "doc_id", text_col: str = "text", question: bool = False) -> DataFrame:
+    """(id, indices, values): sparse vectors, ascending by index, with a frozen vocabulary; unknown terms are left out."""
+    terms, corpus = statistics
+    rows = term_counts(docs, id_col, text_col).join(terms.select("term", "idf", "term_index"), "term").crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
+    weight = query_weight(F.col("idf"), F.col("tf")) if question else doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
+    pairs = F.array_sort(F.collect_list(F.struct("term_index", weight.alias("value"))))  # a document's own terms
+    made = rows.groupBy("id").agg(pairs.alias("pairs"))
+    return made.select("id", F.col("pairs.term_index").alias("indices"), F.col("pairs.value").alias("values"))
