@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark import values as V
 from loomspark.operators.sparse import top_k
@@ -121,3 +124,51 @@ def mmr(candidates: DataFrame, k: int, weight: float = V.MMR_LAMBDA) -> DataFram
         return pd.DataFrame({"qid": taken["qid"], "id": taken["id"], "mmr_rank": range(1, len(taken) + 1)})
 
     return candidates.groupBy("qid").applyInPandas(pick, "qid long, id long, mmr_rank long")
+
+
+# --- embedding ---
+
+
+class HashingEncoder:
+    """An offline encoder: counts of terms, hashed into `size` dimensions by MD5, as unit vectors."""
+
+    def __init__(self, size: int = 64) -> None:
+        self.size = size
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.size))
+        for n, text in enumerate(texts):
+            for term in re.findall(r"[a-z0-9]+", text.lower()):
+                out[n, int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % self.size] += 1
+        return unit(out)
+
+
+def embed(rows: DataFrame, text_col: str = "text", encoder: Callable[[list[str]], np.ndarray] = HashingEncoder(), batch: int = 32, out: str = "embedding") -> DataFrame:
+    """rows with a vector of each text, made by encoder in batches: any function from texts to a matrix will do, such as a
+    model's encode(). A null or blank text has a null vector. Questions are embedded the same way."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vectors(texts: pa.Array) -> pa.Array:
+        told = texts.to_pylist()
+        live = [n for n, t in enumerate(told) if t is not None and t.strip()]
+        made: list = [None] * len(told)
+        for i in range(0, len(live), batch):
+            some = live[i : i + batch]
+            for n, v in zip(some, encoder([told[n] for n in some]), strict=True):
+                made[n] = v.astype(np.float32)
+        return pa.array(made, pa.list_(pa.float32()))
+
+    return rows.withColumn(out, vectors(F.col(text_col)))
+
+
+def parse_hits(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """payloads(qid, score, payload JSON) -> (qid, chunk_id, document_id, text, section, score): the text or its preview;
+    hits without chunk or document are skipped."""
+    p = F.from_json(payload, "struct<chunk_id:string,document_id:string,text:string,text_preview:string,section:string>")
+    rows = payloads.select("qid", "score", p.alias("p")).where("p.chunk_id is not null and p.document_id is not null")
+    return rows.select("qid", "p.chunk_id", "p.document_id", F.coalesce("p.text", "p.text_preview", F.lit("")).alias("text"), "p.section", "score")
+
+
+def collection_info(points: DataFrame, doc_col: str = "document_id", section_col: str = "section", year_col: str = "year") -> DataFrame:
+    """One row: points, documents, sections and the years of a collection."""
+    return points.agg(F.count("*").alias("n_points"), F.count_distinct(doc_col).alias("n_documents"), F.count_distinct(section_col).alias("n_sections"), F.min(year_col).alias("year_from"), F.max(year_col).alias("year_to"))

@@ -124,3 +124,61 @@ def evidence_snippet(text: Column, source: Column, target: Column, before: int =
     start = F.greatest(F.lit(0), F.least(a, b) - 1 - before)
     end = F.least(F.length(text), F.greatest(a, b) - 1 + after)
     return F.when((a > 0) & (b > 0), F.trim(F.substring(text, start + 1, end - start)))
+
+
+# --- answers of language models ---
+
+
+def _items(reply: Column, field: str, schema: str) -> Column:
+    """The array of items in a reply: an object's field, or a list; in other text what stands between its outer brackets."""
+    items = f"array<{schema}>"
+    found = F.regexp_extract(reply, r"(?s)\[.*\]", 0)
+    whole = F.when(F.ltrim(reply).startswith("{"), F.from_json(F.get_json_object(reply, f"$.{field}"), items)).otherwise(F.from_json(reply, items))
+    return F.when(F.try_parse_json(reply).isNotNull(), whole).otherwise(F.from_json(F.when(F.try_parse_json(found).isNotNull(), found), items))
+
+
+def model_entities(replies: DataFrame, chunk_id: str = "chunk_id", reply: str = "reply", min_confidence: float = V.ENTITY_MIN_CONFIDENCE, per_chunk: int = V.ENTITIES_PER_CHUNK) -> DataFrame:
+    """(chunk_id, arrival, name, canonical_name, entity_type, confidence, char_start, char_end) told by a model's replies.
+
+    Unreadable replies give no rows; items of unknown type, weak ones and those whose numbers are none go. What an
+    item lacks is filled in: confidence 0.8, offsets 0, the name as canonical name. The first per_chunk of a chunk stay.
+    """
+    schema = "struct<name:string,canonical_name:string,entity_type:string,confidence:string,char_start:string,char_end:string>"
+    rows = replies.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(_items(F.col(reply), "entities", schema)).alias("pos", "e")).select("chunk_id", "pos", "e.*")
+    number = lambda c, kind, default: F.when(F.col(c).isNull(), F.lit(default)).otherwise(F.col(c).try_cast(kind)).cast(kind)
+    name = F.coalesce("name", F.lit(""))
+    typed = rows.select("chunk_id", "pos", name.alias("name"), F.lower(F.coalesce("canonical_name", name)).alias("canonical_name"), normal_type(F.coalesce("entity_type", F.lit(""))).alias("entity_type"), number("confidence", "double", 0.8).alias("confidence"), number("char_start", "int", 0).alias("char_start"), number("char_end", "int", 0).alias("char_end"))
+    good = typed.where((F.col("confidence") >= min_confidence) & F.col("entity_type").isNotNull() & F.col("char_start").isNotNull() & F.col("char_end").isNotNull())
+    w = Window.partitionBy("chunk_id").orderBy("pos")
+    return good.withColumn("arrival", F.row_number().over(w)).where(F.col("arrival") <= per_chunk).select("chunk_id", "arrival", "name", "canonical_name", "entity_type", "confidence", "char_start", "char_end")
+
+
+def model_relations(replies: DataFrame, chunk_id: str = "chunk_id", reply: str = "reply", per_chunk: int = V.RELATIONS_PER_CHUNK) -> DataFrame:
+    """(chunk_id, source, target, relationship_type, confidence, snippet) told by a model's replies, as normal_relations() has them."""
+    schema = "struct<source_entity:string,target_entity:string,relationship_type:string,confidence:string,evidence_snippet:string>"
+    rows = replies.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(_items(F.col(reply), "relationships", schema)).alias("pos", "e")).select("chunk_id", "pos", "e.*")
+    confidence = F.when(F.col("confidence").isNull(), F.lit(0.7)).otherwise(F.col("confidence").try_cast("double"))
+    told = rows.select("chunk_id", "pos", F.col("source_entity").alias("source"), F.col("target_entity").alias("target"), F.col("relationship_type").alias("label"), confidence.alias("confidence"), F.coalesce("evidence_snippet", F.lit("")).alias("snippet"))
+    good = normal_relations(told.where("source is not null and target is not null"))
+    w = Window.partitionBy("chunk_id").orderBy("pos")
+    return good.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= per_chunk).select("chunk_id", "source", "target", "relationship_type", "confidence", "snippet")
+
+
+def chosen_chunks(chunks: DataFrame, asked: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+    """The chunks that a job names; all where it names none."""
+    return chunks if asked.isEmpty() else chunks.join(asked.select(chunk_id).distinct(), chunk_id, "left_semi")
+
+
+def extraction_job(chunks: DataFrame, lexicon: list[tuple[str, str, float]] = DEFAULT_LEXICON, document_id: str = "document_id", min_chars: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity records, relations, outcomes) of chunks(chunk_id, document_id, text).
+
+    outcomes has one row a document: completed with its counts, failed where no chunk could be read. A chunk without
+    text is counted as an error and spoils no other.
+    """
+    records = entity_records(mentions(chunks, lexicon, min_chars=min_chars))
+    relations = co_occurrences(records, chunks)
+    counts = lambda rows, name: rows.groupBy("chunk_id").agg(F.count("*").alias(name))
+    each = chunks.select("chunk_id", document_id, F.col("text").isNull().alias("bad")).join(counts(records, "e"), "chunk_id", "left").join(counts(relations, "r"), "chunk_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = each.groupBy(document_id).agg(F.count("*").alias("n_chunks"), F.count_if("bad").alias("n_errors"), total("e").alias("n_entities"), total("r").alias("n_relations"))
+    return records, relations, out.withColumn("status", F.when(F.col("n_errors") == F.col("n_chunks"), "failed").otherwise("completed"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark import values as V
 from loomspark.functions.answer import chunk_block, snippet
-from loomspark.functions.text import token_count
+from loomspark.functions.text import sparse_tokens, token_count
 from loomspark.operators.sparse import top_k
 
 
@@ -92,3 +95,60 @@ def fallback_answers(questions: DataFrame, citations: DataFrame, most: int = 3,
     lines = F.transform(F.col("__c"), lambda c: F.concat(F.lit("\n["), c["citation_id"].cast("string"), F.lit("] "), c["snippet"]))
     answer = F.when(F.col("__c").isNull(), F.lit(FALLBACK_NONE)).otherwise(F.concat(F.lit(FALLBACK_LEAD), F.array_join(lines, "")))
     return questions.select(qid).join(first, qid, "left").select(qid, answer.alias("answer"), F.lit(0.3).alias("confidence"))
+
+
+# --- reranking and evidence ---
+
+
+def lexical_overlap(question: Column, text: Column) -> Column:
+    """Share of the question's distinct terms that the text holds; 0 without terms."""
+    asked = F.array_distinct(sparse_tokens(question))
+    return F.coalesce(F.size(F.array_intersect(asked, sparse_tokens(text))) / F.when(F.size(asked) > 0, F.size(asked)), F.lit(0.0))
+
+
+def rerank(hits: DataFrame, k: int = V.RERANK_K, scorer: Callable[[pd.Series, pd.Series], pd.Series] | Callable[[Column, Column], Column] | None = None, model: bool = False) -> DataFrame:
+    """hits(qid, id, rank, question, text) with rerank_score and rerank_rank, the k best of each query.
+
+    scorer rates pairs of question and text: an expression on columns such as lexical_overlap(), or, with model, a
+    function on series such as a cross-encoder's, which gets Arrow batches. Ties keep their order. Without scorer
+    the first k by rank stay, unscored, as where a model is missing.
+    """
+    if scorer is None:
+        rated = hits.withColumn("rerank_score", F.lit(None).cast("double"))
+    elif model:
+        rated = hits.withColumn("rerank_score", F.pandas_udf(scorer, "double")("question", "text"))
+    else:
+        rated = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("text")).cast("double"))
+    w = Window.partitionBy("qid").orderBy(F.col("rerank_score").desc_nulls_last(), "rank")
+    return rated.withColumn("rerank_rank", F.row_number().over(w)).where(F.col("rerank_rank") <= k)
+
+
+def cited_chunks(cited: DataFrame, taken: DataFrame, qid: str = "qid") -> DataFrame:
+    """cited(qid, citation_id) with the chunk each number stands for in its question's context; others go."""
+    return cited.join(taken, [qid, "citation_id"])
+
+
+def relevant_summaries(summaries: DataFrame, text: str = "text", summary: str = "summary", error: str = "error", chars: int = 2000) -> DataFrame:
+    """summaries with evidence: the summary, the text's start where making it failed; those without relevance go."""
+    kept = summaries.where(F.col(error).isNotNull() | (F.trim(F.coalesce(summary, F.lit(""))) != NOTHING_RELEVANT))
+    return kept.withColumn("evidence", F.when(F.col(error).isNotNull() | F.col(summary).isNull(), F.substring(text, 1, chars)).otherwise(F.col(summary)))
+
+
+#: Fixed value: what a summary says where a chunk has nothing to tell.
+NOTHING_RELEVANT = "NO_RELEVANT_INFO"
+
+
+def first_answer(replies: DataFrame, providers: list[str], qid: str = "qid") -> DataFrame:
+    """replies(qid, provider, answer, error) -> (qid, provider, answer): of the listed providers the first without error."""
+    order = F.coalesce(*[F.when(F.col("provider") == p, F.lit(n)) for n, p in enumerate(providers)])
+    good = replies.withColumn("__order", order).where(F.col("__order").isNotNull() & F.col("error").isNull() & F.col("answer").isNotNull())
+    return good.groupBy(qid).agg(F.min_by(F.struct("provider", "answer"), "__order").alias("__first")).select(qid, "__first.*")
+
+
+def answer_events(taken: DataFrame, tokens: DataFrame, qid: str = "qid", evidence: int = 5) -> DataFrame:
+    """(qid, seq, kind, payload) of a streamed answer: its first evidence, then tokens(qid, seq, kind, payload), then done."""
+    first = taken.where(F.col("citation_id") <= evidence).select(qid, F.lit(0).alias("part"), F.col("citation_id").alias("n"), F.lit("evidence").alias("kind"), snippet(F.col("text")).alias("payload"))
+    told = tokens.select(qid, F.lit(1).alias("part"), F.col("seq").alias("n"), "kind", "payload")
+    last = tokens.select(qid).union(taken.select(qid)).distinct().select(qid, F.lit(2).alias("part"), F.lit(0).alias("n"), F.lit("done").alias("kind"), F.lit("").alias("payload"))
+    w = Window.partitionBy(qid).orderBy("part", "n")
+    return first.union(told).union(last).select(qid, (F.row_number().over(w) - 1).alias("seq"), "kind", "payload")

@@ -325,3 +325,63 @@ def latency_buckets(rows: DataFrame, value: str, labels: list[str]) -> DataFrame
     return rows.groupBy(*labels).agg(*sums, F.count(value).alias("n"), F.round(F.sum(value), 6).alias("total"))
 
 
+# --- further lookups ---
+
+
+def composite_matches(requests: DataFrame, registry: DataFrame) -> DataFrame:
+    """requests(request_id, content_hash, title, year) with the least document_id of the same hash, title and year; a
+    missing year only meets a missing year."""
+    known = registry.groupBy("content_hash", "title", "year").agg(F.min("document_id").alias("document_id"))
+    same = [requests[c] == known[c] for c in ("content_hash", "title")] + [requests["year"].eqNullSafe(known["year"])]
+    return requests.join(known, same, "left").select("request_id", "document_id")
+
+
+def with_provenance(docs: DataFrame, provenance: DataFrame, key: str = "document_id", order: str = "created_at") -> DataFrame:
+    """docs with provenance: the array of their provenance rows, oldest first, empty where there are none."""
+    fields = [c for c in provenance.columns if c != key]
+    listed = provenance.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in fields if c != order)))).alias("provenance"))
+    return docs.join(listed, key, "left").withColumn("provenance", F.coalesce("provenance", F.array().cast(listed.schema["provenance"].dataType)))
+
+
+def source_status(results: DataFrame, merged: DataFrame, errors: DataFrame) -> DataFrame:
+    """(source, success, n_results, n_kept, error): results(source), merged(sources_found array), errors(source, error).
+
+    n_kept counts merged results that the source found first; a source that failed has its error and no success.
+    """
+    counts = results.groupBy("source").agg(F.count("*").alias("n_results"))
+    kept = merged.groupBy(F.element_at("sources_found", 1).alias("source")).agg(F.count("*").alias("n_kept"))
+    out = counts.join(errors.select("source", "error"), "source", "full").join(kept, "source", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("source", F.col("error").isNull().alias("success"), F.coalesce("n_results", zero).alias("n_results"), F.coalesce("n_kept", zero).alias("n_kept"), "error")
+
+
+def upload_completion(uploads: DataFrame, objects: DataFrame) -> DataFrame:
+    """uploads(upload_id, status, filename, size, content_hash) with the outcome of completing them.
+
+    Pending ones whose object is stored become completed, with the object's size and a title from the file name;
+    pending ones without object fail; others keep their status.
+    """
+    stored = objects.select("content_hash", F.col("size").alias("__size")).groupBy("content_hash").agg(F.max("__size").alias("__size"))
+    out = uploads.join(stored, "content_hash", "left")
+    waits, there = F.col("status") == "pending", F.col("__size").isNotNull()
+    status = F.when(waits & there, "completed").when(waits, "failed").otherwise(F.col("status"))
+    title = F.regexp_replace("filename", r"\.[^.]*$", "")
+    return out.select("upload_id", status.alias("status"), F.when(waits & there, F.col("__size")).otherwise(F.col("size")).alias("size"), F.when(waits & there, title).alias("title"))
+
+
+def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:
+    """Tokens that are neither revoked nor expired."""
+    return tokens.where(~F.coalesce(F.col("revoked"), F.lit(False)) & (F.col("expires_at") > now))
+
+
+def has_scopes(have: Column, need: Column) -> Column:
+    """Whether every needed scope is there; a star grants all."""
+    return (F.size(F.array_except(need, have)) == 0) | F.array_contains(have, "*")
+
+
+def key_probe(asked: DataFrame, keys: DataFrame, now: Column, prefix: int = 8) -> DataFrame:
+    """asked(request_id, key) with the key_id whose prefix and SHA-256 agree and that has not expired; null without one."""
+    probes = asked.select("request_id", F.substring("key", 1, prefix).alias("key_prefix"), F.sha2("key", 256).alias("__hash"))
+    live = keys.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("key_prefix", F.col("key_hash").alias("__hash"), "key_id")
+    hits = probes.join(live, ["key_prefix", "__hash"]).groupBy("request_id").agg(F.min("key_id").alias("key_id"))
+    return asked.select("request_id").join(hits, "request_id", "left")

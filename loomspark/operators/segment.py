@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loomspark import values as V
 from loomspark.functions.text import header_title, section_type
+from loomspark.functions.vectors import cosine
 
 _SECTION = "array<struct<section_type:string,title:string,text:string,char_offset_start:int,char_offset_end:int>>"
 
@@ -151,3 +152,35 @@ def estimated_chunks(sections: DataFrame, most: int = V.CHUNK_MAX, overlap: int
     """(id, n): words of all but reference sections over the net chunk size, at least 1."""
     words = F.sum(F.when(F.col("section_type") != "references", F.size(F.regexp_extract_all("text", F.lit(r"(?U)(\S+)"), F.lit(1)))).otherwise(0))
     return sections.groupBy(F.col(id_col).alias("id")).agg(F.greatest(F.lit(1), F.floor(words / (most - overlap))).cast("long").alias("n"))
+
+
+def dispatch(parsed: DataFrame, id_col: str = "id") -> DataFrame:
+    """parsed(id, full_text, sections array) -> sections as segment_text() has them.
+
+    Documents that were parsed into more than one section keep these, their types told anew from titles; others are
+    segmented by the header lines of their full text.
+    """
+    many = F.size(F.coalesce("sections", F.array().cast(_SECTION))) > 1
+    listed = parsed.where(many).select(F.col(id_col).alias("id"), F.posexplode(enhance(F.col("sections"))).alias("n", "s"))
+    kept = listed.select("id", (F.col("n") + 1).alias("section_no"), *(F.col("s")[c].alias(c) for c in ("section_type", "title", "text", "char_offset_start", "char_offset_end")))
+    return kept.unionByName(segment_text(parsed.where(~many), id_col, "full_text"))
+
+
+def semantic_chunks(sentences: DataFrame, threshold: float = 0.8, most: int = V.CHUNK_MAX, id_col: str = "id") -> DataFrame:
+    """sentences(id, no, text, tokens, embedding) -> (id, sequence, text, tokens, first_no, last_no).
+
+    A sentence less alike than threshold to the one before it begins a new group; a group is cut wherever the tokens
+    before a sentence pass a multiple of `most`. The original declares this chunker and leaves it open.
+    """
+    w = Window.partitionBy(id_col).orderBy("no")
+    alike = cosine(F.lag("embedding").over(w), F.col("embedding"))
+    marked = sentences.withColumn("__new", F.when(F.row_number().over(w) == 1, 0).when(alike >= threshold, 0).otherwise(1))
+    grouped = marked.withColumn("__group", F.sum("__new").over(w))
+    inside = Window.partitionBy(id_col, "__group").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("tokens").over(inside), F.lit(0)) / most)
+    chunks = grouped.withColumn("__part", part).groupBy(F.col(id_col).alias("id"), "__group", "__part").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.sum("tokens").alias("tokens"), F.min("no").alias("first_no"), F.max("no").alias("last_no"),
+    )
+    number = F.row_number().over(Window.partitionBy("id").orderBy("first_no")) - 1
+    return chunks.select("id", number.alias("sequence"), "text", "tokens", "first_no", "last_no")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -199,3 +200,48 @@ def layout_sections(items: DataFrame) -> DataFrame:
 def constant_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Supported formats and known sources."""
     return spark.createDataFrame([(f,) for f in V.SUPPORTED_FORMATS], "format string"), spark.createDataFrame([(s,) for s in V.SEARCH_SOURCES], "source string")
+
+
+# --- text of PDFs, and what is left where parsing fails ---
+
+
+def simple_pdf(content: bytes) -> dict:
+    """Text shown by uncompressed content streams, page by page, and the plain entries of the information dictionary."""
+    raw = content.decode("latin-1")
+    pages = [" ".join(m[1] for m in re.finditer(r"\(((?:[^()\\]|\\.)*)\)\s*Tj", part)) for part in re.split(r"/Type\s*/Page(?![a-zA-Z])", raw)[1:]]
+    told = {k.lower(): v for k, v in re.findall(r"/(Title|Author|Subject|Keywords|Creator)\s*\(((?:[^()\\]|\\.)*)\)", raw) if v.strip()}
+    return {"pages": pages, "metadata": told}
+
+
+_EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("first_page", T.StringType()), T.StructField("page_count", T.IntegerType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
+
+
+def pdf_extract(files: DataFrame, extract: Callable[[bytes], dict] = simple_pdf) -> DataFrame:
+    """files(path, content) -> (path, text, first_page, page_count, metadata, error).
+
+    extract turns bytes into pages and metadata; a PDF library's reader takes its place where there is one. Pages are
+    joined by a blank line, metadata without value is dropped, a file that can't be read gets its error and no text.
+    """
+
+    @F.pandas_udf(_EXTRACTED)
+    def read(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for content in contents:
+            try:
+                made = extract(bytes(content))
+                pages = list(made["pages"])
+                rows.append(("\n\n".join(pages), pages[0] if pages else "", len(pages), {k: v for k, v in made["metadata"].items() if v}, None))
+            except Exception as e:  # noqa: BLE001  whatever a reader raises belongs to its file
+                rows.append((None, None, 0, {}, str(e) or type(e).__name__))
+        return pd.DataFrame(rows, columns=[f.name for f in _EXTRACTED])
+
+    return files.select("path", read("content").alias("p")).select("path", "p.*")
+
+
+def whole_text_fallback(parsed: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """parsed(id, full_text, sections, error) where a document without sections gets its whole text as one section of
+    type other; without text it stays empty and keeps its error."""
+    own = parsed.join(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "id", "left")
+    bare = (F.size("sections") == 0) & (F.length("__text") > 0)
+    one = F.array(F.struct(F.lit("other").alias("section_type"), F.lit(None).cast("string").alias("title"), F.col("__text").alias("text"), F.lit(0).alias("char_offset_start"), F.length("__text").alias("char_offset_end")))
+    return own.select("id", F.when(bare, F.col("__text")).otherwise(F.col("full_text")).alias("full_text"), F.when(bare, one.cast(parsed.schema["sections"].dataType)).otherwise(F.col("sections")).alias("sections"), "error", bare.alias("fallback"))

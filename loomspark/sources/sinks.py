@@ -28,3 +28,8 @@ def vector_points(chunks: DataFrame) -> DataFrame:
 def replace_table(rows: DataFrame, path: str) -> None:
     """Write a new version beside the old one and leave the swap to the caller's catalogue or manifest."""
     rows.write.mode("errorifexists").parquet(path)
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Add rows, such as a document's chunks, to a table of Parquet files."""
+    rows.write.mode("append").parquet(path)
