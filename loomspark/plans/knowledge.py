@@ -384,6 +384,18 @@ FROM orders JOIN customer ON c_custkey = o_custkey) WHERE r <= 20""",
     "structure_map": f"""WITH {_SEG} SELECT doc_id, count(*) AS n, '["' || array_to_string(list_sort(list(DISTINCT section_type)), '","') || '"]' AS kinds FROM sec GROUP BY doc_id""",
     "section_lookup": f"WITH {_SEG} SELECT d.doc_id, (n_chars // 2)::INT AS \"offset\", arg_min(section_type, section_no) AS section_type FROM documents d LEFT JOIN sec s ON s.doc_id = d.doc_id AND n_chars // 2 >= char_offset_start AND n_chars // 2 < char_offset_end GROUP BY d.doc_id, n_chars",
     "chunk_estimate": rf"WITH {_SEG} SELECT doc_id, greatest(1, sum(CASE WHEN section_type <> 'references' THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END) // 412)::BIGINT AS n FROM sec GROUP BY doc_id",
+    "merged_sections": f"""WITH RECURSIVE {_SEG},
+f AS (SELECT doc_id, 1::BIGINT AS i, 0 AS grp, section_type, title, text, char_offset_start AS a, char_offset_end AS b FROM sec WHERE section_no = 1
+ UNION ALL SELECT s.doc_id, s.section_no, grp + (length(f.text) >= 100)::INT, s.section_type, CASE WHEN length(f.text) < 100 THEN coalesce(nullif(s.title, ''), f.title) ELSE s.title END, CASE WHEN length(f.text) < 100 THEN f.text || chr(10) || chr(10) || s.text ELSE s.text END,
+  CASE WHEN length(f.text) < 100 THEN f.a ELSE s.char_offset_start END, s.char_offset_end FROM f JOIN sec s ON s.doc_id = f.doc_id AND s.section_no = f.i + 1)
+SELECT doc_id, grp AS n, section_type, title, md5(text) AS text_md5, a AS char_offset_start, b AS char_offset_end FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, grp ORDER BY i DESC) = 1""",
+    "layout_sections": """WITH i AS (SELECT conv_id, turn, ['text', 'section_header', 'list_item', 'footnote', 'page_footer'][turn % 5 + 1] AS label, trim(replace(text, chr(10), ' ')) AS text FROM conversations),
+l AS (SELECT *, count(*) FILTER (label = 'section_header') OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM i WHERE length(text) > 0 AND label <> 'page_footer'),
+p AS (SELECT conv_id, section, max(text) FILTER (label = 'section_header') AS title, coalesce(string_agg(CASE label WHEN 'footnote' THEN '[footnote] ' ELSE '' END || text, chr(10) ORDER BY turn) FILTER (label <> 'section_header'), '') AS text FROM l GROUP BY conv_id, section),
+q AS (SELECT *, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS a, lower(title) AS t FROM p WHERE length(text) > 0 OR title IS NOT NULL)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY section) AS section_no, CASE WHEN title IS NULL THEN 'other' WHEN contains(t, 'abstract') THEN 'abstract' WHEN contains(t, 'introduction') THEN 'introduction' WHEN regexp_matches(t, 'method|material|approach|technique') THEN 'methods'
+ WHEN contains(t, 'result') THEN 'results' WHEN contains(t, 'discussion') THEN 'discussion' WHEN contains(t, 'conclusion') THEN 'conclusion' WHEN regexp_matches(t, 'reference|bibliography') THEN 'references' WHEN regexp_matches(t, 'acknowledge?ment') THEN 'acknowledgments' WHEN contains(t, 'appendix') THEN 'appendix' ELSE 'other' END AS section_type,
+ md5(title) AS title_md5, md5(text) AS text_md5, a AS char_offset_start, (a + length(text))::INT AS char_offset_end FROM q""",
     "sentence_split": r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 0))::INT AS n_sentences, len(regexp_extract_all(text, '\S+'))::INT AS n_tokens,
 md5(CASE WHEN len(regexp_extract_all(text, '\S+')) <= 100 THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '\S+'), -100, -1), ' ') || ' ' END) AS tail_md5, length(text) // 4 AS tokens FROM documents""",
     "html_extract": f"SELECT page_id, CASE WHEN length(t) > 0 THEN {_plain('t')} END AS title, md5({_plain('b')}) AS text_md5 FROM (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, {_no_tags('html')} AS b FROM pages)",
