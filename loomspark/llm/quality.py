@@ -149,11 +149,16 @@ def _score(text: Column, ratios: list[float], rules: QualityRules) -> Column:
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
+def _failed(m: Column, rules: QualityRules) -> Column:
+    """Whether the base rules reject a text of these metrics."""
+    return (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+
+
 def judgement(text: Column, ratios: list[float], rules: QualityRules) -> Column:
     """A struct of NAMES, one expression whose parts are each computed once a row, wherever the optimizer moves it."""
 
     def told(m: Column) -> Column:
-        failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+        failed = _failed(m, rules)
         values = {"base_failed": failed, "score": m["score"], "kept": ~failed & (m["score"] >= rules.threshold)}
         return F.struct(*(m[n].alias(n) for n in NAMES[:5]), *(c.alias(n) for n, c in values.items()))
 
@@ -161,10 +166,11 @@ def judgement(text: Column, ratios: list[float], rules: QualityRules) -> Column:
     return _bind(_bind(words(text), lambda w: F.struct(*(c.alias(n) for n, c in base_metrics(text, w).items()), score)), told)
 
 
-def _judged(docs: DataFrame, trusted: DataFrame, rules: QualityRules, id_col: str, text_col: str) -> DataFrame:
-    """(row, j): each row as a struct beside its judgement."""
-    ratios = log_ratios(docs, trusted, rules, id_col, text_col)
-    return packed(docs, j=judgement(F.col(text_col), ratios, rules))
+def verdict(text: Column, ratios: list[float], rules: QualityRules) -> Column:
+    """What judgement() says of kept, without the metrics that no rule asks for; texts that fail the base rules aren't scored."""
+    good = lambda m: ~_failed(m, rules) & (F.round(_score(text, ratios, rules), 6) >= rules.threshold)
+    asked = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated_words(w).alias("n_repeat_words"))
+    return _bind(_bind(words(text), asked), good)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +180,10 @@ def judge(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRule
     has no words and fails the base rules. Without trusted documents every score is 0 and the base rules decide alone.
     An empty table gives an empty result. Input columns named like the added ones are replaced; no other name can clash.
     """
-    return unpacked(_judged(docs, trusted, rules, id_col, text_col).select("row", "j.*"), docs.columns, *NAMES)
+    ratios = log_ratios(docs, trusted, rules, id_col, text_col)
+    return unpacked(packed(docs, j=judgement(F.col(text_col), ratios, rules)).select("row", "j.*"), docs.columns, *NAMES)
 
 
 def good_documents(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that judge() keeps, with exactly the columns and values they came with."""
-    return _judged(docs, trusted, rules, id_col, text_col).where("j.kept").select("row.*")
+    return docs.where(verdict(F.col(text_col), log_ratios(docs, trusted, rules, id_col, text_col), rules))

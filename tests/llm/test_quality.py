@@ -78,6 +78,14 @@ def test_bounded_trusted_sample_and_odd_rows(spark, odd_docs, no_docs):
     assert {x["__score"] for x in alone} == {0.0}
 
 
+def test_good_documents_are_the_kept_ones(spark, sf_dir, odd_docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs):
+        want = quality.judge(docs, labels).where("__kept").select(*docs.columns)
+        got = quality.good_documents(docs, labels)
+        assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_plan_has_no_python(spark, odd_docs):
     made = quality.judge(odd_docs, odd_docs.select("doc_id"))
     assert "Python" not in made._jdf.queryExecution().toString() and "Arrow" not in made._jdf.queryExecution().toString()
