@@ -73,3 +73,14 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
     assert sorted(map(repr, back.collect())) == sorted(map(repr, odd_docs.collect()))
     with pytest.raises(ValueError):
         compaction.ShardSet(spark, f"file://{tmp_path}/empty").read()
+
+
+def test_commit_by_rename(spark, tmp_path, monkeypatch):
+    made = compaction.ShardSet(spark, f"file://{tmp_path}/s")
+    elsewhere = type("Url", (), {"scheme": "hdfs", "path": ""})()
+    monkeypatch.setattr(compaction, "urlparse", lambda path: elsewhere)
+    rows = spark.range(5).selectExpr("id as doc_id")
+    assert made.append(rows) == 1 and made.append(rows) == 2 and made.read().count() == 10
+    monkeypatch.setattr(made, "version", lambda: 1)  # as a writer sees it whom another has overtaken
+    with pytest.raises(compaction.ManifestConflict):
+        made.commit([], 1)
