@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from loomspark import values as V
 from loomspark.functions.text import sparse_tokens
+from loomspark.scratch import materialize
 
 
 def run_lengths(ordered: Column) -> Column:
@@ -95,18 +96,25 @@ def search(
 ) -> DataFrame:
     """(qid, id, score, rank): dot product of query and document weights.
 
-    A document's terms are cut to the questions' terms right where they are counted: the questions' terms are few, which
-    is checked, and sent to the scan. What is shuffled are the sums of (question, document) pairs that share a term, of which
-    each task hands on its k best a question. Frequencies are counted for the questions' terms only; statistics, as
-    read_statistics() returns them, spare both passes over the documents that they need.
+    Texts are read once: their tokens are cut to the questions' terms before anything is counted or shuffled. These terms
+    are few, which is checked, and sent to the scan. What is left, one row for each document and matched term and one for each
+    document, is written to the shared folder; size, mean length and frequencies of the corpus are taken from there.
+    Of the sums of (question, document) pairs each task hands on its k best a question. With statistics, as
+    read_statistics() returns them, nothing is written.
     """
     asked = term_counts(questions, qid_col, q_text_col).select(F.col("id").alias("qid"), "term", F.col("tf").alias("qn"))
     few = asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS
     sent = F.broadcast if few else lambda rows: rows
-    postings = term_counts(docs, id_col, text_col)
+    mark = F.lit("")  # no term; stands for its document
+    terms = asked.select("term").union(questions.sparkSession.range(1).select(mark.alias("term"))).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), sparse_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    tokens = rows.select("id", F.size("tokens").cast("long").alias("dl"), F.explode(F.concat("tokens", F.array(mark))).alias("term"))
+    postings = tokens.join(sent(terms), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
     if statistics is None:
-        found = postings.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-        size = corpus_size(docs, text_col)
+        postings = materialize(postings, "postings")
+        mean = F.avg("dl")
+        size = postings.where(F.col("term") == mark).agg(F.count("*").alias("n_docs"), F.when(mean > 0, mean).otherwise(V.DEFAULT_AVGDL).alias("avgdl"))
+        found = postings.where(F.col("term") != mark).groupBy("term").agg(F.count("*").alias("df"))
         known = found.crossJoin(F.broadcast(size)).select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"))  # one row
     else:
         known, size = statistics[0].select("term", "idf"), statistics[1]

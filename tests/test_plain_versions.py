@@ -108,9 +108,15 @@ def test_ingest_points_and_reprocessing(spark, sf_dir):
     assert {x["status"] for x in again.outcomes.collect()} == {"indexed"}
 
 
-def test_plans_keep_to_the_matched_terms_and_blocks(spark, sf_dir):
-    plan = sparse.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 5)._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(id" not in plan and "SortMergeJoin" not in plan
+def test_plans_keep_to_the_matched_terms_and_blocks(spark, sf_dir, tmp_path):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    sparse.write_statistics(docs, f"{tmp_path}/s")
+    plan = sparse.search(docs, items, 5, statistics=sparse.read_statistics(spark, f"{tmp_path}/s"))._jdf.queryExecution().executedPlan().toString()
+    # read from the scan up: the tokens meet the questions' terms before they are shuffled
+    above = plan[: plan.index("documents.parquet")]
+    assert above.rindex("LeftSemi") > above.rindex("Exchange hashpartitioning(id") and plan.count("documents.parquet") == 1
+    given = sparse.search(docs, items, 5, statistics=sparse.read_statistics(spark, f"{tmp_path}/s")).collect()
+    assert sorted(map(tuple, given)) == sorted(map(tuple, sparse.search(docs, items, 5).collect()))
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     plan = dense.search(vectors, vectors.where("vec_id % 2 = 0"), 5, query_block=7)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2
