@@ -1,75 +1,29 @@
-"""Shared helpers: the shared folder, lineage cuts by written tables, byte-level word splitting."""
+"""Shared helpers: written tables and their end, rows as structs, byte-level word splitting."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.scratch import fresh_path, materialize, paths_made, release, shared_dir
+
+__all__ = ["PIECE", "drop_table", "fresh_path", "materialize", "named", "packed", "release", "shared_dir", "tidy", "unpacked", "word_lists", "written"]
+
 #: Texts longer than this are walked in pieces cut at white space, so that no list of words outgrows memory.
 PIECE = 1 << 22
 
 _WS = re.compile(rb"[\x20\x09-\x0D]")
-_made: dict[str, list[str]] = {}
-_local: dict[str, str] = {}
-_cleaned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-    return _local[app]
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, removed when this process ends."""
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/loomspark-{app}/{tag}-{uuid.uuid4().hex[:12]}"
-    if app not in _cleaned:
-        _cleaned.add(app)
-        atexit.register(lambda: [release(spark, p) for p in _made.pop(app, [])])
-    _made.setdefault(app, []).append(path)
-    return path
-
-
-def release(spark: SparkSession, path: str) -> None:
-    """Delete a path made by fresh_path(); a stopped session leaves it to the folder's owner."""
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is None:
-        return
-    try:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the gateway may be gone at interpreter exit; the files are only scratch
-        return
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(spark: SparkSession, make: Callable[[], DataFrame], tag: str, spent: list[str]) -> DataFrame:
     """Like materialize(make(), tag), and drops what is no longer needed: the tables that make() wrote for itself and,
     before them, those named in spent. The path of the new table is put into spent for the next call."""
-    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    made = paths_made(spark)
     before = len(made)
     out = materialize(make(), tag)
     for path in [*made[before:-1], *spent]:
@@ -81,9 +35,8 @@ def written(spark: SparkSession, make: Callable[[], DataFrame], tag: str, spent:
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table of fresh_path() before the process ends."""
     release(spark, path)
-    made = _made.get(spark.sparkContext.applicationId, [])
-    if path in made:
-        made.remove(path)
+    if path in paths_made(spark):
+        paths_made(spark).remove(path)
 
 
 def named(columns: list[str]) -> list[Column]:
