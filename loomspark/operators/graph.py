@@ -12,17 +12,41 @@ from loomspark.scratch import materialize
 # --- merging ---
 
 
-def merge_mentions(rows: DataFrame) -> DataFrame:
-    """rows(document_id, entity, chunk_id, confidence, arrival) -> one edge each: chunk ids in order, best confidence."""
+def _first_rows(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each key by arrival; each task hands on no more than that."""
+    w = Window.partitionBy(*keys).orderBy("arrival")
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def merge_mentions(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows(document_id, entity, chunk_id, confidence, arrival) -> one edge each: chunk ids in order, best confidence.
+
+    most bounds the rows whose chunk ids an edge names, the first ones; its confidence is that of all.
+    """
+    keys = ["document_id", "entity"]
+    best = rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
     chunks = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "chunk_id"))), lambda x: x["chunk_id"]))
-    return rows.groupBy("document_id", "entity").agg(chunks.alias("chunk_ids"), F.max("confidence").alias("confidence"))
+    if most is None:
+        return rows.groupBy(*keys).agg(chunks.alias("chunk_ids"), F.max("confidence").alias("confidence"))
+    kept = _first_rows(rows, keys, most).groupBy(*keys).agg(chunks.alias("chunk_ids"))
+    same = [kept[c].eqNullSafe(best[c]) for c in keys]
+    return kept.join(best, same).select(*(kept[c] for c in keys), kept["chunk_ids"], best["confidence"])
+
 
+def merge_edges(rows: DataFrame, dedup_evidence: bool = False, most: int | None = None) -> DataFrame:
+    """rows(source_id, target_id, relationship_type, confidence, evidence array, arrival) -> best confidence, all evidence.
 
-def merge_edges(rows: DataFrame, dedup_evidence: bool = False) -> DataFrame:
-    """rows(source_id, target_id, relationship_type, confidence, evidence array, arrival) -> best confidence, all evidence."""
+    most bounds the rows whose evidence an edge keeps, the first ones; its confidence is that of all.
+    """
+    keys = ["source_id", "target_id", "relationship_type"]
+    best = rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
     evidence = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("arrival", "evidence"))), lambda x: x["evidence"]))
     evidence = F.array_distinct(evidence) if dedup_evidence else evidence
-    return rows.groupBy("source_id", "target_id", "relationship_type").agg(F.max("confidence").alias("confidence"), evidence.alias("evidence"))
+    if most is None:
+        return rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"), evidence.alias("evidence"))
+    kept = _first_rows(rows, keys, most).groupBy(*keys).agg(evidence.alias("evidence"))
+    same = [kept[c].eqNullSafe(best[c]) for c in keys]
+    return kept.join(best, same).select(*(kept[c] for c in keys), best["confidence"], kept["evidence"])
 
 
 def merge_entity_tables(old: DataFrame, new: DataFrame) -> DataFrame:

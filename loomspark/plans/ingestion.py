@@ -222,6 +222,26 @@ def linked_papers(spark, d):
     return made.groupBy("title").agg(F.count("*").alias("n"), F.min("external_id").alias("first_id"), F.max("position").alias("position"))
 
 
+def citing_dois(spark, d):
+    item = lambda doi: F.struct(doi.alias("DOI"))
+    o = F.col("o_orderkey")
+    body = F.when(o % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.struct(F.array(item(F.concat(F.lit("10.1/a"), o.cast("string"))), item(F.when(o % 2 == 0, F.concat(F.lit("10.1/B"), F.col("o_custkey").cast("string")))), item(F.lit(""))).alias("items")).alias("message"))))
+    return connectors.cited_by(read(spark, d, "orders").select("o_orderkey", body.alias("body")), "o_orderkey", "body")
+
+
+def works_by_doi(spark, d):
+    doi = F.concat(_pick(F.col("o_orderkey"), ("https://doi.org/", "doi:", "")), F.lit("10.1/X"), F.col("o_orderkey").cast("string"))
+    work = F.struct(F.concat(F.lit("10.1/X"), F.col("o_orderkey").cast("string")).alias("DOI"), F.array("o_orderpriority").alias("title"))
+    rows = read(spark, d, "orders").select(F.when(F.col("o_orderkey") % 10 > 0, doi).alias("doi"), F.when(F.col("o_orderkey") % 7 > 0, F.to_json(F.struct(work.alias("message")))).alias("body"))
+    return connectors.works_by_doi(rows, "doi", "body").select("asked", "external_id", "title", "url")
+
+
+def bounded_edges(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.when(F.col("l_linestatus") == "O", F.col("l_linestatus")).alias("target_id"), F.col("l_returnflag").alias("relationship_type"), F.col("l_discount").alias("confidence"), F.array(F.col("l_orderkey")).alias("evidence"), F.struct("l_orderkey", "l_linenumber").alias("arrival"))
+    made = graph.merge_edges(rows, most=5)
+    return made.select("source_id", "target_id", "relationship_type", "confidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
+
+
 def dispatch_sections(spark, d):
     docs = read(spark, d, "documents")
     one = lambda t, a, b: F.struct(F.lit("other").alias("section_type"), F.lit(t).alias("title"), F.col("lang").alias("text"), F.lit(a).alias("char_offset_start"), F.lit(b).alias("char_offset_end"))
@@ -268,7 +288,7 @@ QUERIES = {
     for f in (
         rerank_lexical, stored_statistics, weighted_rrf, embed_documents, semantic_chunks, hit_payloads, collection_info, cited_chunks, relevant_summaries, first_answers, answer_events, model_entities, model_relations, extraction_outcomes,
         chosen_chunks, related_entities, document_entities, composite_lookup, provenance_join, source_status, upload_completion, token_checks, scope_checks, key_lookup, job_updates, state_listing, existing_objects, parser_routes,
-        linked_papers, dispatch_sections, tei_fallback, published_events, ingest_outcomes, ingest_points,
+        linked_papers, citing_dois, works_by_doi, bounded_edges, dispatch_sections, tei_fallback, published_events, ingest_outcomes, ingest_points,
     )
 }
 
@@ -331,6 +351,10 @@ SELECT job_id, coalesce(s, status) AS status, CASE WHEN s = 'running' AND starte
 SELECT DISTINCT h AS content_hash, path FROM p LEFT JOIN l USING (h)""",
     "parser_routes": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'tei' ELSE 'layout' END AS \"both\", 'layout' AS layout_only, CASE WHEN p_partkey % 4 = 0 THEN 'tei' END AS tei_only FROM part",
     "linked_papers": "SELECT source AS title, count(*) AS n, min(md5(text)) AS first_id, 0::INT AS position FROM documents GROUP BY source UNION ALL SELECT 'second', count(*), '', 2 FROM documents",
+    "citing_dois": """SELECT o_orderkey AS cited, 0::INT AS position, '10.1/a' || o_orderkey AS doi FROM orders WHERE o_orderkey % 9 > 0 UNION ALL SELECT o_orderkey, 1, '10.1/B' || o_custkey FROM orders WHERE o_orderkey % 9 > 0 AND o_orderkey % 2 = 0""",
+    "works_by_doi": "SELECT '10.1/x' || o_orderkey AS asked, '10.1/X' || o_orderkey AS external_id, o_orderpriority AS title, 'https://doi.org/10.1/X' || o_orderkey AS url FROM orders WHERE o_orderkey % 10 > 0 AND o_orderkey % 7 > 0",
+    "bounded_edges": """WITH r AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'O' END AS t, row_number() OVER (PARTITION BY l_suppkey, l_linestatus = 'O', l_returnflag ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)
+SELECT l_suppkey AS source_id, t AS target_id, l_returnflag AS relationship_type, max(l_discount) AS confidence, string_agg(l_orderkey::VARCHAR, ',' ORDER BY n) FILTER (n <= 5) AS evidence FROM r GROUP BY l_suppkey, t, l_returnflag""",
     "dispatch_sections": f"""WITH {_KT._SEG} SELECT doc_id, section_no, section_type, md5(text) AS text_md5, char_offset_start, char_offset_end FROM sec WHERE doc_id % 2 = 1
 UNION ALL SELECT doc_id, 1, 'methods', md5(lang), 0, 2 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, 'acknowledgments', md5(lang), 4, 6 FROM documents WHERE doc_id % 2 = 0""",
     "tei_fallback": "SELECT doc_id, md5(CASE WHEN doc_id % 10 > 0 THEN 'Methods ' || source ELSE text END) AS text_md5, CASE WHEN doc_id % 10 > 0 THEN 'methods' ELSE 'other' END AS kinds, doc_id % 10 = 0 AS fallback FROM documents",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import split_name
+from loomspark.functions.text import normalize_doi, split_name
 
 AUTHORS = "array<struct<given_name:string,family_name:string>>"
 #: Columns of a search result.
@@ -146,3 +146,17 @@ def request_filters(first: int | None, last: int | None) -> dict[str, str | None
     from_, until = (f"{first}-01-01" if first is not None else "*"), (f"{last}-12-31" if last is not None else "*")
     dash = f"{'' if first is None else first}-{'' if last is None else last}"
     return {"crossref": f"from-pub-date:{from_},until-pub-date:{until}", "semantic_scholar": dash, "arxiv": None, "scixplorer": f"year:[{a} TO {b}]"}
+
+
+def cited_by(responses: DataFrame, doi: str, body: str, most: int = 100) -> DataFrame:
+    """responses(doi asked for, body of a works listing) -> (cited, doi): DOIs of the papers that cite each one, as the
+    listing orders them; items without DOI and unreadable responses give none."""
+    items = F.from_json(F.get_json_object(body, "$.message.items"), "array<struct<DOI:string>>")
+    rows = responses.select(F.col(doi).alias("cited"), F.posexplode(F.slice(items, 1, most)).alias("position", "i"))
+    return rows.where(F.length("i.DOI") > 0).select("cited", "position", F.col("i.DOI").alias("doi"))
+
+
+def works_by_doi(responses: DataFrame, doi: str, body: str) -> DataFrame:
+    """responses(doi asked for, body of a single work) -> a search result each, under the normalised DOI asked for."""
+    rows = responses.select(normalize_doi(F.col(doi)).alias("asked"), F.get_json_object(body, "$.message").alias("payload"))
+    return crossref(rows.where("payload is not null and length(asked) > 0"), keep=["asked"])

@@ -92,6 +92,27 @@ def once(sink: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def send_batches(messages: DataFrame, id_col: str, body: str, sender: Callable[[list[dict]], list[str]], size: int = 10) -> DataFrame:
+    """(id, sent): messages handed to sender in batches of `size`, which returns the ids it accepted.
+
+    A batch that raises counts as not sent and stops no other. A task that runs again sends again, as any queue with
+    at-least-once delivery has it; use it in foreachBatch.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = frame.to_dict("records")
+            sent: set[str] = set()
+            for i in range(0, len(rows), size):
+                try:
+                    sent |= set(sender(rows[i : i + size]))
+                except Exception:  # noqa: BLE001  whatever a sender raises belongs to its batch
+                    continue
+            yield pd.DataFrame({"id": frame["id"], "sent": frame["id"].isin(sent)})
+
+    return messages.select(F.col(id_col).cast("string").alias("id"), F.col(body).alias("body")).mapInPandas(run, "id string, sent boolean")
+
+
 def latest(updates: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     """The last update of each key; for a stream use it in foreachBatch with upsert()."""
     names = [c for c in updates.columns if c != key]

@@ -7,8 +7,10 @@ import numpy as np
 
 from loomspark import values as V
 from loomspark.functions.text import normalize_title
-from loomspark.operators import dense, extract, graph, ingest, registry, segment, sparse
+from loomspark.operators import dense, extract, fusion, graph, ingest, registry, segment, sparse
 from loomspark.plans import catalog, dialogue, ingestion, knowledge, retrieval
+from loomspark.sources import files
+from loomspark.streaming import stateful
 from pyspark.sql import functions as F
 
 
@@ -187,3 +189,27 @@ def test_extraction_job_isolates_bad_chunks(spark):
     chunks = spark.createDataFrame([("a", "d1", "The solar wind meets the " + "bow  shock near the magnetosphere of the planet."), ("b", "d1", None), ("c", "d2", None)], "chunk_id string, document_id string, text string")
     _, _, out = extract.extraction_job(chunks)
     assert {x["document_id"]: (x["n_chunks"], x["n_errors"], x["n_entities"], x["status"]) for x in out.collect()} == {"d1": (2, 1, 3, "completed"), "d2": (1, 1, 0, "failed")}
+
+
+def test_batches_are_sent_apart(spark):
+    def sender(batch):
+        if any(m["body"] == "poison" for m in batch):
+            raise RuntimeError("refused")
+        return [m["id"] for m in batch if m["body"] != "no"]
+
+    rows = spark.createDataFrame([(i, "poison" if i == 4 else "no" if i % 3 == 0 else "yes") for i in range(12)], "n long, body string").coalesce(1)
+    got = {int(x["id"]): x["sent"] for x in stateful.send_batches(rows, "n", "body", sender, 3).collect()}
+    assert got == {i: i % 3 > 0 and i not in (3, 4, 5) for i in range(12)}
+
+
+def test_model_reranker_and_pdf_reader_plug_in(spark, tmp_path):
+    hits = spark.createDataFrame([(1, i, i, "q", "x" * i) for i in range(1, 6)], "qid long, id long, rank int, question string, text string")
+    best = fusion.rerank(hits, 2, lambda q, t: t.str.len().astype("float64"), model=True).collect()
+    assert [x["id"] for x in sorted(best, key=lambda x: x["rerank_rank"])] == [5, 4]
+    assert [x["id"] for x in sorted(fusion.rerank(hits, 2).collect(), key=lambda x: x["rerank_rank"])] == [1, 2]
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 /Title (A Study) /Author () /Type /Page (Hello) Tj (world) Tj /Type /Page (Two) Tj")
+    (tmp_path / "b.pdf").write_bytes(b"")
+    made = {x["path"][-5:]: x for x in files.pdf_extract(files.objects(spark, str(tmp_path))).collect()}
+    assert (made["a.pdf"]["text"], made["a.pdf"]["first_page"], made["a.pdf"]["page_count"], made["a.pdf"]["metadata"]) == ("Hello world\n\nTwo", "Hello world", 2, {"title": "A Study"})
+    broken = files.pdf_extract(files.objects(spark, str(tmp_path)), lambda content: {}["pages"]).collect()
+    assert all(x["error"] and x["text"] is None for x in broken)
