@@ -18,5 +18,16 @@ SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s
 k AS (SELECT *, translate(trim(line, {_SPACE}), '{_UP}', '{_LOW}') AS key FROM l),
 d AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
+    "op12_collocations": f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS text FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM t)),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM p, range(1, 6) r(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND f >= 100),
+cut AS (SELECT lang, c.k, phrase, f AS a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS tail FROM c, range(1, 5) s(cut) WHERE cut < c.k),
+s AS (SELECT cut.lang, cut.k, cut.phrase, a, x.f AS l, y.f AS r, n, 1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS score, cut FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+u AS (SELECT * FROM b WHERE NOT EXISTS (FROM c WHERE c.lang = b.lang AND c.k > b.k AND c.f >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "C") AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM u QUALIFY rank <= 2000""",
     "op8_sharding": "SELECT doc_id, source, coalesce(doc_id, 0) % 4 AS arrival, length(text) AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
 }
