@@ -79,7 +79,35 @@ def truncate_context(context: Column, system: Column, question: Column, user_pro
     return F.when(over & (room > 0), F.concat(F.substring(context, F.lit(1), room.cast("int")), F.lit("\n[Context truncated...]"))).otherwise(context)
 
 
-def batch_summaries(response: Column, n: int) -> Column:
-    """Text after the colon of each `[Chunk i]` line; null where there is none."""
-    parts = [F.regexp_extract(response, rf"(?m)^\s*\[Chunk {i}\][^:\n]*:\s*(.*)$", 1) for i in range(1, n + 1)]
-    return F.array(*[F.when(F.length(p) > 0, p) for p in parts])
+#: Fixed value: what a summary says where a chunk has nothing to tell.
+NOTHING_RELEVANT = "NO_RELEVANT_INFO"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def irrelevant(summary: Column) -> Column:
+    return F.contains(F.upper(summary), F.lit(NOTHING_RELEVANT))
+
+
+def batch_summaries(response: Column, chunks: Column) -> Column:
+    """array<struct<chunk int, text, summarized boolean>> of the chunks (an array of texts) that a batch reply keeps.
+
+    A chunk's summary is what follows the first colon of the first line that holds `[Chunk i]`, the whole line without a
+    colon. A chunk without such a line keeps its text; one whose summary is empty or says that nothing is relevant goes.
+    A null reply stands for a failed call and keeps all texts.
+    """
+    lines = F.split(response, "\n")
+
+    def told(text: Column, i: Column) -> Column:
+        marker = F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("]"))
+        line = F.get(F.filter(lines, lambda x: F.contains(x, marker)), F.lit(0))
+        at = F.instr(line, ":")
+        summary = stripped(F.when(at > 0, F.substring(line, at + 1, F.length(line))).otherwise(line))
+        kept = summary.isNull() | ((summary != "") & ~irrelevant(summary))
+        return F.struct((i + 1).cast("int").alias("chunk"), F.coalesce(summary, text).alias("text"), summary.isNotNull().alias("summarized"), kept.alias("kept"))
+
+    rows = F.filter(F.transform(chunks, told), lambda x: x["kept"])
+    return F.transform(rows, lambda x: F.struct(x["chunk"].alias("chunk"), x["text"].alias("text"), x["summarized"].alias("summarized")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark import values as V
-from loomspark.functions.answer import chunk_block, snippet
+from loomspark.functions.answer import chunk_block, irrelevant, snippet, stripped
 from loomspark.functions.text import sparse_tokens, token_count
 from loomspark.operators.sparse import top_k
 
@@ -128,14 +128,14 @@ def cited_chunks(cited: DataFrame, taken: DataFrame, qid: str = "qid") -> DataFr
     return cited.join(taken, [qid, "citation_id"])
 
 
-def relevant_summaries(summaries: DataFrame, text: str = "text", summary: str = "summary", error: str = "error", chars: int = 2000) -> DataFrame:
-    """summaries with evidence: the summary, the text's start where making it failed; those without relevance go."""
-    kept = summaries.where(F.col(error).isNotNull() | (F.trim(F.coalesce(summary, F.lit(""))) != NOTHING_RELEVANT))
-    return kept.withColumn("evidence", F.when(F.col(error).isNotNull() | F.col(summary).isNull(), F.substring(text, 1, chars)).otherwise(F.col(summary)))
+def relevant_summaries(summaries: DataFrame, text: str = "text", summary: str = "summary", error: str = "error") -> DataFrame:
+    """summaries with evidence: the trimmed summary, or the whole text where making it failed.
 
-
-#: Fixed value: what a summary says where a chunk has nothing to tell.
-NOTHING_RELEVANT = "NO_RELEVANT_INFO"
+    Without an error, empty and null summaries go, and those that say in any case, anywhere, that nothing is relevant.
+    """
+    told, failed = stripped(F.coalesce(F.col(summary), F.lit(""))), F.col(error).isNotNull()
+    kept = summaries.where(failed | ((told != "") & ~irrelevant(told)))
+    return kept.withColumn("evidence", F.when(failed, F.col(text)).otherwise(told))
 
 
 def first_answer(replies: DataFrame, providers: list[str], qid: str = "qid") -> DataFrame:

@@ -245,11 +245,7 @@ def client_filter(nodes: DataFrame, edges: DataFrame, entity_types: list[str], r
     return shown, lines
 
 
-def related_entities(edges: DataFrame, entities: DataFrame, min_confidence: float = 0.5, limit: int = 20) -> DataFrame:
-    """(entity, related, relationship_type, confidence): entities one strong edge away, the surest `limit` of each, ties by name."""
-    strong = edges.where(F.col("confidence").isNull() | (F.col("confidence") >= min_confidence)).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
-    both = strong.select(F.col("source_id").alias("entity"), F.col("target_id").alias("related"), "relationship_type", "confidence").union(strong.select("target_id", "source_id", "relationship_type", "confidence"))
-    best = both.where("entity <> related").groupBy("entity", "related").agg(F.max_by(F.struct("relationship_type", "confidence"), F.struct("confidence", "relationship_type")).alias("b"))
-    near = best.join(entities.select("entity").distinct(), "entity", "left_semi").select("entity", "related", "b.*")
-    w = Window.partitionBy("entity").orderBy(F.desc("confidence"), "related")
-    return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n")
+def related_entities(edges: DataFrame, entities: DataFrame, min_confidence: float = 0.5, limit: int = 50, relationship_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of depth 1 around each of entities(center): all neighbours, `limit` nodes with the centre, and the edges
+    among them that are sure enough and of relationship_types, where given; columns as those of subgraph()."""
+    return subgraph(edges, entities, 1, min_confidence, limit, relationship_types)

@@ -355,18 +355,31 @@ def source_status(results: DataFrame, merged: DataFrame, errors: DataFrame) -> D
     return out.select("source", F.col("error").isNull().alias("success"), F.coalesce("n_results", zero).alias("n_results"), F.coalesce("n_kept", zero).alias("n_kept"), "error")
 
 
-def upload_completion(uploads: DataFrame, objects: DataFrame) -> DataFrame:
-    """uploads(upload_id, status, filename, size, content_hash) with the outcome of completing them.
-
-    Pending ones whose object is stored become completed, with the object's size and a title from the file name;
-    pending ones without object fail; others keep their status.
+def upload_completion(uploads: DataFrame, objects: DataFrame, registrations: DataFrame | None = None) -> DataFrame:
+    """(upload_id, status, outcome, size, content_hash, title, document_id, error) of each of uploads(upload_id, user_id,
+    asked_by, object_key, status, filename, size, title).
+
+    Nobody else's upload is found, and only a pending one is completed; without its object in objects(object_key, size,
+    content_hash) it stays pending, for another try. A stored one takes the object's size and hash, the title asked for
+    or the file's name up to its last dot, and registrations(content_hash, document_id, error) says how it goes on:
+    processing with a document, failed with an error, uploaded as long as there is neither. Others keep status and size.
+    outcome: completed, failed, not_found, already_<status>, not_found_in_storage.
     """
-    stored = objects.select("content_hash", F.col("size").alias("__size")).groupBy("content_hash").agg(F.max("__size").alias("__size"))
-    out = uploads.join(stored, "content_hash", "left")
-    waits, there = F.col("status") == "pending", F.col("__size").isNotNull()
-    status = F.when(waits & there, "completed").when(waits, "failed").otherwise(F.col("status"))
-    title = F.regexp_replace("filename", r"\.[^.]*$", "")
-    return out.select("upload_id", status.alias("status"), F.when(waits & there, F.col("__size")).otherwise(F.col("size")).alias("size"), F.when(waits & there, title).alias("title"))
+    stored = objects.groupBy("object_key").agg(F.max(F.struct(F.col("size"), F.col("content_hash"))).alias("__stored"))
+    out = uploads.join(stored, "object_key", "left")
+    if registrations is None:
+        registrations = out.sparkSession.createDataFrame([], "content_hash string, document_id string, error string")
+    known = registrations.groupBy(F.col("content_hash").alias("__hash")).agg(F.min("document_id").alias("document_id"), F.min("error").alias("error"))
+    own, waits, there = F.col("user_id") == F.col("asked_by"), F.col("status") == "pending", F.col("__stored").isNotNull()
+    open_ = F.coalesce(own & waits & there, F.lit(False))
+    out = out.withColumn("__open", open_).withColumn("content_hash", F.when(F.col("__open"), F.col("__stored.content_hash")))
+    out = out.join(known, F.col("content_hash") == F.col("__hash"), "left").withColumn("error", F.when(F.col("document_id").isNull(), F.concat(F.lit("Registration failed: "), "error")))
+    failed = F.col("__open") & F.col("error").isNotNull()
+    outcome = F.when(~F.coalesce(own, F.lit(False)), "not_found").when(~waits, F.concat(F.lit("already_"), "status")).when(~there, "not_found_in_storage").when(failed, "failed").otherwise("completed")
+    status = F.when(failed, "failed").when(F.col("__open") & F.col("document_id").isNotNull(), "processing").when(F.col("__open"), "uploaded").otherwise(F.col("status"))
+    title = F.when(F.col("__open"), F.coalesce(F.when(F.length("title") > 0, F.col("title")), F.regexp_replace("filename", r"\.[^.]*$", "")))
+    size = F.when(F.col("__open"), F.col("__stored.size")).otherwise(F.col("size"))
+    return out.select("upload_id", status.alias("status"), outcome.alias("outcome"), size.alias("size"), "content_hash", title.alias("title"), "document_id", "error")
 
 
 def valid_tokens(tokens: DataFrame, now: Column) -> DataFrame:

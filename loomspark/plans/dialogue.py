@@ -107,9 +107,13 @@ def prompt_truncation(spark, d):
 
 
 def batch_summaries(spark, d):
-    reply = F.concat(F.lit("[Chunk 1]: "), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n[Chunk 3] note: "), F.col("lang"))).otherwise(F.lit("\nother")))
-    made = A.batch_summaries(reply, 3)
-    return read(spark, d, "documents").select("doc_id", made[0].alias("one"), made[1].alias("two"), made[2].alias("three"))
+    """Replies of every form that a line can have, to batches of a document's source, language and text."""
+    k = F.col("doc_id") % 6
+    first = F.when(k == 0, F.concat(F.lit("Here: [Chunk 1]: "), F.col("source"))).when(k == 1, F.lit("[Chunk 1]:  no_relevant_info. ")).when(k == 2, F.lit("[Chunk 1]:")).when(k == 3, F.lit("[Chunk 1] without colon  ")).when(k == 4, F.lit("nothing"))
+    second = F.when(F.col("doc_id") % 4 < 2, F.concat(F.lit("\n[Chunk 2] note: a: "), F.col("lang"), F.lit("\n[Chunk 2]: again"))).otherwise(F.lit("\n[Chunk 12]: other"))
+    made = A.batch_summaries(F.concat(first, second), F.array("source", "lang", "text"))
+    rows = read(spark, d, "documents").select("doc_id", F.explode(made).alias("c"))
+    return rows.select("doc_id", "c.chunk", F.md5("c.text").alias("text_md5"), "c.summarized")
 
 
 # --- events ---
@@ -261,7 +265,10 @@ SELECT o_orderkey, concat_ws(' ', '[' || k || ']', CASE WHEN n > 0 THEN o_orderp
 concat_ws(chr(10), '[' || k || ']', CASE WHEN n > 0 THEN concat_ws(' ', 'Source: ' || o_orderpriority, CASE WHEN n > 1 THEN '(' || y || ')' END, CASE WHEN n > 2 THEN 'Section: ' || o_orderstatus END) END, o_custkey::VARCHAR) AS block,
 concat_ws(chr(10), 'Related concepts from knowledge graph:', CASE WHEN n > 1 THEN '- a -> b' END, CASE WHEN n > 2 THEN '- a -> b -> c' END, CASE WHEN n > 3 THEN '- a -> b -> c -> d' END) AS graph FROM o""",
     "prompt_truncation": """WITH c AS (SELECT doc_id, CASE WHEN 100 + length(text) + length(source) > 20000 THEN substr(text, 1, 20000 - 100 - length(source) - 500) || chr(10) || '[Context truncated...]' ELSE text END AS c FROM documents) SELECT doc_id, length(c)::INT AS n, md5(c) AS context_md5 FROM c""",
-    "batch_summaries": "SELECT doc_id, source AS one, NULL::VARCHAR AS two, CASE WHEN doc_id % 2 = 0 THEN lang END AS three FROM documents",
+    "batch_summaries": """WITH a AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN 'Here: [Chunk 1]: ' || source WHEN 1 THEN '[Chunk 1]:  no_relevant_info. ' WHEN 2 THEN '[Chunk 1]:' WHEN 3 THEN '[Chunk 1] without colon  ' WHEN 4 THEN 'nothing' END || CASE WHEN doc_id % 4 < 2 THEN chr(10) || '[Chunk 2] note: a: ' || lang || chr(10) || '[Chunk 2]: again' ELSE chr(10) || '[Chunk 12]: other' END AS reply FROM documents),
+c AS (SELECT doc_id, reply, unnest([source, lang, text]) AS chunk_text, unnest([1, 2, 3]) AS chunk FROM a), l AS (SELECT *, list_filter(string_split(reply, chr(10)), lambda x: contains(x, '[Chunk ' || chunk || ']'))[1] AS line FROM c),
+s AS (SELECT *, trim(CASE WHEN contains(line, ':') THEN substr(line, strpos(line, ':') + 1) ELSE line END) AS summary FROM l)
+SELECT doc_id, chunk, md5(coalesce(summary, chunk_text)) AS text_md5, summary IS NOT NULL AS summarized FROM s WHERE summary IS NULL OR (summary <> '' AND NOT contains(upper(summary), 'NO_RELEVANT_INFO'))""",
     "idempotent_events": """WITH RECURSIVE e AS (SELECT event_id, user_id || event_type AS k, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT event_id, k, ts, rn, ts AS since, 'first' AS outcome FROM e WHERE rn = 1
  UNION ALL SELECT e.event_id, e.k, e.ts, e.rn, CASE WHEN e.ts - f.since <= INTERVAL 7 DAY THEN f.since ELSE e.ts END, CASE WHEN e.ts - f.since <= INTERVAL 7 DAY THEN 'replay' ELSE 'first' END FROM f JOIN e ON e.k = f.k AND e.rn = f.rn + 1)

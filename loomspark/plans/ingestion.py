@@ -72,7 +72,9 @@ def cited_chunks(spark, d):
 
 def relevant_summaries(spark, d):
     docs = read(spark, d, "documents")
-    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.lit(" NO_RELEVANT_INFO ")).when(F.col("doc_id") % 3 == 1, F.col("source")).alias("summary"), F.when(F.col("doc_id") % 5 == 0, F.lit("timeout")).alias("error"))
+    summary = _pick(F.col("doc_id"), (" No_relevant_info.\n", "", "NO_RELEVANT_INFO for this chunk", None, "\t"))
+    summary = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), F.col("source"), F.lit(" told\n"))).otherwise(summary)
+    rows = docs.select("doc_id", "text", summary.alias("summary"), F.when(F.col("doc_id") % 7 == 0, F.lit("timeout")).alias("error"))
     return fusion.relevant_summaries(rows).select("doc_id", F.md5("evidence").alias("evidence_md5"))
 
 
@@ -131,10 +133,19 @@ def chosen_chunks(spark, d):
     return extract.chosen_chunks(chunks, read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id")))
 
 
-def related_entities(spark, d):
+def _related(spark, d):
     _, edges = knowledge._graph(spark, d)
-    asked = read(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity"))
-    return graph.related_entities(edges, asked.union(read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))))
+    asked = read(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("center"))
+    asked = asked.union(read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))))
+    return graph.related_entities(edges, asked, relationship_types=["placed_by", "part_of"])
+
+
+def related_entities(spark, d):
+    return _related(spark, d)[0]
+
+
+def related_edges(spark, d):
+    return _related(spark, d)[1]
 
 
 def document_entities(spark, d):
@@ -166,10 +177,15 @@ def source_status(spark, d):
 
 
 def upload_completion(spark, d):
-    p = read(spark, d, "part")
-    uploads = p.select(F.col("p_partkey").alias("upload_id"), _pick(F.col("p_partkey"), ("pending", "completed", "cancelled")).alias("status"), F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".pdf")).alias("filename"), F.col("p_size").alias("size"), F.md5(F.col("p_partkey").cast("string")).alias("content_hash"))
-    objects = p.where("p_partkey % 4 <> 0").select(F.md5(F.col("p_partkey").cast("string")).alias("content_hash"), (F.col("p_size") + 1000).alias("size"))
-    return registry.upload_completion(uploads, objects)
+    p, key = read(spark, d, "part"), F.col("p_partkey")
+    md5 = F.md5(key.cast("string"))
+    name = F.when(key % 11 == 0, F.col("p_name")).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit(".pdf")))
+    user, asked = (key % 9).alias("user_id"), F.when(key % 10 > 0, key % 9).otherwise(F.lit(-1)).alias("asked_by")
+    uploads = p.select(key.alias("upload_id"), user, asked, md5.alias("object_key"), F.when(key % 3 > 0, "pending").otherwise(_pick(key, ("uploaded", "cancelled"))).alias("status"), name.alias("filename"), F.col("p_size").alias("size"), F.when(key % 13 == 0, F.lit("own title")).alias("title"))
+    objects = p.where("p_partkey % 4 <> 0").select(md5.alias("object_key"), (F.col("p_size") + key % 2).alias("size"), F.col("p_brand").alias("content_hash"))
+    brands = p.select("p_brand").distinct()
+    registered = brands.where("p_brand not like '%1'").select(F.col("p_brand").alias("content_hash"), F.when(~F.col("p_brand").like("%2"), F.concat(F.lit("doc-"), "p_brand")).alias("document_id"), F.when(F.col("p_brand").like("%2"), F.lit("no title")).alias("error"))
+    return registry.upload_completion(uploads, objects, registered)
 
 
 def token_checks(spark, d):
@@ -287,7 +303,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rerank_lexical, stored_statistics, weighted_rrf, embed_documents, semantic_chunks, hit_payloads, collection_info, cited_chunks, relevant_summaries, first_answers, answer_events, model_entities, model_relations, extraction_outcomes,
-        chosen_chunks, related_entities, document_entities, composite_lookup, provenance_join, source_status, upload_completion, token_checks, scope_checks, key_lookup, job_updates, state_listing, existing_objects, parser_routes,
+        chosen_chunks, related_entities, related_edges, document_entities, composite_lookup, provenance_join, source_status, upload_completion, token_checks, scope_checks, key_lookup, job_updates, state_listing, existing_objects, parser_routes,
         linked_papers, citing_dois, works_by_doi, bounded_edges, dispatch_sections, tei_fallback, published_events, ingest_outcomes, ingest_points,
     )
 }
@@ -295,6 +311,10 @@ QUERIES = {
 _RT, _KT = retrieval, knowledge
 
 
+_RELATED = f"""{_KT._GRAPH}, s AS (SELECT node_id AS center FROM nodes WHERE node_type = 'nation' OR (node_type = 'customer' AND substr(node_id, 2)::BIGINT % 100 = 0)),
+near AS (SELECT center, target_id AS node FROM s JOIN edges ON source_id = center UNION SELECT center, source_id FROM s JOIN edges ON target_id = center),
+a AS (SELECT center, center AS node, 0 AS hop FROM s UNION ALL SELECT center, node, 1 FROM near WHERE node <> center), kept AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY center ORDER BY hop, node) <= 50)"""
+
 ORACLES = {
     "rerank_lexical": f"""WITH {_RT._search("documents", _RT._ITEMS, V.SEARCH_K)},
 t AS (SELECT h.qid, h.doc_id, h.rank, list_distinct({_RT._tok("b.text")}) AS q, {_RT._tok("d.text")} AS tok FROM hits h JOIN benchmark b ON b.item_id = h.qid JOIN documents d ON d.doc_id = h.doc_id),
@@ -318,7 +338,8 @@ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY first_no) - 1)::INT AS s
     "hit_payloads": "SELECT l_orderkey AS qid, 'k' || l_partkey AS chunk_id, 'd' || l_orderkey AS document_id, CASE WHEN l_linenumber = 1 THEN l_returnflag WHEN l_linenumber < 4 THEN l_linestatus ELSE '' END AS text, l_discount AS score FROM lineitem WHERE l_linenumber < 6",
     "collection_info": "SELECT count(*) AS n_points, count(DISTINCT l_orderkey) AS n_documents, count(DISTINCT l_returnflag) AS n_sections, min(year(l_shipdate))::INT AS year_from, max(year(l_shipdate))::INT AS year_to FROM lineitem",
     "cited_chunks": f"{_RT._TAKEN} SELECT qid AS item_id, citation_id, doc_id FROM taken WHERE citation_id IN (1, 8, 15)",
-    "relevant_summaries": """SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 2 THEN substr(text, 1, 2000) WHEN doc_id % 3 = 1 THEN source END) AS evidence_md5 FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 > 0""",
+    "relevant_summaries": """WITH r AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN source || ' told' ELSE list_value('No_relevant_info.', '', 'NO_RELEVANT_INFO for this chunk', NULL, '')[doc_id % 5 + 1] END AS s, doc_id % 7 = 0 AS failed FROM documents)
+SELECT doc_id, md5(CASE WHEN failed THEN text ELSE s END) AS evidence_md5 FROM r WHERE failed OR (coalesce(s, '') <> '' AND NOT contains(upper(s), 'NO_RELEVANT_INFO'))""",
     "first_answers": "SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 > 0 THEN 'near' ELSE 'far' END AS provider, CASE WHEN o_orderkey % 2 > 0 THEN 'near' ELSE 'far' END || o_orderkey AS answer FROM orders WHERE o_orderkey % 2 > 0 OR o_orderkey % 3 > 0",
     "answer_events": f"""{_RT._TAKEN}, e AS (SELECT qid, 0 AS part, citation_id AS n, 'evidence' AS kind, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS payload FROM taken WHERE citation_id <= 5
 UNION ALL SELECT item_id, 1, i, 'text', string_split(text, ' ')[i] FROM benchmark, range(1, 4) r(i) WHERE i <= len(string_split(text, ' ')) UNION ALL SELECT item_id, 2, 0, 'done', '' FROM benchmark)
@@ -330,17 +351,19 @@ SELECT qid AS item_id, (row_number() OVER (PARTITION BY qid ORDER BY part, n) -
 e AS (SELECT chunk_id, count(*) AS n FROM rec GROUP BY chunk_id), c AS (SELECT source AS document_id, count(*) AS n_chunks, count(*) FILTER (doc_id % 50 = 0) AS n_errors, coalesce(sum(e.n) FILTER (doc_id % 50 > 0), 0)::BIGINT AS n_entities, coalesce(sum(pr.n) FILTER (doc_id % 50 > 0), 0)::BIGINT AS n_relations
  FROM documents LEFT JOIN e ON e.chunk_id = doc_id LEFT JOIN pr ON pr.chunk_id = doc_id GROUP BY source) SELECT *, CASE WHEN n_errors = n_chunks THEN 'failed' ELSE 'completed' END AS status FROM c""",
     "chosen_chunks": "SELECT doc_id AS chunk_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
-    "related_entities": f"""WITH {_KT._GRAPH}, s AS (SELECT source_id, target_id, relationship_type, coalesce(confidence, 1.0) AS c FROM edges WHERE confidence IS NULL OR confidence >= 0.5), b AS (SELECT source_id AS e, target_id AS r, relationship_type AS t, c FROM s UNION ALL SELECT target_id, source_id, relationship_type, c FROM s),
-m AS (SELECT e AS entity, r AS related, arg_max(t, (c, t)) AS relationship_type, max(c) AS confidence FROM b WHERE e <> r GROUP BY e, r)
-SELECT entity, related, relationship_type, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY confidence DESC, related) AS n FROM m WHERE entity LIKE 'n%' OR (entity LIKE 'c%' AND substr(entity, 2)::BIGINT % 100 = 0)) WHERE n <= 20""",
+    "related_entities": f"WITH {_RELATED} SELECT center, node, hop FROM kept",
+    "related_edges": f"""WITH {_RELATED} SELECT k.center, source_id, target_id, relationship_type, confidence FROM edges JOIN kept k ON k.node = source_id JOIN kept l ON l.node = target_id AND l.center = k.center
+WHERE (confidence IS NULL OR confidence >= 0.5) AND relationship_type IN ('placed_by', 'part_of')""",
     "document_entities": "SELECT p_partkey AS entity_id, p_name AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0 AND l_orderkey IN (SELECT o_orderkey FROM orders))",
     "composite_lookup": f"""WITH r AS (SELECT doc_id, sha256(text) AS h, {catalog._NORM} AS t, CASE WHEN doc_id % 10 > 3 THEN ascii(lang) END AS y FROM documents)
 SELECT a.doc_id AS request_id, min(b.doc_id) AS document_id FROM r a LEFT JOIN r b ON b.doc_id % 2 = 0 AND a.h = b.h AND a.t = b.t AND a.y IS NOT DISTINCT FROM b.y WHERE a.doc_id % 2 = 1 GROUP BY a.doc_id""",
     "provenance_join": "SELECT c_custkey AS document_id, count(o_orderkey)::INT AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey), '') AS steps FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "source_status": f"""{catalog._MERGED}, k AS (SELECT split_part(sources_found, ',', 1) AS source, count(*) AS n FROM merged GROUP BY 1), c AS (SELECT source, count(*) AS n_results FROM papers GROUP BY source)
 SELECT source, true AS success, n_results, coalesce(n, 0) AS n_kept, NULL AS error FROM c LEFT JOIN k USING (source) UNION ALL SELECT 'scixplorer', false, 0, 0, 'timeout'""",
-    "upload_completion": """WITH u AS (SELECT p_partkey, p_partkey % 3 = 0 AS waits, p_partkey % 4 <> 0 AS there, p_size, p_name FROM part)
-SELECT p_partkey AS upload_id, CASE WHEN waits AND there THEN 'completed' WHEN waits THEN 'failed' WHEN p_partkey % 3 = 1 THEN 'completed' ELSE 'cancelled' END AS status, CASE WHEN waits AND there THEN p_size + 1000 ELSE p_size END AS size, CASE WHEN waits AND there THEN replace(p_name, ' ', '.') END AS title FROM u""",
+    "upload_completion": """WITH u AS (SELECT p_partkey AS k, p_size, p_name, p_brand, k % 10 > 0 OR k % 9 = -1 AS own, CASE WHEN k % 3 > 0 THEN 'pending' WHEN k % 2 = 0 THEN 'uploaded' ELSE 'cancelled' END AS st, k % 4 <> 0 AS there FROM part),
+o AS (SELECT *, own AND st = 'pending' AND there AS done, p_brand LIKE '%2' AS bad, p_brand NOT LIKE '%1' AND NOT p_brand LIKE '%2' AS good FROM u)
+SELECT k AS upload_id, CASE WHEN NOT done THEN st WHEN bad THEN 'failed' WHEN good THEN 'processing' ELSE 'uploaded' END AS status, CASE WHEN NOT own THEN 'not_found' WHEN st <> 'pending' THEN 'already_' || st WHEN NOT there THEN 'not_found_in_storage' WHEN bad THEN 'failed' ELSE 'completed' END AS outcome,
+CASE WHEN done THEN p_size + k % 2 ELSE p_size END AS size, CASE WHEN done THEN p_brand END AS content_hash, CASE WHEN done THEN CASE WHEN k % 13 = 0 THEN 'own title' WHEN k % 11 = 0 THEN p_name ELSE replace(p_name, ' ', '.') END END AS title, CASE WHEN done AND good THEN 'doc-' || p_brand END AS document_id, CASE WHEN done AND bad THEN 'Registration failed: no title' END AS error FROM o""",
     "token_checks": "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 > 0 AND o_orderkey % 7 = 0) AND o_orderdate > TIMESTAMP '1996-01-01'",
     "scope_checks": "SELECT c_custkey, c_custkey % 5 = 0 OR c_custkey % 2 = 0 OR c_custkey % 3 = 2 AS allowed FROM customer",
     "key_lookup": "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 <> 1 THEN c_custkey END AS key_id FROM customer",
