@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,28 +42,140 @@ def _ratio(a: str | None, b: str | None) -> float | None:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+#: Signs of a gram; lengths of titles that meet over rare grams, and the least threshold at which all of these keep one (other
+#: titles meet over their length); the grams whose frequency is known where titles are ordered by it, others counting as rare.
+GRAM, GRAM_TITLES, GRAM_THRESHOLD, KNOWN_GRAMS = 3, (9, 48), 0.875, 20_000
+#: Titles of a block, and places of its counts of grams.
+TITLE_BLOCK, GRAM_PLACES = 256, 512
+
+
+def _lost_grams(length: Column, threshold: float) -> Column:
+    """Most grams of a title that differ from the matching ones of a similar title.
+
+    A title of n signs matches none of fewer than m = n * t / (2 - t), and none that is more than d = (1 - t) * (n + m)
+    insertions and deletions away; a sign that is missing there costs GRAM grams, one more sign GRAM - 1. Of all partners
+    the shortest costs most.
+    """
+    shortest = threshold / (2 - threshold)
+    edits = (1 - threshold) * (1 + shortest)
+    return F.floor(length * ((GRAM - 0.5) * edits + 0.5 * (1 - shortest)) + 1e-9)
+
+
+def _rare_grams(titles: DataFrame, frequent: DataFrame, threshold: float) -> DataFrame:
+    """(n, year, title, gram, at): of each title the rarest grams, one more than can be lost, in the order of all titles."""
+    starts = F.sequence(F.lit(1), F.length("title") - GRAM + 1)
+    grams = titles.select("n", "year", "title", F.posexplode(F.transform(starts, lambda i: F.substring("title", i, GRAM))).alias("at", "gram"))
+    order = Window.partitionBy("n").orderBy(F.coalesce("df", F.lit(0)), "gram", "at")
+    placed = grams.join(F.broadcast(frequent), "gram", "left").withColumn("place", F.row_number().over(order))  # at most KNOWN_GRAMS rows
+    return placed.where(F.col("place") <= _lost_grams(F.length("title"), threshold) + 1).select("n", "year", "title", "gram", "at")
+
+
+def _gram_counts(titles: list[str]) -> np.ndarray:
+    """A row of gram counts for each title; grams that share a place only raise what two titles have in common."""
+    out = np.zeros((len(titles), GRAM_PLACES), np.int32)
+    for row, title in zip(out, titles, strict=True):
+        signs = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        mixed = np.zeros(max(0, len(signs) - GRAM + 1), np.uint64)
+        for i in range(GRAM if len(mixed) else 0):
+            mixed = (mixed ^ signs[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        row += np.bincount((mixed % np.uint64(GRAM_PLACES)).astype(np.int64), minlength=GRAM_PLACES)
+    return out
+
+
+def _title_blocks(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """rows(n, year, bin, title) in lists of up to TITLE_BLOCK of the same year and bin, put together within each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[tuple, tuple[list, list]] = {}
+            for n, year, bin_, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ns, titles = groups.setdefault((year, bin_), ([], []))
+                ns.append(n)
+                titles.append(title)
+            cut = [(*key, ns[i : i + TITLE_BLOCK], titles[i : i + TITLE_BLOCK]) for key, (ns, titles) in groups.items() for i in range(0, len(ns), TITLE_BLOCK)]
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in cut], kind) for i, kind in enumerate(kinds)], ["year", "bin", *names])
+
+    plain = rows.select("n", F.col("year").cast("int").alias("year"), F.col("bin").cast("long").alias("bin"), "title").sortWithinPartitions("year", "bin")
+    return plain.mapInArrow(run, f"year int, bin long, {names[0]} array<long>, {names[1]} array<string>")
+
+
+def _best_of_block(ns1: list[int], titles1: list[str], ns2: list[int], titles2: list[str], threshold: float, inside: tuple[int, int]) -> Iterator[tuple[int, int, float]]:
+    """(n1, n2, ratio) of the best partner of each title that has one; pairs of two titles of lengths inside are left out.
+
+    A pair is compared if it has as many grams in common as its distance leaves at least.
+    """
+    counts1, counts2 = _gram_counts(titles1), _gram_counts(titles2)
+    lengths2 = np.array([len(t) for t in titles2])
+    apart2 = (lengths2 < inside[0]) | (lengths2 > inside[1])
+    for n1, title, own in zip(ns1, titles1, counts1, strict=True):
+        length = len(title)
+        edits = (1 - threshold) * (length + lengths2)
+        fits = 2 * np.minimum(length, lengths2) >= threshold * (length + lengths2) - 1e-9
+        fits &= apart2 | (not inside[0] <= length <= inside[1])
+        at = np.flatnonzero(fits)
+        longer = np.maximum(length, lengths2[at])
+        need = longer - GRAM + 1 - (GRAM - 0.5) * edits[at] - (2 * longer - length - lengths2[at]) / 2
+        at = at[np.minimum(own, counts2[at]).sum(axis=1) >= need - 1e-9]
+        found = [(r, -ns2[j]) for j in at.tolist() if (r := _ratio(title, titles2[j])) >= threshold]
+        if found:
+            ratio, n2 = max(found)
+            yield n1, -n2, ratio
+
+
+def _similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(n1, n2, ratio): of pairs of distinct titles of a year that reach the threshold, at least the best of each n1.
+
+    Titles of both bounds of GRAM_TITLES meet over a rare gram at about the same place: the first of the grams that both
+    have in common, in the one order of all grams, stands among the rarest of each. Other pairs meet in blocks of titles
+    of about the same length, so that they are never made into rows.
+    """
+    low, high = GRAM_TITLES if threshold >= GRAM_THRESHOLD else (-1, -2)
+    total, least = F.length("t1") + F.length("t2"), F.least(F.length("t1"), F.length("t2"))
+    both = [side.where(F.length("title").between(low, high)) for side in (left, right)]
+    starts = F.sequence(F.lit(1), F.length("title") - GRAM + 1)
+    every = both[0].select("title").union(both[1].select("title"))
+    counts = every.select(F.explode(F.transform(starts, lambda i: F.substring("title", i, GRAM))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    frequent = counts.orderBy(F.desc("df"), "gram").limit(KNOWN_GRAMS)
+    one, two = (_rare_grams(side, frequent, threshold).toDF(f"n{i}", "year", f"t{i}", "gram", f"at{i}") for i, side in ((1, both[0]), (2, both[1])))
+    edits = (1 - threshold) * total + 1e-9
+    met = one.join(two, ["year", "gram"]).where((2 * least >= threshold * total) & (F.abs(F.col("at1") - F.col("at2")) <= edits)).select("n1", "t1", "n2", "t2").distinct()
+    short = met.where(F.levenshtein("t1", "t2") <= edits).withColumn("ratio", indel_ratio("t1", "t2")).where(F.col("ratio") >= threshold).select("n1", "n2", "ratio")
+    size = max(math.log((2 - threshold) / threshold), 0.01)
+    bin_ = F.floor(F.log(F.greatest(F.length("title"), F.lit(1))) / size)
+    alone = [side.where(~F.length("title").between(2 * low, high // 2)) if high > 0 else side for side in (left, right)]  # others' pairs met above
+    held = _title_blocks(alone[1].withColumn("bin", bin_), ("ns2", "titles2"))
+    asked = _title_blocks(alone[0].withColumn("bin", F.explode(F.sequence(bin_ - 1, bin_ + 1))), ("ns1", "titles1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = list(_best_of_block(*(c[i].as_py() for c in batch.columns), threshold, (low, high)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in made], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["n1", "n2", "ratio"])
+
+    # pairs of blocks are little data and much work, so they are dealt out evenly by their number
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+    blocks = asked.join(held, ["year", "bin"]).select("ns1", "titles1", "ns2", "titles2").repartition(tasks)
+    return short.union(blocks.mapInArrow(run, "n1 long, n2 long, ratio double"))
+
+
 def fuzzy_matches(requests: DataFrame, registry: DataFrame, threshold: float = V.FUZZY_THRESHOLD) -> DataFrame:
     """requests(request_id, title, year) x registry(document_id, title, year) -> (request_id, document_id, ratio).
 
-    Titles of the same year whose indel ratio reaches the threshold; the best one a request, ties by id. Pairs are
-    blocked by year and length, then by Levenshtein distance, which never exceeds the indel distance, so both bounds
-    keep every match. Rows without year or title match nothing.
+    Titles of the same year whose indel ratio reaches the threshold; the best one a request, ties by id.
+    Equal titles are found by a join; of what is left, each title is compared once, whatever the number of its
+    copies, with those that share a rare gram at about the same place or have about its length. All bounds keep every
+    match. Rows without year or title match nothing.
     """
-    span = (1 - threshold) / threshold  # how much longer than the shorter title the longer one can be
-    left = requests.where("year is not null and title is not null").select("request_id", F.col("title").alias("t1"), "year")
-    right = registry.where("year is not null and title is not null").select("document_id", F.col("title").alias("t2"), "year")
-    size = 8
-    low = F.floor(F.length("t1") / (1 + 2 * span) / size)
-    high = F.floor(F.length("t1") * (1 + 2 * span) / size)
-    left = left.withColumn("bin", F.explode(F.sequence(low, high)))
-    right = right.withColumn("bin", F.floor(F.length("t2") / size))
-    total = F.length("t1") + F.length("t2")
-    pairs = left.join(right, ["year", "bin"]).where(2 * F.least(F.length("t1"), F.length("t2")) >= threshold * total)
-    # between long titles the bit-parallel ratio is quicker than the bound
-    near = F.when(total > 512, True).otherwise(F.levenshtein("t1", "t2") <= (1 - threshold) * total + 1e-9)
-    pairs = pairs.where(near).withColumn("ratio", indel_ratio("t1", "t2")).where(F.col("ratio") >= threshold)
-    best = Window.partitionBy("request_id").orderBy(F.col("ratio").desc(), "document_id")
-    return pairs.withColumn("n", F.row_number().over(best)).where("n = 1").select("request_id", "document_id", "ratio")
+    held = registry.where("year is not null and title is not null").groupBy("year", "title").agg(F.min("document_id").alias("document_id"))
+    asked = requests.where("year is not null and title is not null").select("request_id", "title", "year")
+    right = held.withColumn("n", F.col("document_id"))
+    left = asked.groupBy("year", "title").agg(F.min("request_id").alias("n")).join(held, ["year", "title"], "left_anti")
+    good = _similar_titles(left, right, threshold)
+    best = good.groupBy("n1").agg(F.max_by(F.struct("n2", "ratio"), F.struct("ratio", -F.col("n2"))).alias("b")).select(F.col("n1").alias("n"), F.col("b.n2").alias("document_id"), "b.ratio")
+    found = left.join(best, "n").select("year", "title", "document_id", "ratio").union(held.select("year", "title", "document_id", F.lit(1.0)))
+    return asked.join(found, ["year", "title"]).select("request_id", "document_id", "ratio")
 
 
 def find_duplicates(requests: DataFrame, registry: DataFrame, fuzzy: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
@@ -50,6 +51,32 @@ def test_indel_ratio_against_plain_table():
         assert abs(registry._ratio(a, b) - want) < 1e-12
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.875, 0.9, 0.97, 1.0])
+def test_similar_titles_of_all_lengths(spark, monkeypatch, threshold):
+    monkeypatch.setattr(registry, "GRAM_TITLES", (9, 40))
+    monkeypatch.setattr(registry, "TITLE_BLOCK", 7)
+    r = random.Random(7)
+    titles = ["".join(r.choice("aab ") for _ in range(r.randint(0, 70))) for _ in range(60)]
+    for t in list(titles):
+        for n in (1, 2, 4, 7):
+            u = list(t)
+            for _ in range(n):
+                at = r.randint(0, len(u))
+                u[at : at + r.randint(0, 1)] = r.choice(["", "a", "x", "b"])
+            titles.append("".join(u))
+    rows = [(i, t, 2000 + i % 2) for i, t in enumerate(titles + titles[:20])]
+    asked = spark.createDataFrame([(i, t, y) for i, t, y in rows if i % 3 == 0] + [(900, None, 2000), (901, "aab", None)], "request_id long, title string, year int")
+    held = spark.createDataFrame([(i, t, y) for i, t, y in rows if i % 3 > 0] + [(1, None, 2001)], "document_id long, title string, year int")
+    want = {}
+    for i, t, y in rows:
+        if i % 3 == 0:
+            ratio, j = max((registry._ratio(t, u), -j) for j, u, z in rows if j % 3 > 0 and z == y)
+            if ratio >= threshold:
+                want[i] = (-j, ratio)
+    assert {x["request_id"]: (x["document_id"], x["ratio"]) for x in registry.fuzzy_matches(asked, held, threshold).collect()} == want
+    assert want
+
+
 def test_fuzzy_matches_lose_nothing(spark):
     r = random.Random(2)
     base = ["".join(r.choice("abcdef ") for _ in range(r.randint(5, 60))) for _ in range(25)]
