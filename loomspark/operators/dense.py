@@ -44,6 +44,24 @@ def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int, names: tuple[
     return live.mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
 
 
+def answers(k: int, floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(qid, id, score) of each query's k best in a block of unit vectors, of rows (ids, v, qids, q); ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, v, qids, q in zip(*batch.columns, strict=True):
+                ids, qids = np.array(ids.as_py(), np.int64), np.array(qids.as_py(), np.int64)
+                q, v = (np.frombuffer(x.as_buffer(), np.float64).reshape(n, -1) for x, n in ((q, len(qids)), (v, len(ids))))
+                scores = np.round(q @ v.T, 6)
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(qids)), order.shape[1])
+                flat = order.ravel()
+                keep = scores[rows, flat] >= floor
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows][keep]), pa.array(ids[flat][keep]), pa.array(scores[rows, flat][keep])], ["qid", "id", "score"])
+
+    return run
+
+
 #: Query vectors that are sent to the vectors' tasks; more meet them block by block.
 SENT_QUERIES = 50_000
 
@@ -69,20 +87,8 @@ def search(
     held = _blocks(vectors, id_col, vec_col, 4096, ("ids", "v"))
     few = queries.limit(SENT_QUERIES + 1).count() <= SENT_QUERIES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, v, qids, q in zip(*batch.columns, strict=True):
-                ids, qids = np.array(ids.as_py(), np.int64), np.array(qids.as_py(), np.int64)
-                q, v = (np.frombuffer(x.as_buffer(), np.float64).reshape(n, -1) for x, n in ((q, len(qids)), (v, len(ids))))
-                scores = np.round(q @ v.T, 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(qids)), order.shape[1])
-                flat = order.ravel()
-                keep = scores[rows, flat] >= floor
-                yield pa.RecordBatch.from_arrays([pa.array(qids[rows][keep]), pa.array(ids[flat][keep]), pa.array(scores[rows, flat][keep])], ["qid", "id", "score"])
-
     pairs = held.crossJoin(F.broadcast(asked) if few else asked)  # blocks, not rows
-    return top_k(pairs.mapInArrow(run, "qid long, id long, score double"), k)
+    return top_k(pairs.mapInArrow(answers(k, floor), "qid long, id long, score double"), k)
 
 
 def payload_filter(points: DataFrame, document_ids=None, year_from=None, year_to=None, sections=None, doc_col="document_id", year_col="year", section_col="section") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomspark import values as V
 from loomspark.operators import dense, fusion, sparse
+from loomspark.operators.vector_index import VectorIndex
+from loomspark.scratch import fresh_path
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -51,6 +53,44 @@ def dense_filtered_topk(spark, d):
     return found.select("qid", F.col("id").alias("vec_id"), "score", "rank")
 
 
+def _indexed(spark, d):
+    """All vectors in an index, written in two parts."""
+    vectors = read(spark, d, "embeddings").withColumn("year", F.lit(2000) + F.col("vec_id") % 20)
+    made = VectorIndex(spark, fresh_path(spark, "vector-index")).create(vectors.where("vec_id % 3 > 0"))
+    return made.add(vectors.where("vec_id % 3 = 0")), vectors
+
+
+def index_topk(spark, d):
+    index, vectors = _indexed(spark, d)
+    return index.search(vectors.where("vec_id % 100 = 0"), 10, exact=True).select("qid", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def index_filtered_topk(spark, d):
+    index, vectors = _indexed(spark, d)
+    found = index.search(vectors.where("vec_id % 100 = 0"), V.SEARCH_K, exact=True, where=F.col("label").isin(1, 3, 5) & (F.col("year") >= 2005), threshold=V.SCORE_MIN)
+    return found.select("qid", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def index_probed_topk(spark, d):
+    # the answers of the nearest cells only; recall is held against the exact search in a test
+    index, vectors = _indexed(spark, d)
+    cells = index.cells().count()
+    return index.search(vectors.where("vec_id % 100 = 0"), 10, max(8, 2 * cells // 3)).select("qid", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def index_cells(spark, d):
+    index, _ = _indexed(spark, d)
+    return index.cells().agg(F.sum("rows").alias("n"), (F.max("radius") <= 3.1416).alias("bounded"))
+
+
+def question_embedding(spark, d):
+    """Questions embedded as the documents are, then searched."""
+    docs = dense.embed(read(spark, d, "documents").select("doc_id", "text"))
+    asked = dense.embed(read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    found = dense.search(docs, asked, 10, "doc_id", "embedding")
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 def hybrid_rrf(spark, d):
     vectors, docs = read(spark, d, "embeddings"), read(spark, d, "documents").select("doc_id", "text")
     both = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
@@ -102,7 +142,7 @@ def mmr_select(spark, d):
     return dense.mmr(found.join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id"), V.RERANK_K)
 
 
-QUERIES = {f.__name__: f for f in (bm25_search_topk, bm25_idf, bm25_corpus, bm25_doc_weights, dense_topk, dense_filtered_topk, hybrid_rrf, query_fusion, diverse_select, context_budget, context_assembly, answer_fallback, mmr_select)}
+QUERIES = {f.__name__: f for f in (bm25_search_topk, bm25_idf, bm25_corpus, bm25_doc_weights, dense_topk, dense_filtered_topk, index_topk, index_filtered_topk, index_probed_topk, index_cells, question_embedding, hybrid_rrf, query_fusion, diverse_select, context_budget, context_assembly, answer_fallback, mmr_select)}
 
 _STOP = "[" + ",".join(f"'{w}'" for w in V.STOPWORDS) + "]"
 
@@ -150,6 +190,12 @@ SELECT q.qid, p.id, round(list_cosine_similarity(q.e::DOUBLE[], p.e::DOUBLE[]),
 
 _ALL, _HUNDREDS = "(SELECT vec_id AS id, embedding AS e FROM embeddings)", "(SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)"
 
+def _embedded(table: str, id_col: str, name: str) -> str:
+    """Rows (id, b, v) of the unit vectors of hashed terms of a table's texts."""
+    return f"""{name}t AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {table}), {name}n AS (SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS b, count(*) AS n FROM {name}t GROUP BY ALL),
+{name}f AS (SELECT id, b, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v FROM {name}n), {name} AS (SELECT id, b, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM {name}f)"""
+
+
 ORACLES = {
     "bm25_idf": f"WITH {_bm25('documents')} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_corpus": f"WITH {_bm25('documents')} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM size",
@@ -157,6 +203,10 @@ ORACLES = {
     "bm25_search_topk": f"WITH {_search('documents', _ITEMS, 10)} SELECT qid AS item_id, doc_id, score, rank FROM hits",
     "dense_topk": f"SELECT qid, id AS vec_id, score, rank FROM ({_cos(10, _ALL, _HUNDREDS)})",
     "dense_filtered_topk": f"""SELECT qid, id AS vec_id, score, rank FROM ({_cos(30, "(SELECT vec_id AS id, embedding AS e FROM embeddings WHERE label IN (1, 3, 5) AND 2000 + vec_id % 20 >= 2005)", _HUNDREDS, "WHERE score >= 0.2")})""",
+    "question_embedding": f"""WITH {_embedded("documents", "doc_id", "dv")}, {_embedded("benchmark", "item_id", "qv")},
+s AS (SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.v * d.v), 6) AS score FROM qv q JOIN dv d USING (b) GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""",
+    "index_cells": "SELECT count(*) AS n, true AS bounded FROM embeddings WHERE embedding IS NOT NULL",
     "hybrid_rrf": f"""WITH ed AS (SELECT doc_id, text, embedding AS e FROM documents JOIN embeddings ON vec_id = doc_id),
 {_search("ed", "(SELECT doc_id AS qid, text FROM ed WHERE doc_id % 100 = 0)", 20)},
 legs AS (SELECT qid, id, rank FROM ({_cos(20, "(SELECT doc_id AS id, e FROM ed)", "(SELECT doc_id AS qid, e FROM ed WHERE doc_id % 100 = 0)")}) UNION ALL SELECT qid, doc_id, rank FROM hits),
@@ -173,3 +223,4 @@ s AS (SELECT qid, string_agg(chr(10) || '[' || citation_id || '] ' || CASE WHEN
 SELECT item_id, CASE WHEN t IS NULL THEN 'I couldn''t find relevant information to answer your question.' ELSE 'Based on the retrieved documents, here are the relevant excerpts:' || chr(10) || t END AS answer, 0.3::DOUBLE AS confidence
 FROM benchmark LEFT JOIN s ON qid = item_id""",
 }
+ORACLES |= {"index_topk": ORACLES["dense_topk"], "index_filtered_topk": ORACLES["dense_filtered_topk"]}
