@@ -99,7 +99,8 @@ def search(
     Texts are read once: their tokens are cut to the questions' terms before anything is counted or shuffled. These terms
     are few, which is checked, and sent to the scan. What is left, one row for each document and matched term and one for each
     document, is written to the shared folder; size, mean length and frequencies of the corpus are taken from there.
-    Of the sums of (question, document) pairs each task hands on its k best a question. With statistics, as
+    Matched terms are shuffled by document and never as (question, document) pairs, of which each task hands on its k best
+    a question. With statistics, as
     read_statistics() returns them, nothing is written.
     """
     asked = term_counts(questions, qid_col, q_text_col).select(F.col("id").alias("qid"), "term", F.col("tf").alias("qn"))
@@ -119,7 +120,10 @@ def search(
     else:
         known, size = statistics[0].select("term", "idf"), statistics[1]
     wanted = known.join(asked, "term").select("qid", "term", "idf", query_weight(F.col("idf"), F.col("qn")).alias("q_weight"))
-    hits = postings.join(sent(wanted), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
+    # a document's terms meet in one task, which sums its pairs with all questions and hands on the k best a question
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data and much work: not to be put together
+    held = postings.where(F.col("term") != mark).repartition(tasks, "id") if few else postings
+    hits = held.join(sent(wanted), "term").crossJoin(F.broadcast(size.select("avgdl")))  # one row
     product = F.col("q_weight") * doc_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"))
     scores = hits.groupBy("qid", "id").agg(F.round(F.sum(product), 6).alias("score"))
     return top_k(scores, k)
