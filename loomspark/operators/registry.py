@@ -515,3 +515,13 @@ def key_probe(asked: DataFrame, keys: DataFrame, now: Column, prefix: int = 8) -
     live = keys.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select("key_prefix", F.col("key_hash").alias("__hash"), "key_id")
     hits = probes.join(live, ["key_prefix", "__hash"]).groupBy("request_id").agg(F.min("key_id").alias("key_id"))
     return asked.select("request_id").join(hits, "request_id", "left")
+
+
+def touched_keys(asked: DataFrame, keys: DataFrame, prefix: int = 8) -> DataFrame:
+    """keys(key_id, key_prefix, key_hash, is_active, expires_at, last_used_at) after asked(key, asked_at): last_used_at is the
+    last time a key that was active and had not expired by then was asked for, or what it was before if that is later."""
+    probes = asked.groupBy(F.substring("key", 1, prefix).alias("key_prefix"), F.sha2("key", 256).alias("key_hash"), "asked_at").agg(F.lit(1).alias("__asked"))
+    live = keys.where(F.col("is_active")).select("key_id", "key_prefix", "key_hash", "expires_at")
+    valid = live.join(probes, ["key_prefix", "key_hash"]).where(F.col("expires_at").isNull() | (F.col("expires_at") >= F.col("asked_at")))
+    used = valid.groupBy("key_id").agg(F.max("asked_at").alias("__used"))
+    return keys.join(used, "key_id", "left").withColumn("last_used_at", F.greatest("last_used_at", "__used")).drop("__used")

@@ -85,7 +85,7 @@ def first_answers(spark, d):
 
 
 def answer_events(spark, d):
-    tokens = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.slice(F.split("text", " "), 1, 3)).alias("seq", "payload")).withColumn("kind", F.lit("text"))
+    tokens = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.split("text", " ")).alias("seq", "payload")).withColumn("kind", F.lit("text"))
     made = fusion.answer_events(retrieval._taken(spark, d), tokens.select("qid", "seq", "kind", "payload"))
     return made.select(F.col("qid").alias("item_id"), "seq", "kind", F.md5("payload").alias("payload_md5"))
 
@@ -206,6 +206,15 @@ def key_lookup(spark, d):
     return registry.key_probe(c.select(F.col("c_custkey").alias("request_id"), "key"), keys, F.lit("2021-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def key_usage(spark, d):
+    """Orders ask for their customer's key; two of three keys are active, some expire in 1996, some were used before."""
+    key = F.concat(F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 2), F.lit("-same-"), F.col("c_custkey").cast("string"))
+    c, at = read(spark, d, "customer").withColumn("key", key), lambda t: F.lit(t).cast("timestamp_ntz")
+    keys = c.select(F.col("c_custkey").alias("key_id"), F.substring("key", 1, 8).alias("key_prefix"), F.sha2("key", 256).alias("key_hash"), (F.col("c_custkey") % 3 > 0).alias("is_active"), F.when(F.col("c_custkey") % 4 == 1, at("1996-01-01 00:00:00")).alias("expires_at"), F.when(F.col("c_custkey") % 5 == 0, at("1997-06-01 00:00:00")).alias("last_used_at"))
+    asked = read(spark, d, "orders").join(c.select(F.col("c_custkey").alias("o_custkey"), "key"), "o_custkey").select("key", F.col("o_orderdate").cast("timestamp_ntz").alias("asked_at"))
+    return registry.touched_keys(asked, keys).select("key_id", "is_active", "last_used_at")
+
+
 def job_updates(spark, d):
     jobs = catalog._jobs(spark, d).withColumn("result_data", F.create_map(F.lit("kind"), F.col("job_type"), F.lit("n"), F.lit("0")))
     updates = jobs.where("job_id % 3 = 0").select("job_id", F.when(F.col("job_id") % 2 == 0, "completed").otherwise("running").alias("new_status"), F.create_map(F.lit("n"), F.col("job_id").cast("string")).alias("new_data"))
@@ -285,16 +294,22 @@ def published_events(spark, d):
     return told.join(spark.read.parquet(table).groupBy("user_id").agg(F.count("*").alias("n_rows")), "user_id")
 
 
-def _ingested(spark, d):
+def _ingested(spark, d, *again):
     docs = read(spark, d, "documents")
     none = F.lit(None).cast("array<struct<section_type:string,title:string,text:string,char_offset_start:int,char_offset_end:int>>")
-    return ingest.ingest(docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 20 > 0, F.col("text")).alias("full_text"), none.alias("sections"), F.when(F.col("doc_id") % 30 == 7, F.lit("unreadable")).alias("error")))
+    return ingest.ingest(docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 20 > 0, F.col("text")).alias("full_text"), none.alias("sections"), F.when(F.col("doc_id") % 30 == 7, F.lit("unreadable")).alias("error")), dense.HashingEncoder(), segment.Packer(), *again)
 
 
 def ingest_outcomes(spark, d):
     return _ingested(spark, d).outcomes.drop("n_chunks")
 
 
+def reprocess_outcomes(spark, d):
+    """Documents sent again from the chunk stage on, with the sections of the first run."""
+    first = _ingested(spark, d)
+    return _ingested(spark, d, "chunk", first).outcomes.drop("n_chunks")
+
+
 def ingest_points(spark, d):
     return _ingested(spark, d).points.select("chunk_id", "document_id", "section", "tokens", F.md5("text").alias("text_md5"), F.size("embedding").alias("dims"))
 
@@ -303,8 +318,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         rerank_lexical, stored_statistics, weighted_rrf, embed_documents, semantic_chunks, hit_payloads, collection_info, cited_chunks, relevant_summaries, first_answers, answer_events, model_entities, model_relations, extraction_outcomes,
-        chosen_chunks, related_entities, related_edges, document_entities, composite_lookup, provenance_join, source_status, upload_completion, token_checks, scope_checks, key_lookup, job_updates, state_listing, existing_objects, parser_routes,
-        linked_papers, citing_dois, works_by_doi, bounded_edges, dispatch_sections, tei_fallback, published_events, ingest_outcomes, ingest_points,
+        chosen_chunks, related_entities, related_edges, document_entities, composite_lookup, provenance_join, source_status, upload_completion, token_checks, scope_checks, key_lookup, key_usage, job_updates, state_listing, existing_objects, parser_routes,
+        linked_papers, citing_dois, works_by_doi, bounded_edges, dispatch_sections, tei_fallback, published_events, ingest_outcomes, reprocess_outcomes, ingest_points,
     )
 }
 
@@ -342,7 +357,7 @@ SELECT id, (row_number() OVER (PARTITION BY id ORDER BY first_no) - 1)::INT AS s
 SELECT doc_id, md5(CASE WHEN failed THEN text ELSE s END) AS evidence_md5 FROM r WHERE failed OR (coalesce(s, '') <> '' AND NOT contains(upper(s), 'NO_RELEVANT_INFO'))""",
     "first_answers": "SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 > 0 THEN 'near' ELSE 'far' END AS provider, CASE WHEN o_orderkey % 2 > 0 THEN 'near' ELSE 'far' END || o_orderkey AS answer FROM orders WHERE o_orderkey % 2 > 0 OR o_orderkey % 3 > 0",
     "answer_events": f"""{_RT._TAKEN}, e AS (SELECT qid, 0 AS part, citation_id AS n, 'evidence' AS kind, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS payload FROM taken WHERE citation_id <= 5
-UNION ALL SELECT item_id, 1, i, 'text', string_split(text, ' ')[i] FROM benchmark, range(1, 4) r(i) WHERE i <= len(string_split(text, ' ')) UNION ALL SELECT item_id, 2, 0, 'done', '' FROM benchmark)
+UNION ALL SELECT item_id, 1, generate_subscripts(string_split(text, ' '), 1), 'text', unnest(string_split(text, ' ')) FROM benchmark UNION ALL SELECT item_id, 2, 0, 'done', '' FROM benchmark)
 SELECT qid AS item_id, (row_number() OVER (PARTITION BY qid ORDER BY part, n) - 1)::INT AS seq, kind, md5(payload) AS payload_md5 FROM e""",
     "model_entities": """SELECT conv_id || '-' || turn AS chunk_id, 1 AS arrival, name, canonical_name, entity_type, confidence, a AS char_start, b AS char_end FROM conversations JOIN (VALUES
 (0, 'Solar Wind', 'solar wind', 'scientific_concept', 0.9::DOUBLE, 0, 0), (1, 'SDO', 'sdo', 'spacecraft', 0.8, 3, 6), (2, 'A', 'bb', 'author', 0.75, 0, 0), (4, '', '', 'dataset', 0.8, 0, 0)) v(k, name, canonical_name, entity_type, confidence, a, b) ON (conv_id + turn) % 8 = k""",
@@ -367,6 +382,8 @@ CASE WHEN done THEN p_size + k % 2 ELSE p_size END AS size, CASE WHEN done THEN
     "token_checks": "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 > 0 AND o_orderkey % 7 = 0) AND o_orderdate > TIMESTAMP '1996-01-01'",
     "scope_checks": "SELECT c_custkey, c_custkey % 5 = 0 OR c_custkey % 2 = 0 OR c_custkey % 3 = 2 AS allowed FROM customer",
     "key_lookup": "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 4 <> 1 THEN c_custkey END AS key_id FROM customer",
+    "key_usage": """WITH u AS (SELECT o_custkey, max(o_orderdate::TIMESTAMP) AS t FROM orders WHERE o_custkey % 3 > 0 AND (o_custkey % 4 <> 1 OR o_orderdate::TIMESTAMP <= TIMESTAMP '1996-01-01') GROUP BY o_custkey)
+SELECT c_custkey AS key_id, c_custkey % 3 > 0 AS is_active, greatest(CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1997-06-01' END, t) AS last_used_at FROM customer LEFT JOIN u ON o_custkey = c_custkey""",
     "job_updates": f"""WITH {catalog._JOBS}, u AS (SELECT j.*, o_orderpriority AS kind, CASE WHEN job_id % 3 = 0 THEN CASE WHEN job_id % 2 = 0 THEN 'completed' ELSE 'running' END END AS s FROM jobs j JOIN orders ON o_orderkey = job_id)
 SELECT job_id, coalesce(s, status) AS status, CASE WHEN s = 'running' AND started_at IS NULL THEN TIMESTAMP '2001-01-01' ELSE started_at END AS started_at, CASE WHEN s = 'completed' THEN TIMESTAMP '2001-01-01' ELSE completed_at END AS completed_at, CASE WHEN s IS NOT NULL THEN job_id::VARCHAR ELSE '0' END AS n, kind FROM u""",
     "state_listing": "SELECT s AS state, count(*) AS n, CASE s WHEN 'registered' THEN 'processing' WHEN 'processing' THEN 'indexed,failed' WHEN 'failed' THEN 'processing' ELSE '' END AS following FROM (SELECT ['registered', 'processing', 'indexed', 'failed'][event_id % 4 + 1] AS s FROM events) GROUP BY s",
@@ -385,3 +402,4 @@ UNION ALL SELECT doc_id, 1, 'methods', md5(lang), 0, 2 FROM documents WHERE doc_
     "ingest_outcomes": f"""WITH {_KT._SEG}, n AS (SELECT doc_id, count(*) AS n FROM sec GROUP BY doc_id) SELECT doc_id AS document_id, CASE WHEN doc_id % 30 = 7 OR doc_id % 20 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN doc_id % 30 = 7 THEN 'parse' WHEN doc_id % 20 = 0 THEN 'chunk' END AS failed_stage,
 CASE WHEN doc_id % 30 = 7 THEN 0 WHEN doc_id % 20 = 0 THEN 1 ELSE n END AS n_sections FROM documents JOIN n USING (doc_id)""",
 }
+ORACLES["reprocess_outcomes"] = ORACLES["ingest_outcomes"]
