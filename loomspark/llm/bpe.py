@@ -318,7 +318,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with an array<int> column of token ids (a null text gives an empty array); a column of that name is replaced."""
+    """docs with an array<int> column of token ids (a null text gives an empty array); a column of that name is replaced.
+
+    Every row keeps its other columns; repeated rows each have their ids, texts of any length are encoded whole, an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(path))  # a vocabulary file
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
