@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspark import values as V
+from loomspark.operators.term_index import LABELS, TermIndex
 from loomspark.scratch import materialize
 
 
@@ -201,6 +203,21 @@ def node_search(nodes: DataFrame, question: str, limit: int = 20, least: float =
     return nodes.select("node_id", "label", F.round(score, 6).alias("score")).where(F.col("score") > least).orderBy(F.col("score").desc(), "node_id").limit(limit)
 
 
+def node_index(nodes: DataFrame, path: str) -> TermIndex:
+    """A stored full-text index over nodes(node_id long, label, node_type); path must be new. More nodes are added by its add()."""
+    return TermIndex(nodes.sparkSession, path, LABELS, "node_id", "label", ("label", "node_type")).add(nodes)
+
+
+def indexed_node_search(index: TermIndex, questions: DataFrame, limit: int = 20, node_type: str | None = None, least: float = V.NODE_MIN) -> DataFrame:
+    """(qid, node_id, label, score, rank) for questions(qid, text), as many as there are: the nodes of a type, where given, whose labels score above `least`.
+
+    Scores are BM25 over the labels' words; a word counts as often as the question has it.
+    """
+    found = index.search(questions, limit, "qid", "text", None if node_type is None else F.col("node_type") == node_type, least)
+    labels = index.documents().select(F.col("id").alias("node_id"), "label")
+    return found.withColumnRenamed("id", "node_id").join(labels, "node_id").select("qid", "node_id", "label", "score", "rank")
+
+
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, label, n): counts of nodes and edges by label, and both totals under the label all."""
     counted = lambda rows, kind, col: rows.rollup(col).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.coalesce(col, F.lit("all")).alias("label"), "n")

@@ -10,6 +10,7 @@ from loomspark.operators import extract as E
 from loomspark.operators import graph as G
 from loomspark.operators import segment as S
 from loomspark.plans.retrieval import read
+from loomspark.scratch import fresh_path
 from loomspark.sources import files
 
 #: A lexicon that fits the synthetic corpus.
@@ -148,6 +149,15 @@ def node_search(spark, d):
     return G.node_search(nodes, "Small red widget", 50)
 
 
+def node_index_search(spark, d):
+    """Names of every hundredth part, asked of the names of all; and of one maker's."""
+    part = read(spark, d, "part")
+    index = G.node_index(part.select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("label"), F.col("p_brand").alias("node_type")), fresh_path(spark, "node-index"))
+    asked = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"))
+    made = lambda name, kind: G.indexed_node_search(index, asked, 20, kind).withColumn("kind", F.lit(name))
+    return made("any", None).union(made("one", "Brand#13"))
+
+
 def edge_evidence(spark, d):
     item = F.to_json(F.struct(F.when(F.col("l_linenumber") < 6, _s("k", "l_orderkey")).alias("chunk_id"), _s("d", "l_partkey").alias("document_id"), F.col("l_linenumber").alias("char_start"), (F.col("l_linenumber") + 5).alias("char_end"), F.col("l_returnflag").alias("snippet")))
     rows = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("target_id")).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
@@ -258,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         entity_mentions, default_mentions, entity_merge, entity_types, cooccurrence_relations, relation_normalize, relation_endpoints, evidence_snippets, mention_merge, edge_merge, entity_upsert, khop_nodes, khop_edges, graph_stats, graph_projection,
-        node_projection, node_search, edge_evidence, shared_entities, similar_docs, document_expansion, entity_paths, citing_docs, section_segment, structure_map, section_lookup, chunk_estimate, chunk_documents, merged_sections,
+        node_projection, node_search, node_index_search, edge_evidence, shared_entities, similar_docs, document_expansion, entity_paths, citing_docs, section_segment, structure_map, section_lookup, chunk_estimate, chunk_documents, merged_sections,
         sentence_split, html_extract, html_sections, layout_sections, tei_parse,
     )
 }
@@ -350,6 +360,14 @@ SELECT chunk_id, source, target, CASE WHEN contains(btw, 'causes') OR contains(b
     "relation_endpoints": "SELECT c_custkey, 'c' || c_custkey AS source_id, 's' || s_suppkey AS target_id FROM customer JOIN supplier ON s_suppkey = c_nationkey WHERE c_custkey % 2 = 0",
     "evidence_snippets": """WITH p AS (SELECT doc_id, text, strpos(lower(text), 'the') AS a, strpos(lower(text), 'tion') AS b FROM documents), q AS (SELECT *, greatest(0, least(a, b) - 51) AS s, least(length(text), greatest(a, b) + 99) AS e FROM p)
 SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN md5(trim(substr(text, s + 1, e - s))) END AS snippet_md5 FROM q""",
+    "node_index_search": r"""WITH t AS (SELECT p_partkey AS id, p_name AS label, p_brand AS b, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM part),
+size AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t), tf AS (SELECT id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT id, unnest(w) AS term, len(w) AS dl FROM t) GROUP BY ALL),
+df AS (SELECT term, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf, size GROUP BY term, n),
+wt AS (SELECT id, term, idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS weight FROM tf JOIN df USING (term), size),
+q AS (SELECT qid, term, count(*) AS qn FROM (SELECT id AS qid, unnest(w) AS term FROM t WHERE id % 100 = 0) GROUP BY ALL),
+sc AS (SELECT qid, id, round(sum(qn * weight), 6) AS score FROM q JOIN wt USING (term) GROUP BY ALL HAVING score > 0.1),
+k AS (SELECT 'any' AS kind, sc.*, label FROM sc JOIN t USING (id) UNION ALL SELECT 'one', sc.*, label FROM sc JOIN t USING (id) WHERE b = 'Brand#13')
+SELECT kind, qid, id AS node_id, label, score, row_number() OVER (PARTITION BY kind, qid ORDER BY score DESC, id) AS rank FROM k QUALIFY rank <= 20""",
     "mention_merge": """WITH r AS (SELECT l_orderkey AS document_id, l_returnflag AS entity, l_orderkey * 1000 + l_linenumber * 100 + l_quantity AS arrival, min(l_linestatus || l_suppkey) AS chunk_id, max(l_discount) AS confidence FROM lineitem GROUP BY ALL),
 f AS (SELECT document_id, entity, chunk_id, min(arrival) AS arrival, max(confidence) AS confidence FROM r GROUP BY ALL)
 SELECT document_id, entity, string_agg(chunk_id, ',' ORDER BY arrival) AS chunk_ids, max(confidence) AS confidence FROM f GROUP BY document_id, entity""",

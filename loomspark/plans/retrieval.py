@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark import values as V
 from loomspark.operators import dense, fusion, sparse
+from loomspark.operators.term_index import TermIndex
 from loomspark.operators.vector_index import VectorIndex
 from loomspark.scratch import fresh_path
 
@@ -41,6 +42,29 @@ def bm25_search_topk(spark, d):
     return _hits(spark, d).select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
+def _term_index(spark, d):
+    """All documents in an index, written in two parts."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    made = TermIndex(spark, fresh_path(spark, "term-index"), keep=("lang",)).add(docs.where("doc_id % 3 > 0"))
+    return made.add(docs.where("doc_id % 3 = 0"))
+
+
+def term_index_topk(spark, d):
+    found = _term_index(spark, d).search(read(spark, d, "benchmark"), 10)
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+def term_index_filtered(spark, d):
+    found = _term_index(spark, d).search(read(spark, d, "benchmark"), V.SEARCH_K, where=F.col("lang") == "en", threshold=1.0)
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+def term_index_terms(spark, d):
+    """What the blocks of every term add up to."""
+    blocks = _term_index(spark, d).blocks().select("term", "n", "top_tf", "ratio")
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top_tf").alias("top_tf"), F.round(F.min("ratio"), 6).alias("ratio"))
+
+
 def dense_topk(spark, d):
     vectors = read(spark, d, "embeddings")
     return dense.search(vectors, vectors.where("vec_id % 100 = 0"), 10).select("qid", F.col("id").alias("vec_id"), "score", "rank")
@@ -142,7 +166,7 @@ def mmr_select(spark, d):
     return dense.mmr(found.join(vectors.select(F.col("vec_id").alias("id"), "embedding"), "id"), V.RERANK_K)
 
 
-QUERIES = {f.__name__: f for f in (bm25_search_topk, bm25_idf, bm25_corpus, bm25_doc_weights, dense_topk, dense_filtered_topk, index_topk, index_filtered_topk, index_probed_topk, index_cells, question_embedding, hybrid_rrf, query_fusion, diverse_select, context_budget, context_assembly, answer_fallback, mmr_select)}
+QUERIES = {f.__name__: f for f in (bm25_search_topk, bm25_idf, bm25_corpus, bm25_doc_weights, term_index_topk, term_index_filtered, term_index_terms, dense_topk, dense_filtered_topk, index_topk, index_filtered_topk, index_probed_topk, index_cells, question_embedding, hybrid_rrf, query_fusion, diverse_select, context_budget, context_assembly, answer_fallback, mmr_select)}
 
 _STOP = "[" + ",".join(f"'{w}'" for w in V.STOPWORDS) + "]"
 
@@ -223,4 +247,8 @@ s AS (SELECT qid, string_agg(chr(10) || '[' || citation_id || '] ' || CASE WHEN
 SELECT item_id, CASE WHEN t IS NULL THEN 'I couldn''t find relevant information to answer your question.' ELSE 'Based on the retrieved documents, here are the relevant excerpts:' || chr(10) || t END AS answer, 0.3::DOUBLE AS confidence
 FROM benchmark LEFT JOIN s ON qid = item_id""",
 }
+ORACLES["term_index_topk"] = ORACLES["bm25_search_topk"]
+ORACLES["term_index_filtered"] = f"""WITH {_search("documents", _ITEMS, 10)} SELECT qid AS item_id, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank
+FROM sc JOIN documents USING (doc_id) WHERE lang = 'en' AND score > 1 QUALIFY rank <= {V.SEARCH_K}"""
+ORACLES["term_index_terms"] = f"WITH {_bm25('documents')} SELECT term, count(*) AS df, max(tf) AS top_tf, round(min(dl::DOUBLE / tf), 6) AS ratio FROM tf GROUP BY term"
 ORACLES |= {"index_topk": ORACLES["dense_topk"], "index_filtered_topk": ORACLES["dense_filtered_topk"]}

@@ -13,6 +13,8 @@ STOPWORDS = [
     "fig", "figure", "table", "section", "eq", "equation", "ref",
 ]
 BM25_K1, BM25_B, DEFAULT_IDF, DEFAULT_AVGDL = 1.5, 0.75, 1.0, 200.0
+#: Saturation of frequencies in a full-text index over labels, and the score a node has to pass.
+LABEL_K1, NODE_MIN = 1.2, 0.1
 
 # --- fixed values: query understanding ---
 KEYWORD_STOPWORDS = [
