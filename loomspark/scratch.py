@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
 _local: dict[str, str] = {}
 _cleaned: set[str] = set()
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +38,22 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
         _cleaned.add(app)
         atexit.register(lambda: [release(spark, p) for p in _made.pop(app, [])])
     paths_made(spark).append(path)
+    for held in getattr(_open, "scopes", []):
+        held.append(path)
     return path
 
 
+@contextmanager
+def own_paths() -> Iterator[list[str]]:
+    """The paths that this thread takes from fresh_path() inside the block, in their order; other threads' are not among them."""
+    held: list[str] = []
+    _open.scopes = [*getattr(_open, "scopes", []), held]
+    try:
+        yield held
+    finally:
+        _open.scopes = [x for x in _open.scopes if x is not held]
+
+
 def paths_made(spark: SparkSession) -> list[str]:
     """Paths of fresh_path() that still stand, in the order they were made."""
     return _made.setdefault(spark.sparkContext.applicationId, [])
