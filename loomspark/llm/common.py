@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.scratch import fresh_path, materialize, paths_made, release, shared_dir
+from loomspark.scratch import fresh_path, materialize, own_paths, paths_made, release, shared_dir
 
 __all__ = ["PIECE", "drop_table", "fresh_path", "materialize", "named", "packed", "release", "shared_dir", "tidy", "unpacked", "word_lists", "written"]
 
@@ -22,11 +22,10 @@ _WS = re.compile(rb"[\x20\x09-\x0D]")
 
 def written(spark: SparkSession, make: Callable[[], DataFrame], tag: str, spent: list[str]) -> DataFrame:
     """Like materialize(make(), tag), and drops what is no longer needed: the tables that make() wrote for itself and,
-    before them, those named in spent. The path of the new table is put into spent for the next call."""
-    made = paths_made(spark)
-    before = len(made)
-    out = materialize(make(), tag)
-    for path in [*made[before:-1], *spent]:
+    before them, those named in spent. The path of the new table is put into spent for the next call. Calls of other threads have tables of their own."""
+    with own_paths() as made:
+        out = materialize(make(), tag)
+    for path in [*made[:-1], *spent]:
         drop_table(spark, path)
     spent[:] = made[-1:]
     return out

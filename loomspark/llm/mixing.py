@@ -200,7 +200,8 @@ def _placed(rows: DataFrame, counts: list[tuple[str | None, int]], plan: MixPlan
     """
     spark = rows.sparkSession
     table = spark.createDataFrame([(s, i, max(1, -(-n // plan.bucket_rows))) for i, (s, n) in enumerate(counts)], "name string, task int, buckets int")
-    own = rows.join(F.broadcast(table), F.col("s").eqNullSafe(F.col("name"))).drop("name")  # a row a source
+    sent = F.broadcast if len(counts) <= _Ranges.MOST >> 4 else lambda names: names
+    own = rows.join(sent(table), F.col("s").eqNullSafe(F.col("name"))).drop("name")  # a row a source
     own = own.withColumn("bucket", F.least(F.floor(F.col("t") / float(1 << 63) * F.col("buckets")).cast("int"), F.col("buckets") - 1)).drop("buckets")
     before = F.sum("n").over(Window.partitionBy("task").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = own.groupBy("task", "bucket").agg(F.count("*").alias("n"))
@@ -233,33 +234,37 @@ class _Ranges:
 
     def __init__(self, starts: pa.Table) -> None:
         """starts(s, t, u, range): the first row of each source in each range."""
-        self.of: dict[str | None, tuple[np.ndarray, ...]] = {}
-        columns = [starts.column(c).to_numpy() for c in ("t", "u", "range")]
-        names = np.array(starts.column("s").to_pylist(), object)
-        order = np.lexsort((columns[1], columns[0]))
-        for name in set(names.tolist()):
-            at = order[[n == name for n in names[order]]]
-            self.of[name] = tuple(c[at] for c in columns)
+        starts = starts.combine_chunks()
+        names = starts.column("s").unique().to_pylist()
+        self.code = {name: i for i, name in enumerate(names)}
+        code = self._codes(starts.column("s").to_pylist())
+        t, u, ranges = (starts.column(c).to_numpy() for c in ("t", "u", "range"))
+        order = np.lexsort((u, t, code))
+        self.t, self.u, self.ranges = t[order], u[order], ranges[order]
+        self.ends = np.searchsorted(code[order], np.arange(len(names) + 1))
+
+    def _codes(self, names: list[str | None]) -> np.ndarray:
+        return np.fromiter((self.code[n] for n in names), np.int64, len(names))
 
     def find(self, s: list[str | None], t: np.ndarray, u: np.ndarray) -> np.ndarray:
-        found, names = np.zeros(len(t), np.int32), np.array([*s, ""], object)[:-1]
-        for name in set(s):
-            mine = np.flatnonzero([n == name for n in names])
-            first_t, first_u, ranges = self.of[name]
-            at = np.searchsorted(first_t, t[mine], "right") - 1
-            for n in np.flatnonzero(first_t[at] == t[mine]):  # equal first hashes: the second ones decide
-                while at[n] and first_t[at[n]] == t[mine[n]] and first_u[at[n]] > u[mine[n]]:
-                    at[n] -= 1
-            found[mine] = ranges[at]
-        return found
+        """The last entry of each row's source that is not behind its hashes; all rows are halved in on at once."""
+        code = self._codes(s)
+        low, high = self.ends[code], self.ends[code + 1]  # the answer is in [low, high)
+        while (high - low > 1).any():
+            middle = (low + high) >> 1
+            behind = (self.t[middle] > t) | ((self.t[middle] == t) & (self.u[middle] > u))
+            # a row that is done has middle == low and an entry not behind it, or the first of its source
+            low, high = np.where(behind, low, middle), np.where(behind, np.maximum(middle, low + 1), high)
+        return self.ranges[low].astype(np.int32)
 
 
 def mixed_order(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, all columns and rows, laid out in the order of mix(): partitions in the order of slots, sorted within.
 
-    The rows' hashes are placed first, without their texts. The first row of each source in each range of slots, at most
-    2^20 rows whatever the input's size, tells texts which range they belong to; the first row of each block, sorted
-    in among the texts of its range, tells them their slot. So texts are shuffled once. Rows not read from files that are equal in
+    The rows' hashes are placed first, without their texts. The first row of each source in each range of slots, if
+    these are at most 2^20, tells texts which range they belong to; the first row of each block, sorted
+    in among the texts of its range, tells them their slot. So texts are shuffled once. With more sources and ranges than
+    that, texts are joined with their slots by a shuffle and dealt out by a second one; ranges follow the rows either way. Rows not read from files that are equal in
     all columns stand next to each other. positions() finds the order again once the rows have been written.
     """
     spark = docs.sparkSession
@@ -268,10 +273,17 @@ def mixed_order(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
         return docs
     t, u = _keys(docs, id_col)
     s = F.col(source_col).cast("string")
-    slim = materialize(_placed(docs.select(s.alias("s"), t.alias("t"), u.alias("u")), counts, plan).groupBy("s", "slot").agg(F.min(F.struct("t", "u")).alias("f")), "mix-places")
+    placed = _placed(docs.select(s.alias("s"), t.alias("t"), u.alias("u")), counts, plan)
     slots, rows = sum(-(-n // plan.block) for _, n in counts), sum(n for _, n in counts)
     wanted = max(-(-rows // plan.range_rows), min(int(spark.conf.get("spark.sql.shuffle.partitions")), slots))
-    width = -(-slots // max(1, min(wanted, _Ranges.MOST // len(counts))))
+    width = -(-slots // max(1, wanted))
+    ranges = -(-slots // width)
+    if min(len(counts) * ranges, slots) > _Ranges.MOST:
+        keys = materialize(placed.groupBy("s", "t", "u").agg(F.min("slot").alias("slot")), "mix-places").toDF("s2", "t2", "u2", "slot")
+        same = F.col("s").eqNullSafe(F.col("s2")) & (F.col("t") == F.col("t2")) & (F.col("u") == F.col("u2"))
+        found = packed(docs, s=s, t=t, u=u).join(keys, same).withColumn("range", F.floor(F.col("slot") / width).cast("int"))
+        return found.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "slot", "t", "u").select("row.*")
+    slim = materialize(placed.groupBy("s", "slot").agg(F.min(F.struct("t", "u")).alias("f")), "mix-places")
     marks = slim.select(F.floor(F.col("slot") / width).cast("int").alias("range"), "s", "f.t", "f.u", "slot")
     starts = marks.groupBy("s", "range").agg(F.min(F.struct("t", "u")).alias("f")).select("s", "range", "f.*")
     held = spark.sparkContext.broadcast(_Ranges(starts.toArrow()))
@@ -282,7 +294,7 @@ def mixed_order(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_i
 
     texts = packed(docs, s=s, t=t, u=u).select(home("s", "t", "u").alias("range"), "s", "t", "u", F.lit(None).cast("long").alias("slot"), "row")
     both = texts.union(marks.withColumn("row", F.lit(None).cast(texts.schema["row"].dataType)))
-    dealt = both.repartitionById(-(-slots // width), F.col("range"))
+    dealt = both.repartitionById(ranges, F.col("range"))
     before = Window.partitionBy("range", "s").orderBy("t", "u", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     timed = dealt.withColumn("slot", F.last("slot", True).over(before)).where(F.col("row").isNotNull())
     return timed.sortWithinPartitions("range", "slot", "t", "u").select("row.*")

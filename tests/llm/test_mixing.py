@@ -1,6 +1,10 @@
 import random
+import threading
+import time
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspark.llm import mixing
@@ -115,3 +119,51 @@ def test_hot_ids_spread_and_places_are_whole(spark, tmp_path):
     assert [x["text"] for x in sorted(laid, key=lambda x: x["mix_position"])] == want
     plan_text = mixing.mixed_order(spark.read.parquet(f"{tmp_path}/in"), plan)._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("Exchange shufflepartitionid") == 1 and "rangepartitioning" not in plan_text
+
+
+def test_many_sources_are_found_at_once():
+    r = np.random.default_rng(3)
+    sources, each = 10_000, 100
+    s = np.repeat(np.arange(sources), each)
+    t, u = r.integers(0, 50, len(s)), r.integers(0, 1 << 40, len(s))
+    order = np.lexsort((u, t, s))
+    ranges = np.empty(len(s), np.int32)
+    ranges[order] = np.tile(np.arange(each, dtype=np.int32), sources)
+    names = [None if x == 7 else f"s{x}" for x in s]
+    began = time.perf_counter()
+    held = mixing._Ranges(pa.table({"s": names, "t": t, "u": u, "range": ranges}))
+    assert (held.find(names, t, u) == ranges).all()
+    assert time.perf_counter() - began < 20
+    for i in range(0, len(s), 9973):  # rows between two entries belong to the one before
+        first = max((j for j in range(s[i] * each, (s[i] + 1) * each) if (t[j], u[j]) <= (t[i], u[i] + 1)), key=lambda j: (t[j], u[j]))
+        assert held.find([names[i]], t[i : i + 1], u[i : i + 1] + 1)[0] == ranges[first]
+
+
+def test_sources_beyond_what_is_sent_are_joined(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else f"s{i % 7}", f"t{i}") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    plan = mixing.MixPlan(block=8, bucket_rows=100, range_rows=300)
+    want = [x["text"] for x in mixing.mixed_order(docs, plan).collect()]
+    monkeypatch.setattr(mixing._Ranges, "MOST", 4)
+    laid = mixing.mixed_order(docs, plan)
+    assert laid.columns == docs.columns and [x["text"] for x in laid.collect()] == want
+    assert laid.rdd.getNumPartitions() == 7
+
+
+def test_tables_of_other_threads_stay(spark):
+    from loomspark.llm.common import written
+    from loomspark.scratch import materialize
+
+    other = []
+
+    def make():
+        worker = threading.Thread(target=lambda: other.append(materialize(spark.range(5), "other")))
+        worker.start()
+        worker.join()
+        own = materialize(spark.range(3), "own")
+        return own
+
+    spent = []
+    assert written(spark, make, "whole", spent).count() == 3 and len(spent) == 1
+    assert other[0].count() == 5
