@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as X
 from loomspark.operators import registry as R
+from loomspark.operators.keyed_store import KeyedStore
 from loomspark.plans.retrieval import read
+from loomspark.scratch import fresh_path
 from loomspark.sources import connectors as C
 from loomspark.sources import files
 
@@ -198,6 +200,17 @@ def vector_upsert(spark, d):
     return R.upsert(kept, fresh, ["vec_id"])
 
 
+def keyed_store(spark, d):
+    """Rows put, added and taken away in a stored table, range by range."""
+    points = read(spark, d, "embeddings").select("vec_id", "label")
+    store = KeyedStore(spark, fresh_path(spark, "keyed-store"), ["vec_id"]).create(points)
+    store.delete(points.where("vec_id % 11 = 0"))
+    moved = lambda step, up: points.where("vec_id % 3 = 0").select((F.col("vec_id") + step).alias("vec_id"), (F.col("label") + up).cast("int").alias("label"))
+    store.upsert(moved(3, 100))
+    store.insert(moved(6, 500))
+    return store.read()
+
+
 def insert_or_get(spark, d):
     requests, registry = _requests(spark, d)
     rows = requests.select(F.col("request_id").alias("document_id"), "content_hash")
@@ -299,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_normalize, doi_normalize, author_names, reference_parse, file_types, content_dedup, search_merge, federated_search, dedup_cascade, register_batch, dedup_cascade_fuzzy, register_batch_fuzzy, fuzzy_titles, status_counts, job_avg_duration,
-        pending_queue, pending_capped, stale_reset, job_claims, offset_page, keyset_page, lifecycle_validate, soft_delete, vector_upsert, insert_or_get, latency_histogram, metadata_merge, import_outcomes, import_existing, source_lookup,
+        pending_queue, pending_capped, stale_reset, job_claims, offset_page, keyset_page, lifecycle_validate, soft_delete, vector_upsert, keyed_store, insert_or_get, latency_histogram, metadata_merge, import_outcomes, import_existing, source_lookup,
         connector_crossref, connector_scholar, connector_arxiv, connector_ads,
     )
 }
@@ -379,6 +392,9 @@ e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN t IS NULL THEN 'DEL
 SELECT doc_id AS document_id, CASE WHEN doc_id % 4 <> 0 THEN t END AS deleted_at, o AS delete_outcome, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN t IS NULL THEN 'NOT_DELETED' ELSE 'RESTORED' END END AS restore_outcome FROM e""",
     "vector_upsert": """WITH n AS (SELECT vec_id + 3 AS vec_id, (label + 100)::INT AS label FROM embeddings WHERE vec_id % 3 = 0)
 SELECT vec_id, label FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n""",
+    "keyed_store": """WITH n AS (SELECT vec_id + 3 AS vec_id, (label + 100)::INT AS label FROM embeddings WHERE vec_id % 3 = 0),
+t AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 11 <> 0 AND vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT * FROM n)
+SELECT * FROM t UNION ALL SELECT vec_id + 6, (label + 500)::INT FROM embeddings WHERE vec_id % 3 = 0 AND vec_id + 6 NOT IN (SELECT vec_id FROM t)""",
     "insert_or_get": """WITH r AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT doc_id AS document_id,
 h NOT IN (SELECT h FROM r WHERE doc_id % 2 = 0) AND doc_id = min(doc_id) OVER (PARTITION BY h) AS created FROM r WHERE doc_id % 2 = 1""",
     "latency_histogram": f"SELECT event_type, {_LE}, count(value) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type",
