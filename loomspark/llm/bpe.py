@@ -325,9 +325,9 @@ def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(text: pa.Array) -> pa.Array:
-        made = list(load(held.value).encode_batch(t.as_py() or "" for t in text))
+        made = [x.astype(np.int32) for x in load(held.value).encode_batch((t.as_py() or "" for t in text), 1 << 20)]
         ends = np.cumsum([0, *map(len, made)])
-        flat = np.concatenate([np.zeros(0, np.int32), *made]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *made])
         del made
         tidy()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))

@@ -1,3 +1,6 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -85,3 +88,12 @@ def test_order_of_the_mix_over_several_files(spark, sf_dir, tmp_path):
 def test_order_of_files_beyond_five_digits():
     names = [f"part-{n:05d}-0a1b2c-c000.parquet" for n in (2, 10, 99999, 100000)]
     assert sorted(reversed(names), key=mixing._natural) == names
+
+
+def test_tokens_are_made_of_small_batches(spark, sf_dir, monkeypatch):
+    size = F.arrow_udf(lambda text: pa.array([[text.nbytes]] * len(text), pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_column", lambda docs, path: docs.withColumn("token_ids", size("text")))
+    limit, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.repeat(F.lit("word "), 2000).alias("text"))
+    got = [x["token_ids"][0] for x in corpus_pipeline.token_ids(spark, docs, sf_dir).collect()]
+    assert len(got) == 3000 and max(got) < 9 << 20 and spark.conf.get(limit) == before
