@@ -31,7 +31,7 @@ def test_entry(spark):
 ODD = (None, "", " ", "\n", "\t \n", "\u00a0\u3000", "\u200b", "\x1c", "\x85", "\u2028", "İstanbul K Kelvin", "---", "REFERENCES", "References\n[1] a\n[2] b", "REFERENCES\nfoo\nAPPENDIX REFERENCES\nfoo", "1. Methods\nbar")
 
 
-@pytest.mark.parametrize("name", ["embed_documents", "ingest_outcomes"])
+@pytest.mark.parametrize("name", ["embed_documents", "ingest_outcomes", "reprocess_outcomes"])
 def test_odd_texts_match_sql(spark, sf_dir, tmp_path, name):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(1001 + i, t, "en", "web", None) for i, t in enumerate(ODD)], docs.schema)
