@@ -71,6 +71,14 @@ def release(spark: SparkSession, path: str) -> None:
         return
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of fresh_path() before the process ends."""
+    for path in paths:
+        release(spark, path)
+        if path in paths_made(spark):
+            paths_made(spark).remove(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession

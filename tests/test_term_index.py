@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark import scratch
 from loomspark.operators import graph, sparse
 from loomspark.operators.term_index import TermIndex
 
@@ -78,3 +79,22 @@ def test_nodes_by_their_labels(spark, tmp_path):
     found = lambda kind: {(x["qid"], x["rank"]): x["node_id"] for x in graph.indexed_node_search(index, asked, 3, kind).collect()}
     assert found(None) == {(1, 1): 1, (1, 2): 5, (1, 3): 3, (2, 1): 3, (2, 2): 1, (2, 3): 5}
     assert found("mission") == {(1, 1): 3, (1, 2): 2, (2, 1): 3}
+
+
+def test_questions_of_the_same_words_are_asked_once(spark, held):
+    index, _ = held
+    asked = _questions(spark, *["word290 word3 word1"] * 5, "Word1 word3, word290", *["word7"] * 4)
+    _, _, bounds, _, _ = index._search(asked, 3, "item_id", "text", None, None)
+    assert {x["qid"] for x in bounds.select("qid").distinct().collect()} == {0, 6}
+    got = {}
+    for qid, rank, i, score in _rows(index.search(asked, 3)):
+        got.setdefault(qid, []).append((rank, i, score))
+    assert set(got) == set(range(10)) and all(got[q] == got[0] for q in range(6)) and all(got[q] == got[6] for q in range(6, 10))
+
+
+def test_scratch_tables_go_once_they_are_spent(spark, held, tmp_path):
+    before = set(scratch.paths_made(spark))
+    TermIndex(spark, f"{tmp_path}/a").add(spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "doc_id long, text string"))
+    assert set(scratch.paths_made(spark)) == before
+    found = held[0].search(_questions(spark, "word290 word3"), 5, where=F.col("kind") == "b")
+    assert len(set(scratch.paths_made(spark)) - before) == 1 and found.count() == 5
