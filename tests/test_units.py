@@ -77,6 +77,27 @@ def test_similar_titles_of_all_lengths(spark, monkeypatch, threshold):
     assert want
 
 
+def test_long_titles_are_seldom_compared(monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinsrhl") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    titles = [" ".join(r.choice(words) for _ in range(120))[:300] for _ in range(40)]
+    near = [t[:40] + "xyz" + t[55:] for t in titles[:10]]
+    compared, ratio = [], registry._ratio
+    monkeypatch.setattr(registry, "_ratio", lambda *a: compared.append(a) or ratio(*a))
+    got = {(i, j) for i, j, _ in registry._best_of_block(list(range(20)), titles[:20], list(range(30)), near + titles[20:], 0.9, (9, 48))}
+    assert got == {(i, i) for i in range(10)} and len(compared) < 30
+
+
+def test_ratio_that_ends_early_is_below_the_least():
+    r = random.Random(5)
+    for _ in range(300):
+        a = "".join(r.choice("ab c") for _ in range(r.randint(0, 300)))
+        b = "".join(c for c in a if r.random() < 0.8) if r.random() < 0.5 else "".join(r.choice("ab c") for _ in range(r.randint(0, 300)))
+        want = registry._ratio(a, b)
+        for least in (0.5, 0.8, want):
+            assert registry._ratio(a, b, least) == want if want >= least else registry._ratio(a, b, least) in (0.0, want)
+
+
 def test_fuzzy_matches_lose_nothing(spark):
     r = random.Random(2)
     base = ["".join(r.choice("abcdef ") for _ in range(r.randint(5, 60))) for _ in range(25)]
